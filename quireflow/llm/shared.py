@@ -1,0 +1,18 @@
+"""Cutting lineage with files that every executor can read."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """`df` written to the session's checkpoint folder and read from there.
+
+    The folder is the session's; only where none is set (tests on one machine) a temporary one is.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+    return df.checkpoint()
