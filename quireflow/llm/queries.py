@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("p1_lookalikes", "p2_repetition", "p3_scan_noise", "p4_markup", "p5_language", "p6_tokens", "p8_stuffing")
+MODULES = ("p1_lookalikes", "p2_repetition", "p3_scan_noise", "p4_markup", "p5_language", "p6_tokens", "p7_mixture", "p8_stuffing")
 
 
 def _gather(what: str) -> dict:
