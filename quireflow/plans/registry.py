@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules holding QUERIES {name: builder} and SQL {name: text}.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("extract",)
 
 
 def _gather(what: str) -> dict:
