@@ -336,8 +336,14 @@ def _contents(pages: DataFrame) -> DataFrame:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Labeller:
-    """A labeller fitted on at most `sample` pages; those of the smallest hash of their id."""
-    rows = _contents(pages).select(F.xxhash64("page_id").alias("h"), "contents", "labels").orderBy("h").limit(sample).collect()
+    """A labeller fitted on at most `sample` pages; those of the smallest hash of their id.
+
+    The share of hashes to take follows from the number of pages, so tasks keep a few pages each
+    and the driver gets about `sample` of them, however many tasks there are.
+    """
+    n = pages.count()
+    few = -(2**63) + int(2**64 * min(1.0, sample / max(n, 1))) - 1
+    rows = _contents(pages.where(F.xxhash64("page_id") <= few)).select(F.xxhash64("page_id").alias("h"), "contents", "labels").orderBy("h").limit(sample).collect()
     data = [(r.contents, r.labels) for r in rows]
     return Labeller().fit(data, [[CLASSES.index(notation(t, x)) for t, x in zip(*p)] for p in data])
 
