@@ -78,15 +78,12 @@ def source_identity(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("identity"))
 
 
-@query("SELECT page_id, CAST(ceil(width) AS BIGINT) * CAST(ceil(height) AS BIGINT) * 3 * 8 + 134217728 AS bytes, row_number() OVER (ORDER BY run_id, page, page_id) AS place FROM (SELECT DISTINCT ON (page_id) page_id, run_id, page, width, height FROM layout_pages) WHERE width > 0 AND height > 0")
+@query("SELECT page_id, CAST(ceil(width) AS BIGINT) * CAST(ceil(height) AS BIGINT) * 3 * 8 + 134217728 AS bytes, row_number() OVER (PARTITION BY run_id ORDER BY page, page_id) AS place FROM (SELECT DISTINCT ON (page_id) page_id, run_id, page, width, height FROM layout_pages) WHERE width > 0 AND height > 0")
 def frame_plan(s: SparkSession, d: str) -> DataFrame:
-    """Memory of each frame and its place in file and frame order."""
+    """Memory of each frame and its place in its file."""
     p = table(s, d, "layout_pages").select("page_id", "run_id", "page", "width", "height").dropDuplicates(["page_id"]).where("width > 0 AND height > 0")
-    # Places over all frames without one task for them all: ranks within a run, and runs' sizes before it.
-    inside = F.row_number().over(Window.partitionBy("run_id").orderBy("page", "page_id"))
-    sizes = p.groupBy("run_id").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("run_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return p.withColumn("k", inside).join(before, "run_id").select("page_id", (F.ceil("width") * F.ceil("height") * 3 * 8 + 134217728).alias("bytes"), (F.col("k") + F.col("before")).alias("place"))
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("page", "page_id"))
+    return p.select("page_id", (F.ceil("width") * F.ceil("height") * 3 * 8 + 134217728).alias("bytes"), place.alias("place"))
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 600.0 WHEN page_id % 3 = 0 THEN 118.0 * 2.54 WHEN width > 0 THEN 300.0 ELSE 600.0 END AS dpi, page_id % 5 <> 0 AND page_id % 3 <> 0 AND NOT coalesce(width > 0, false) AS warned,
