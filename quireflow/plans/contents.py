@@ -163,7 +163,7 @@ def centres_inside(s: SparkSession, d: str) -> DataFrame:
     """Share of a block's lines whose centre lies in its box."""
     r = table(s, d, "decisions").select("decision_id", "page_id", "block_id", "rects").dropDuplicates(["decision_id"]).select("page_id", "block_id", F.explode("rects").alias("r"))
     c = r.select("page_id", "block_id", ((F.get("r", F.lit(0)) + F.get("r", F.lit(2))) / 2).alias("x"), ((F.get("r", F.lit(1)) + F.get("r", F.lit(3))) / 2).alias("y")).where("x IS NOT NULL")
-    j = c.join(boxed(s, d), ["page_id", "block_id"]) if False else c.join(boxed(s, d).withColumnsRenamed({"x0": "bx0", "x1": "bx1", "y0": "by0", "y1": "by1"}), ["page_id", "block_id"])
+    j = c.join(boxed(s, d).withColumnsRenamed({"x0": "bx0", "x1": "bx1", "y0": "by0", "y1": "by1"}), ["page_id", "block_id"])
     inside = F.col("x").between(F.col("bx0"), F.col("bx1")) & F.col("y").between(F.col("by0"), F.col("by1"))
     return j.groupBy("page_id", "block_id").agg(F.round(F.avg(inside.cast("int")), 6).alias("inside"))
 
