@@ -275,7 +275,7 @@ def _paragraph(printed: list[list[str]], ends: dict[int, tuple], hyphens: set[in
         line = " ".join(words)
         if k in hyphens:
             out = out.rstrip(HYPHENS) + line
-        elif k in ends:
+        elif k in ends or re.search(f"[0-9][{HYPHENS}]$", out) and line[:1].isdigit():
             out += line
         elif out and line and ord(out[-1]) >= 0x3000 and ord(line[0]) >= 0x3040 and not 0xAC00 <= ord(line[0]) < 0xD7A4:
             out += line

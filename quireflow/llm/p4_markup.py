@@ -39,7 +39,7 @@ TAGS = "a|abbr|article|aside|b|big|blockquote|body|br|caption|center|cite|code|c
 TAG = re.compile(rf"</(?:{TAGS})\s*>|(?:(?<![A-Za-z0-9_])<(?:{TAGS})|<(?-i:{TAGS}|BR|TABLE|TR|TD|TH|P|B|I))(?:\s+[^<>]*|\s*/)?>", re.I)
 COMMENT = re.compile(r"<!--.*?-->|<!DOCTYPE[^>]*>|<!\[CDATA\[", re.S | re.I)
 ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
-WIKI = re.compile(r"\[\[[^\[\]\n]+\]\]|'''?[^'\n]+'''?|^(={2,6})[^=\n].*\1\s*$|\{\{[^{}]+\}\}|^\{\|.*$|^\|-|<ref[ >/]|^\|\}\s*$", re.M)
+WIKI = re.compile(r"\[\[[^\[\]\n]+\]\]|'''?[^'\n]+'''?|^(={2,6})[^=\n].*\1\s*$|\{\{[^{}]+\}\}|^\{\|.*$|^\|-(?!-)|<ref[ >/]|^\|\}\s*$", re.M)
 MARKDOWN = re.compile(
     r"^ {0,3}#{1,6} +\S|^ {0,3}>+ \S|^ *```|^ *~~~\w*\s*$|^\|?(?: *:?-{2,}:? *\|)+|^[*+-] +(?:\[[ xX]\] +)?\S.*\n[*+-] +\S|!\[[^\]\n]*\]\([^()\s]+\)|\[[^\]\n]+\]\([^()\s]+\)|^\[[^\]\n]+\]: +\S+|(?<![\w*])\*{1,3}(?![\s*])[^*\n]+(?<![\s*])\*{1,3}(?![\w*])|(?<=[가-힣぀-ヿ㐀-鿿。，、])\*{1,3}(?![\s*])[^*\n]+(?<![\s*])\*{1,3}|(?<![A-Za-z0-9À-ÿ_])__(?![\s_])[^_\n]+(?<!\s)__(?![A-Za-z0-9À-ÿ_])|~~(?!\s)[^~\n]+(?<!\s)~~|(?<!`)`[^`\n]+`(?!`)",
     re.M,

@@ -48,6 +48,7 @@ _JOIN = re.compile(f"(?<=[{_CJK}。，、；：])[ \\t]*\\n[ \\t]*(?=[{_CJK}])")
 _HYPHEN = re.compile("(?<=[^\\W\\d_])[-" + chr(0xAD) + chr(0xAC) + chr(0x2010) + chr(0x2011) + "][ \\t]*\\n[ \\t]*(?=[^\\W\\d_])")
 _CUT = re.compile(f"(?<=[.!?])(?=[\\s\"»”')])|(?<=[。！？])|\\s/\\s|;\\s|{_HARD}")
 _END = re.compile("[.!?。！？][\"»”'」』)\\s]*$")
+_KANA = re.compile("[" + chr(0x3040) + "-" + chr(0x30FF) + "]")
 _HANGUL, _HAN, _LETTER = re.compile("[가-힣]"), re.compile(f"[{_CJK}]"), re.compile(r"[^\W\d_]")
 
 
@@ -148,15 +149,26 @@ def labelled(requests: DataFrame, aliases: DataFrame) -> DataFrame:
     return requests.join(F.broadcast(names), F.lower(F.trim(F.col("lang"))) == F.col("_a"), "left").drop("_a")
 
 
+def believed(label: str, segment: str) -> str | None:
+    """The label, unless the segment's script belongs to another language; null where it only rules the label out."""
+    letters = len(_LETTER.findall(segment))
+    hangul, han = len(_HANGUL.findall(segment)), len(_HAN.findall(segment))
+    if 2 * hangul > letters:
+        return "ko"
+    if 2 * han > letters:
+        return "ja" if _KANA.search(segment) else "zh"
+    return None if label in ("ja", "ko", "zh") else label
+
+
 def fit(sample: DataFrame) -> Profiles:
     """Profiles from (label, content) rows; the caller bounds their number."""
-    rows = [(r.label, s) for r in sample.collect() for s, whole in segments(r.content) if whole]
+    rows = sorted((r.label, s) for r in sample.collect() for s, whole in segments(r.content) if whole)
     profiles = None
     for _ in range(3):
-        names = [x for x, _ in rows] if profiles is None else profiles.name([s for _, s in rows])[0]
+        names = [believed(*x) for x in rows] if profiles is None else profiles.name([s for _, s in rows])[0]
         counts: dict[str, Counter] = defaultdict(Counter)
         for x, (_, s) in zip(names, rows):
-            for w in re.findall(r"[^\W\d_]+", s.casefold()):
+            for w in [] if x is None else re.findall(r"[^\W\d_]+", s.casefold()):
                 counts[x].update(_grams(w))
         profiles = Profiles(counts)
     return profiles
