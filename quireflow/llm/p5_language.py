@@ -175,9 +175,10 @@ def fit(sample: DataFrame) -> Profiles:
 
 
 def requested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(request_id, page_id, block_id, label, content), once for each request."""
+    """(request_id, page_id, block_id, label, content) of each request, as often as its page was delivered."""
     r = table(spark, sf_dir, "recognition_requests").select("request_id", "page_id", "block_id", "lang").distinct()
-    b = blocks(table(spark, sf_dir, "layout_pages"), "block_id", "block_content").select("page_id", "block_id", F.col("block_content").alias("content")).where("content IS NOT NULL").distinct()
+    b = blocks(table(spark, sf_dir, "layout_pages"), "block_id", "block_content").select("page_id", "block_id", F.col("block_content").alias("content")).where("content IS NOT NULL")
+    # Pages delivered twice give equal rows here; results name each case once.
     return labelled(r, table(spark, sf_dir, "lang_aliases")).join(b, ["page_id", "block_id"]).select("request_id", "page_id", "block_id", "label", "content")
 
 
