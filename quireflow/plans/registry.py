@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules holding QUERIES {name: builder} and SQL {name: text}.
-MODULES: tuple[str, ...] = ("extract", "review", "contents", "state", "kernels", "profile")
+MODULES: tuple[str, ...] = ("extract", "review", "contents", "state", "kernels", "profile", "structure")
 
 
 def _gather(what: str) -> dict:
