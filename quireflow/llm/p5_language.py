@@ -35,13 +35,14 @@ from quireflow.sources.tables import blocks, table
 LANGS = ("de", "en", "es", "fr", "ja", "ko", "zh")
 #: N-grams of a profile and of a segment; labelled blocks per language that profiles are fitted on.
 PROFILE, SAMPLE_BLOCKS = 400, 400
-#: Letters of a whole sentence: alphabets, Hangul, Han and kana.
+#: Letters of a whole sentence: alphabets, Hangul, Han and kana. Alphabets need four plain words too, Hangul two.
 LEAST = {"alphabet": 20, "hangul": 10, "han": 6}
 
 _OUT = re.compile(
-    r"<!--.*?-->|</?[A-Za-z][^<>]{0,300}>|<[^<>\s@]+@[^<>\s]+>|\\(?:cite|label|ref|eqref|includegraphics|url|href)\*?(?:\[[^\]]*\])?\{[^{}]*\}|\\[A-Za-z]+\*?|\{\{[^{}]*\}\}|\$[^$\n]{1,200}\$|&#?\w{1,10};|\]\([^()\s]*\)|!\[|https?://\S+|\[\[(?:[^\[\]|]*\|)?|\]\]|[*_~`{}\[\]]{1,3}|^[>#=|\s]+",
+    r"<!--.*?-->|(?<![A-Za-z0-9_])<[A-Za-z][^<>]{0,300}>|</[A-Za-z][^<>]{0,300}>|<[a-zB][a-zR]{0,9}(?:\s[^<>]{0,300}|\s?/)?>|<[^<>\s@]+@[^<>\s]+>|\\(?:cite|label|ref|eqref|includegraphics|url|href)\*?(?:\[[^\]]*\])?\{[^{}]*\}|\\[A-Za-z]+\*?|\{\{[^{}]*\}\}|\$(?=[^$\n]*[\\^_={}])[^$\n]{1,100}\$|&#?\w{1,10};|\]\([^()\s]*\)|!\[|https?://\S+|\[\[(?:[^\[\]|]*\|)?|\]\]|[*~`{}\[\]]{1,3}|(?<![A-Za-z0-9])_{1,3}|_{1,3}(?![A-Za-z0-9])|^[>#=|\s]+",
     re.S | re.M,
 )
+_OUTER = ".,;:!?()\"'«»“”‘’。、，…"
 _HARD = chr(0xB6)
 _CJK = "぀-ヿ㐀-鿿"
 _JOIN = re.compile(f"(?<=[{_CJK}。，、；：])[ \\t]*\\n[ \\t]*(?=[{_CJK}])")
@@ -65,7 +66,8 @@ def segments(text: str | None) -> list[tuple[str, bool]]:
         if letters:
             hangul, han = len(_HANGUL.findall(s)), len(_HAN.findall(s))
             least = LEAST["hangul"] if 2 * hangul >= letters else LEAST["han"] if 2 * han >= letters else LEAST["alphabet"]
-            out.append((s, bool(_END.search(s)) and letters >= least))
+            words = sum(1 for w in s.split() if w.strip(_OUTER).replace("-", "").replace("'", "").isalpha())
+            out.append((s, bool(_END.search(s)) and letters >= least and words >= (4 if least == LEAST["alphabet"] else 2 if least == LEAST["hangul"] else 0)))
     return out
 
 
@@ -134,10 +136,10 @@ class Profiles:
         return out
 
     def name(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and confidence (0 to 1) of each text."""
+        """Language and confidence (0 to 1) of each text; null and 0 without profiles."""
+        if not len(texts) or not self.langs:
+            return [None] * len(texts), np.zeros(len(texts))
         d = self.distances(texts)
-        if not len(texts):
-            return [], np.zeros(0)
         two = np.sort(d, axis=1)[:, :2] if d.shape[1] > 1 else np.c_[d, np.full(len(d), float(PROFILE))]
         return [self.langs[k] for k in d.argmin(1)], (two[:, 1] - two[:, 0]) / np.maximum(two[:, 1], 1e-9)
 
@@ -184,7 +186,7 @@ def requested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profiles_of(spark: SparkSession, sf_dir: str, per_label: int = SAMPLE_BLOCKS) -> Profiles:
     """Profiles from at most `per_label` requested blocks of each label, chosen by a hash of the request."""
-    r = labelled(table(spark, sf_dir, "recognition_requests").select("request_id", "page_id", "block_id", "lang"), table(spark, sf_dir, "lang_aliases"))
+    r = labelled(table(spark, sf_dir, "recognition_requests").select("request_id", "page_id", "block_id", "lang").distinct(), table(spark, sf_dir, "lang_aliases"))
     by_hash = Window.partitionBy("label").orderBy(F.xxhash64("request_id"), "request_id")
     some = r.where("label IS NOT NULL").withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= per_label).select("page_id", "block_id", "label")
     # At most len(LANGS) * per_label rows.

@@ -398,3 +398,32 @@ def test_query_runs(spark, name):
         assert df.columns == columns[name]
         if name != "p6_ids":
             assert len(rows) == len(set(rows))
+
+
+@pytest.fixture(scope="module")
+def empty_tables(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("empty"))
+    for f in os.listdir(DATA):
+        spark.read.parquet(f"{DATA}/{f}").where("false").write.parquet(f"{folder}/{f}")
+    return folder
+
+
+@has_data
+@pytest.mark.parametrize("name", sorted(Q.queries()))
+def test_empty_tables(spark, empty_tables, name):
+    assert Q.queries()[name](spark, empty_tables).count() == 0
+
+
+@has_data
+@pytest.mark.parametrize("name", sorted(Q.queries()))
+def test_null_rows(spark, empty_tables, tmp_path, name):
+    """Tables with one more row of nulls, every row twice, and an extra column."""
+    for f in os.listdir(DATA):
+        t = spark.read.parquet(f"{DATA}/{f}")
+        nulls = spark.createDataFrame([tuple([None] * len(t.columns))], t.schema)
+        t.unionByName(t).unionByName(nulls).withColumn("k", F.lit("x")).write.parquet(f"{tmp_path}/{f}")
+    got = Q.queries()[name](spark, str(tmp_path))
+    if name.endswith("_found"):
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, Q.queries()[name](spark, DATA).collect()), key=repr)
+    else:
+        got.count()
