@@ -153,3 +153,13 @@ def test_reviews_fail_loudly(spark):
     bad = spark.createDataFrame([("s", 2, ["x"], ["B"])], good.schema)
     with pytest.raises(Exception, match="review of other blocks"):
         X.review_layouts(pages, bad).collect()
+
+
+def test_character_maps():
+    from quireflow.functions.fonts import utf16_map
+
+    data = b"1 beginbfchar\n<0003> <1f3e0>\n<0004> <0041>\nendbfchar\n1 beginbfrange\n<0005> <0006> <1F600>\n<0007> <0008> <0061>\nendbfrange\n<0001> <1f3e0>\n"
+    want = b"1 beginbfchar\n<0003> <d83cdfe0>\n<0004> <0041>\nendbfchar\n1 beginbfrange\n<0005> <0006> [<d83dde00> <d83dde01>]\n<0007> <0008> <0061>\nendbfrange\n<0001> <1f3e0>\n"
+    assert utf16_map(data) == want and utf16_map(want) == want and utf16_map(b"") == b""
+    with pytest.raises(ValueError):
+        utf16_map(b"1 beginbfchar\n<0003> <ffffff>\nendbfchar")
