@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from quireflow.functions import similarity as S
 from quireflow.functions import text as T
 from quireflow.plans.extract import BLOCKS, flat
-from quireflow.sources.tables import table
+from quireflow.sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,11 @@ def decisions(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "decisions").dropDuplicates(["decision_id"]).withColumn("other", F.array_join("candidate", " "))
 
 
+def delivered(s: SparkSession, d: str) -> DataFrame:
+    """Decisions as delivered, spread for costly comparisons; their results are made distinct, not their texts."""
+    return spread(table(s, d, "decisions").select("decision_id", "run_id", "original", "candidate")).withColumn("other", F.array_join("candidate", " "))
+
+
 NUMS = "regexp_extract_all({}, '[0-9]+(?:[.,-][0-9]+)*')"
 
 
@@ -53,20 +58,20 @@ def similarity_bound(s: SparkSession, d: str) -> DataFrame:
 @query()
 def similarity_ratio(s: SparkSession, d: str) -> DataFrame:
     """The exact ratio of original and second reading."""
-    return decisions(s, d).select("decision_id", F.round(S.similarity(F.col("original"), F.col("other")), 6).alias("ratio"))
+    return delivered(s, d).select("decision_id", F.round(S.similarity(F.col("original"), F.col("other")), 6).alias("ratio")).dropDuplicates(["decision_id"])
 
 
 @query()
 def line_guards(s: SparkSession, d: str) -> DataFrame:
     """The three guards of a second reading."""
-    return decisions(s, d).select("decision_id", *[S.guard(g, F.col("original"), F.col("candidate")).alias(g) for g in ("refinement_is_safe", "disagrees", "boundaries_usable")])
+    return delivered(s, d).select("decision_id", *[S.guard(g, F.col("original"), F.col("candidate")).alias(g) for g in ("refinement_is_safe", "disagrees", "boundaries_usable")]).dropDuplicates(["decision_id"])
 
 
 @query()
 def aligned_lines(s: SparkSession, d: str) -> DataFrame:
     """Originals cut where the second reading's lines end."""
-    t = decisions(s, d).where("size(candidate) > 0 AND NOT exists(candidate, x -> x IS NULL)")
-    return t.select("decision_id", S.align(F.col("original"), F.col("candidate")).alias("lines"))
+    t = delivered(s, d).where("size(candidate) > 0 AND NOT exists(candidate, x -> x IS NULL)")
+    return t.select("decision_id", S.align(F.col("original"), F.col("candidate")).alias("lines")).dropDuplicates(["decision_id"])
 
 
 @query()
@@ -155,8 +160,8 @@ def agreement_bands(s: SparkSession, d: str) -> DataFrame:
 
 
 def agreements(s: SparkSession, d: str) -> DataFrame:
-    t = decisions(s, d).where("length(original) > 0")
-    return t.withColumn("r", F.when(F.coalesce("other", F.lit("")) != "", S.similarity(T.dense(F.col("original")), T.dense(F.col("other")))))
+    t = delivered(s, d).where("length(original) > 0")
+    return t.select("decision_id", "original", "other", F.when(F.coalesce("other", F.lit("")) != "", S.similarity(T.dense(F.col("original")), T.dense(F.col("other")))).alias("r")).dropDuplicates(["decision_id"])
 
 
 @query()

@@ -32,3 +32,13 @@ def blocks(pages: DataFrame, *fields: str, keep: tuple[str, ...] = ("page_id",))
     return pages.select(*keep, e).where(F.col("_b").isNotNull()).select(
         *keep, (F.col("_p") + 1).cast("int").alias("ord"), *[F.col(f"_b.{f}").alias(f) for f in fields]
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, a scan or a narrow plan over one, in at least as many parts as the session runs tasks at once.
+
+    For work that costs far more time a row than moving the row does. Scans of a real corpus have
+    more parts than that and are left as they are.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= n else df.repartition(n)
