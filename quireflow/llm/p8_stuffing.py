@@ -52,20 +52,26 @@ _OF: dict[str, list[str]] = {}
 for _lang, _words in FUNCTION.items():
     for _w in _words:
         _OF.setdefault(_w, []).append(_lang)
-_URL = re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]]+", re.I)
+_URL = re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]]+|(?<![\w.-])[\w.-]+\.(?:example|test|invalid|com|net|org)/\S*", re.I)
+_HOST = re.compile(r"\.(?:example|test|invalid|com|net|org)/", re.I)
 _CJK, _HANGUL = re.compile("[぀-ヿ㐀-鿿]"), re.compile("[가-힣]")
 _INDEX = re.compile(r"(?:[^\d\s],\s*|\.{3,}\s*|\s[·…]+\s*)\d{1,4}(?:,\s*\d{1,4})*\s*$")
 _SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
 _STRIP = ".,;:!?()[]{}<>\"'«»“”|/·•*#-–—_=~"
 
 
+def _may_link(text: str) -> bool:
+    """False only where `_URL` finds nothing; a plain test, for most texts have no link."""
+    return "://" in text or ("." in text and ("www." in text.lower() or ("/" in text and _HOST.search(text) is not None)))
+
+
 class _Kinds(dict):
     """Printed word to (core, kind, languages of which it is a function word, whether a separator goes with it)."""
 
     def __missing__(self, word: str) -> tuple[str, str, tuple, bool]:
         core = word.strip(_STRIP).casefold()
         sep = word[-1] in ",;|/»·•" or not core
-        url = _URL.search(word) if "://" in word or "www." in word.lower() else None
+        url = _URL.search(word) if _may_link(word) else None
         if url:
             rest = re.sub(r"</?\w+/?>|[<>\"]", " ", word.replace(url[0], " ")).split()
             got = (rest[-1].casefold() if rest and rest[-1].isalpha() else "", "url", (), sep)
@@ -106,7 +112,7 @@ def _passages(text: str, top: set[str]) -> tuple[float, float]:
         if _INDEX.search(line):
             total += len(line.split())
             continue
-        for part in _SENTENCE.findall(_URL.sub(" https://x/ ", line) if "://" in line or "www." in line.lower() else line):
+        for part in _SENTENCE.findall(_URL.sub(" https://x/ ", line) if _may_link(line) else line):
             kinds = [_KINDS[w] for w in part.split()]
             n = sum(1 for k in kinds if k[1] != "sign")
             if not n:
@@ -162,7 +168,7 @@ def features(text: str | None) -> tuple[str, list[float], float] | None:
         if core and kind in ("content", "offer", "tag", "url"):
             cores[core] += c
     size = max(len(text), 1)
-    links = sum(map(len, _URL.findall(text))) / size if "://" in text or "www." in text.lower() else 0.0
+    links = sum(map(len, _URL.findall(text))) / size if _may_link(text) else 0.0
     content = sum(cores.values())
     most = cores.most_common(12)
     entropy = -sum(c / content * math.log(c / content) for c in cores.values()) / math.log(max(content, 2)) if content > 1 else 1.0

@@ -385,6 +385,21 @@ def test_stuffing(spark):
     assert P8.flagged(empty, P8.statistics(empty)).count() == 0
 
 
+def test_links_without_scheme():
+    """A list of hosts without a scheme is a link list like any other."""
+    r = random.Random(3)
+    bare = "\n".join(f"* shop{k}.example.{r.choice(['com', 'net', 'org'])}/toner-{k}" for k in range(30))
+    lang, x, stuffed = P8.features(bare)
+    assert x[0] > 0.5 and stuffed >= P8.MOST
+    assert P8.features("\n".join(f"* http://shop{k}.example.com/toner-{k}" for k in range(30)))[2] == stuffed
+    old = P8.re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]]+|[\w.-]+\.(?:example|test|invalid|com|net|org)/\S*", P8.re.I)
+    parts = ["shop", ".", ".COM/", ".te\u017ft/a", "/", " ", "www.", "http://", "-", "x", "\n", ")", "책", ".org"]
+    for _ in range(5000):
+        text = "".join(r.choices(parts, k=r.randint(1, 9)))
+        found = old.findall(text)
+        assert P8._URL.findall(text) == found and (P8._may_link(text) or not found)
+
+
 # All
 
 
