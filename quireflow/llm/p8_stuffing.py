@@ -100,6 +100,36 @@ class _Kinds(dict):
 _KINDS = _Kinds()
 
 
+class _Weights(dict):
+    """Printed word to (whether it counts, most words it makes stuffed by its kinds, its cores that may be frequent ones).
+
+    Of the words that `_passages` makes of it, which also cuts at signs inside a word. By its rules a
+    tag makes 2 words stuffed at most, a link 7, a number 1, an offer 4 and a frequent word 2.
+    """
+
+    def __missing__(self, word: str) -> tuple[bool, int, tuple]:
+        kinds = [_KINDS[w] for p in (_URL.sub(" https://x/ ", word) if _may_link(word) else word).split() for w in _SENTENCE.findall(p)]
+        most = sum({"tag": 2, "url": 7, "number": 1, "offer": 4}.get(k[1], 0) for k in kinds)
+        got = (any(k[1] != "sign" for k in kinds), most, tuple(k[0] for k in kinds if k[0] and k[1] != "offer"))
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = got
+        return got
+
+
+_WEIGHTS = _Weights()
+
+
+def _most_stuffed(counts: dict[str, int], top: set[str]) -> float:
+    """A share of words in stuffed passages that no text of these words exceeds."""
+    most = total = 0
+    for w, c in counts.items():
+        some, fixed, cores = _WEIGHTS[w]
+        total += c * some
+        most += c * (fixed + 2 * sum(k in top for k in cores))
+    return most / max(total, 1)
+
+
 def _passages(text: str, top: set[str]) -> tuple[float, float]:
     """(words in stuffed passages, all words). A passage is a sentence or an item of a line.
 
@@ -132,7 +162,7 @@ def _passages(text: str, top: set[str]) -> tuple[float, float]:
 
 
 def features(text: str | None) -> tuple[str, list[float], float] | None:
-    """(language, features, share of words in stuffed passages), or None for texts that are not judged."""
+    """(language, features, share of words in stuffed passages; 0 where it must be under `MOST`), or None for texts that are not judged."""
     words = text.split() if text else []
     cjk = len(_CJK.findall(text)) if words and not text.isascii() else 0
     if cjk * 3 > sum(map(len, words)):
@@ -178,9 +208,8 @@ def features(text: str | None) -> tuple[str, list[float], float] | None:
     copies = sum(len(s) * (c - 1) for s, c in again.items()) / size
     vector = [links, separators / n, by["tag"] / n, sum(c for _, c in most) / max(content, 1) if content >= 20 else 0.0, 1 - entropy, 1 - by["function"] / n, 1 - whole, by["offer"] / n, (by["number"] + by["sign"]) / n, copies]
     often = {w for w, c in cores.most_common(40) if c >= 3 and c >= 0.015 * content}
-    # No passage is stuffed beyond this many words, whatever its rule; most prose needs no look at its passages.
-    most_stuffed = 2 * by["tag"] + 8 * by["url"] + by["number"] + 2 * (by["offer"] + sum(c for w, c in cores.items() if w in often))
-    judged = links > 0.2 or (not cjk * 3 > sum(map(len, words)) and most_stuffed >= MOST * (n - by["sign"]))
+    # Most prose cannot be a case whatever its passages, and needs no look at them; its share is given as 0.
+    judged = links > 0.2 or (not cjk * 3 > sum(map(len, words)) and _most_stuffed(counts, often) >= MOST)
     stuffed, total = _passages(text, often) if judged else (0, 1)
     return lang, vector, stuffed / max(total, 1)
 

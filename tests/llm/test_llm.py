@@ -400,6 +400,37 @@ def test_links_without_scheme():
         assert P8._URL.findall(text) == found and (P8._may_link(text) or not found)
 
 
+def often(text):
+    """The frequent words of a text, as `features` names them."""
+    cores = Counter(P8._KINDS[w][0] for w in text.split() if P8._KINDS[w][1] in ("content", "offer", "tag", "url") and P8._KINDS[w][0])
+    return {w for w, c in cores.most_common(40) if c >= 3 and c >= 0.015 * sum(cores.values())}
+
+
+def test_offers_among_other_words():
+    """Twelve passages with two offers each, none of them frequent, are four fifths of the text."""
+    offers = sorted(w for w in P8.OFFERS if w.isascii() and w not in P8._OF)[:24]
+    fill = iter(f"{a}{b}" for a in "lens page column record margin binding reader cache shelf index".split() for b in "abcdefgh")
+    text = " ".join(f"{a} the {next(fill)} {next(fill)} {b} of {next(fill)} {next(fill)}." for a, b in zip(offers[::2], offers[1::2]))
+    text += " Here we were with the others and all that they have had was there before it could be known to each of us."
+    stuffed, total = P8._passages(text, often(text))
+    assert stuffed == 96 and P8.features(text)[2] == stuffed / total >= P8.MOST
+
+
+def test_bound_of_stuffed_words():
+    r = random.Random(5)
+    pool = "buy sale deal,now price.list the of and in lens lens page #toner #the #4kk 4kk 12 3.5 - € ,offer! ?cheap www.a.com/b http://x.y/z (shop.test.org/q) lens.page a.b.c margin lens\n".split(" ")
+    read = 0
+    for _ in range(4000):
+        part = r.sample(pool, r.randint(2, 7))
+        text = "".join(r.choice(part) + r.choice([" ", " ", " ", ". ", "\n"]) for _ in range(r.randint(8, 40)))
+        stuffed, total = P8._passages(text, often(text))
+        assert stuffed <= P8._most_stuffed(Counter(text.split()), often(text)) * max(total, 1) + 1e-9
+        got = P8.features(text)
+        assert got is None or got[2] == stuffed / max(total, 1) or (got[2] == 0 and stuffed < P8.MOST * total)
+        read += got is not None and got[2] > 0
+    assert read > 100
+
+
 # All
 
 
