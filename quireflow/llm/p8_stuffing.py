@@ -7,7 +7,8 @@ all documents. A document far out (`FAR` or more) whose deviation lies in spam-d
 directions, by `ASIDE` of its length or more (more links, tags and separators, more of few content words, less function words
 and fewer sentences) is flagged; a deviation that is mostly page numbers, codes, signs or
 sentences repeated word for word is not. A flagged document is a case if most of its words
-stand in stuffed passages.
+stand in stuffed passages. Texts of which more than a third are Japanese or Chinese signs are cut
+into words by script and known offers, and measured in signs instead of words.
 
 Language here is the one whose script and function words the text has. Null, empty and blank
 texts, and texts under `SHORT` words, are no cases and take no part in the statistics.
@@ -55,6 +56,18 @@ for _lang, _words in FUNCTION.items():
 _URL = re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]]+|(?<![\w.-])[\w.-]+\.(?:example|test|invalid|com|net|org)/\S*", re.I)
 _HOST = re.compile(r"\.(?:example|test|invalid|com|net|org)/", re.I)
 _CJK, _HANGUL = re.compile("[぀-ヿ㐀-鿿]"), re.compile("[가-힣]")
+# Japanese and Chinese are written without blanks: links end where other letters than ASCII begin, words are cut by script.
+_CJK_URL = re.compile(r"(?:https?://|www\.)[!#-&(*-;=?-\\^-~]+|(?<![\w.-])[\w.-]+\.(?:example|test|invalid|com|net|org)/[!-~]*", re.I | re.A)
+_CJK_OFFER = re.compile("|".join(sorted((w for w in OFFERS if _CJK.search(w)), key=lambda w: (-len(w), w))))
+_CJK_TAG = re.compile(r"[#＃][^\W\d_][^\s#＃,，、。.!！?？;；|｜/／]+")
+_FUNCTION_SIGN, _OFFER_SIGN = "".join(sorted(CJK_FUNCTION)), "".join(sorted({m[0] for m in _CJK_OFFER.pattern.split("|")}))
+_CJK_UNIT = re.compile(
+    rf"(?P<han>(?:(?![{_FUNCTION_SIGN}{_OFFER_SIGN}])[㐀-鿿々]|(?!{_CJK_OFFER.pattern})(?![{_FUNCTION_SIGN}])[{_OFFER_SIGN}])+)|(?P<function>[{_FUNCTION_SIGN}]+)|(?P<kana>[ァ-ヿ]+)"
+    rf"|(?P<offer>{_CJK_OFFER.pattern})|(?P<number>\d[\d.,]*)|(?P<latin>[A-Za-z]+)|(?P<tag>{_CJK_TAG.pattern})|(?P<other>[^\W\d_])"
+)
+_CJK_INDEX = re.compile(r"(?:[^\d\s][,，、]\s*|[.．]{3,}\s*|[·…・‥]+\s*)\d{1,4}(?:[,，、]\s*\d{1,4})*\s*$")
+_ELEMENT = re.compile(r"</?[A-Za-z][^<>]*>")
+_CJK_SEPARATORS = re.compile("[,，、;；|｜/／»·・•]")
 _INDEX = re.compile(r"(?:[^\d\s],\s*|\.{3,}\s*|\s[·…]+\s*)\d{1,4}(?:,\s*\d{1,4})*\s*$")
 _SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
 _STRIP = ".,;:!?()[]{}<>\"'«»“”|/·•*#-–—_=~"
@@ -161,12 +174,70 @@ def _passages(text: str, top: set[str]) -> tuple[float, float]:
     return stuffed, total
 
 
+def _cjk_units(text: str) -> list[tuple[str, str]]:
+    """(unit, kind) of a Japanese or Chinese text without links: offers, tags, function signs, numbers and content cut by script."""
+    out = []
+    for m in _CJK_UNIT.finditer(text):
+        unit, kind = m[0], m.lastgroup
+        if kind == "latin":
+            unit = unit.casefold()
+            kind = "offer" if unit in OFFERS else "content"
+        out.append((unit, kind if kind in ("tag", "offer", "function", "number") else "content"))
+    return out
+
+
+def _pairs(unit: str) -> list[str]:
+    """What is counted of a content unit: a Latin word as a whole, else its pairs of signs."""
+    return [unit] if unit.isascii() or len(unit) < 2 else [unit[i : i + 2] for i in range(len(unit) - 1)]
+
+
+def _cjk_passages(text: str) -> tuple[float, float]:
+    """`_passages` of a Japanese or Chinese text, in signs (of letters and digits) instead of words.
+
+    A content sign is a key if a pair of signs it stands in is frequent in the text. Function signs are
+    fewer in these scripts than function words elsewhere (0.2 to 0.4 of prose), and so are they here.
+    """
+    lines = []
+    for line in text.split("\n"):
+        line = _CJK_URL.sub("\0", line) if _may_link(line) else line
+        # Markup holds no words of the text, but may hold links.
+        line = _ELEMENT.sub(lambda m: " " + "\0" * m[0].count("\0"), line) if "<" in line else line
+        parts = _SENTENCE.findall(line)
+        lines.append((line, [_cjk_units(part) for part in parts], [part.count("\0") for part in parts]))
+    pairs = Counter(p for _, parts, _ in lines for units in parts for u, kind in units if kind == "content" for p in _pairs(u))
+    size = sum(pairs.values())
+    top = {p for p, c in pairs.most_common(80) if c >= 3 and c >= 0.015 * size}
+    stuffed = total = 0
+    for line, parts, hosts in lines:
+        index = bool(_CJK_INDEX.search(line))
+        for units, links in zip(parts, hosts):
+            by: Counter = Counter()
+            offers = keys = 0
+            for u, kind in units:
+                by[kind] += 2 if u.isascii() else len(u)
+                offers += kind == "offer"
+                if kind == "content":
+                    own = [p in top for p in _pairs(u)]
+                    keys += (2 if u.isascii() else len(u)) * own[0] if len(own) == 1 else own[0] + sum(a or b for a, b in zip(own, own[1:])) + own[-1]
+            # A link counts as a word of two signs, as a Latin word and a number do.
+            words, links = by["content"] + by["offer"] + by["function"] + by["tag"], 2 * links
+            n = words + links + by["number"]
+            total += n
+            if index or not n or (5 * by["number"] >= 2 * n and not offers and not links):
+                continue
+            keys += by["offer"]
+            if 2 * by["tag"] >= n or (links and words <= 6 * links and by["function"] <= links) or (words and keys + links >= 0.6 * (words + links) and by["function"] <= 0.15 * words) or (offers >= 2 and by["offer"] + keys >= 0.5 * words and by["function"] <= 0.25 * words):
+                stuffed += n
+    return stuffed, total
+
+
 def features(text: str | None) -> tuple[str, list[float], float] | None:
     """(language, features, share of words in stuffed passages; 0 where it must be under `MOST`), or None for texts that are not judged."""
     words = text.split() if text else []
     cjk = len(_CJK.findall(text)) if words and not text.isascii() else 0
-    if cjk * 3 > sum(map(len, words)):
-        plain = _URL.sub(" ", text)
+    unspaced = cjk * 3 > sum(map(len, words))
+    if unspaced:
+        plain = _CJK_URL.sub(" ", text)
         chars = Counter(c for c in plain if c.isalnum())
         n = sum(chars.values())
         if n < 4 * SHORT:
@@ -197,8 +268,13 @@ def features(text: str | None) -> tuple[str, list[float], float] | None:
         separators += c * sep
         if core and kind in ("content", "offer", "tag", "url"):
             cores[core] += c
+    if unspaced:
+        tags = _CJK_TAG.findall(plain)
+        by["tag"], by["offer"] = sum(map(len, tags)) - len(tags), sum(map(len, _CJK_OFFER.findall(plain))) + sum(len(w) for w in re.findall("[A-Za-z]+", plain) if w.casefold() in OFFERS)
+        # Two signs stand for a word.
+        separators = 2 * len(_CJK_SEPARATORS.findall(plain))
     size = max(len(text), 1)
-    links = sum(map(len, _URL.findall(text))) / size if _may_link(text) else 0.0
+    links = sum(map(len, (_CJK_URL if unspaced else _URL).findall(text))) / size if _may_link(text) else 0.0
     content = sum(cores.values())
     most = cores.most_common(12)
     entropy = -sum(c / content * math.log(c / content) for c in cores.values()) / math.log(max(content, 2)) if content > 1 else 1.0
@@ -209,8 +285,7 @@ def features(text: str | None) -> tuple[str, list[float], float] | None:
     vector = [links, separators / n, by["tag"] / n, sum(c for _, c in most) / max(content, 1) if content >= 20 else 0.0, 1 - entropy, 1 - by["function"] / n, 1 - whole, by["offer"] / n, (by["number"] + by["sign"]) / n, copies]
     often = {w for w, c in cores.most_common(40) if c >= 3 and c >= 0.015 * content}
     # Most prose cannot be a case whatever its passages, and needs no look at them; its share is given as 0.
-    judged = links > 0.2 or (not cjk * 3 > sum(map(len, words)) and _most_stuffed(counts, often) >= MOST)
-    stuffed, total = _passages(text, often) if judged else (0, 1)
+    stuffed, total = _cjk_passages(text) if unspaced else _passages(text, often) if _most_stuffed(counts, often) >= MOST else (0, 1)
     return lang, vector, stuffed / max(total, 1)
 
 

@@ -431,6 +431,25 @@ def test_bound_of_stuffed_words():
     assert read > 100
 
 
+def test_stuffing_without_blanks(spark):
+    """Japanese and Chinese pages of stacked keywords, product tags and links are cases; prose, copies and indexes are not."""
+    r = random.Random(6)
+    zh, ja = "段落 传感器 存储器 页边 镜头 字符 标题 目录 装订".split(), "段落 センサ 書架 余白 索引 製本 文字 通路 回路".split()
+    old = "旧 新 透明 宽阔 准确 狭窄".split()
+    prose = ["".join(f"{r.choice(old)}的{r.choice(zh)}慢慢地比较这个{r.choice(zh)}。因为{r.choice(zh)}说明了{r.choice(zh)}，所以{r.choice(zh)}会检查那个{r.choice(zh)}。" for _ in range(9)) for _ in range(250)]
+    prose += ["".join(f"{r.choice(ja)}と{r.choice(ja)}の間で古い{r.choice(ja)}をもう一度調べることがある。" for _ in range(12)) for _ in range(250)]
+    goods, offers = "扫描仪 碳粉盒 标签机 书架灯".split(), "购买 优惠 批发 包邮 价格 特价 折扣".split()
+    spam = ["，".join(f"{r.choice(offers)}{r.choice(goods)}" for _ in range(60)), " ".join(f"#{r.choice(goods)}{r.choice(offers)}" for _ in range(40)), "\n".join(f"{r.choice(goods)} http://x{k}.example/{k}" for k in range(30))]
+    goods, offers = "スキャナー トナー ラベルプリンター 本棚".split(), "激安 通販 送料無料 割引 最安値 口コミ".split()
+    spam += ["、".join(f"{r.choice(goods)}{r.choice(offers)}" for _ in range(60)), "\n".join(f"{r.choice(offers)}の{r.choice(goods)} {r.choice(goods)}{r.choice(offers)}" for _ in range(40))]
+    fine = ["\n".join(f"{r.choice(zh)}与{r.choice(zh)}, {r.randint(1, 99)}, {r.randint(100, 400)}" for _ in range(40)), "\n".join(f"{r.choice(ja)}と{r.choice(ja)}……{r.randint(1, 400)}" for _ in range(40)), "旧的传感器慢慢地比较这个字符。" * 30, "古い目録は索引の回路を別々に調べる。" * 30]
+    fine += ["".join(prose[0:1]) + "".join(f"<table><tr><td>{k}</td><td>{r.choice(zh)}与{r.choice(old)}</td></tr></table>\n" for k in range(30)), "".join(prose[1:2]) + "\nfor (printer = 0; printer < 69; printer++)\n    inventory[printer] = printer * 69;"]
+    df = spark.createDataFrame(list(enumerate(prose + spam + fine)), "doc_id long, text string")
+    x = P8.measured(df)
+    assert {g.doc_id for g in P8.flagged(x, P8.statistics(x)).where(f"outlier AND stuffed >= {P8.MOST}").collect()} == {500, 501, 502, 503, 504}
+    assert P8.features(spam[0])[1][7] > 0.3 and P8.features(spam[1])[1][2] > 0.5
+
+
 # All
 
 
