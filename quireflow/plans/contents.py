@@ -311,7 +311,7 @@ def column_churn(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_key, pages, rank() OVER (ORDER BY pages, lower(doc_key)) AS place FROM (SELECT doc_key, max(pages) AS pages FROM run_reports GROUP BY doc_key) ORDER BY place LIMIT 40")
 def document_order(s: SparkSession, d: str) -> DataFrame:
-    """The forty smallest documents by pages, then name."""
+    """The forty smallest documents by pages, then name. `document_places` has all of them."""
     g = table(s, d, "run_reports").groupBy("doc_key").agg(F.max("pages").alias("pages")).orderBy(F.asc_nulls_last("pages"), F.lower("doc_key")).limit(40)
     # Forty rows at most are ranked.
     return g.select("doc_key", "pages", F.rank().over(Window.orderBy(F.asc_nulls_last("pages"), F.lower("doc_key"))).cast("long").alias("place"))
@@ -332,6 +332,21 @@ def best_candidate(s: SparkSession, d: str) -> DataFrame:
     return r.select("entry_id", "page", "score", F.coalesce(F.col("score") - F.col("next") < 8, F.lit(False)).alias("ambiguous"))
 
 
+@query("SELECT doc_key, pages, rank() OVER (ORDER BY pages, lower(doc_key)) AS place FROM (SELECT doc_key, max(pages) AS pages FROM run_reports GROUP BY doc_key)")
+def document_places(s: SparkSession, d: str) -> DataFrame:
+    """Every document with its place by pages, then name.
+
+    Books of one size are ranked by name among themselves and moved on by the books of smaller sizes, so
+    that the only window over everything is one over the different sizes.
+    """
+    g = table(s, d, "run_reports").groupBy("doc_key").agg(F.max("pages").alias("pages"))
+    size = g.groupBy("pages").agg(F.count("*").alias("n"))
+    before = Window.orderBy(F.asc_nulls_last("pages")).rowsBetween(Window.unboundedPreceding, -1)
+    size = size.select(F.col("pages").alias("size"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = F.rank().over(Window.partitionBy("pages").orderBy(F.asc_nulls_last(F.lower("doc_key"))))
+    return g.withColumn("own", own).join(size, F.col("pages").eqNullSafe(F.col("size"))).select("doc_key", "pages", (F.col("before") + F.col("own")).cast("long").alias("place"))
+
+
 @query(f"SELECT run_id, string_agg(CAST(page_id AS VARCHAR) || ':' || ord, ' ' ORDER BY page, page_id, ord) AS headings FROM ({BLOCKS}) WHERE label IN ('doc_title', 'paragraph_title') GROUP BY run_id")
 def heading_order(s: SparkSession, d: str) -> DataFrame:
     """Headings of a run in reading order."""

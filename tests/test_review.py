@@ -27,3 +27,15 @@ def test_expected_text_is_whole(spark, tmp_path):
     assert longer and not any(got[k] for k in longer)
     blanks = changed(spark, tmp_path / "b", original=F.concat(F.lit(" 　"), F.replace("original", F.lit(" "), F.lit(" \n"))))
     assert sorted(map(tuple, QUERIES["expected_text"](spark, blanks).collect())) == sorted(map(tuple, QUERIES["expected_text"](spark, DATA).collect()))
+
+
+def test_document_places_has_every_book(spark, tmp_path):
+    books = [(f"Book {k % 90:02}", k % 7 if k % 11 else None) for k in range(180)] + [("book 03", 3), (None, 2)]
+    spark.createDataFrame(books, "doc_key string, pages int").coalesce(3).write.parquet(f"{tmp_path}/run_reports.parquet")
+    most = {}
+    for b, n in books:
+        most[b] = max((x for x in (most.get(b), n) if x is not None), default=None)
+    key = {b: (n is None, n or 0, b is None, (b or "").lower()) for b, n in most.items()}
+    got = {r.doc_key: (r.pages, r.place) for r in QUERIES["document_places"](spark, str(tmp_path)).collect()}
+    assert got == {b: (n, 1 + sum(k < key[b] for k in key.values())) for b, n in most.items()}
+    assert len(got) > 40 == QUERIES["document_order"](spark, str(tmp_path)).count()
