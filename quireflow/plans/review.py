@@ -35,7 +35,7 @@ def decisions(s: SparkSession, d: str) -> DataFrame:
 
 def delivered(s: SparkSession, d: str) -> DataFrame:
     """Decisions as delivered, spread for costly comparisons; their results are made distinct, not their texts."""
-    return spread(table(s, d, "decisions").select("decision_id", "run_id", "original", "candidate")).withColumn("other", F.array_join("candidate", " "))
+    return spread(table(s, d, "decisions").select("decision_id", "run_id", "page", "original", "candidate")).withColumn("other", F.array_join("candidate", " "))
 
 
 NUMS = "regexp_extract_all({}, '[0-9]+(?:[.,-][0-9]+)*')"
@@ -165,7 +165,7 @@ def agreement_bands(s: SparkSession, d: str) -> DataFrame:
 
 def agreements(s: SparkSession, d: str) -> DataFrame:
     t = delivered(s, d).where("length(original) > 0")
-    return t.select("decision_id", "original", "other", F.when(F.coalesce("other", F.lit("")) != "", S.similarity(T.dense(F.col("original")), T.dense(F.col("other")))).alias("r")).dropDuplicates(["decision_id"])
+    return t.select("decision_id", "run_id", "page", "original", "other", F.when(F.coalesce("other", F.lit("")) != "", S.similarity(T.dense(F.col("original")), T.dense(F.col("other")))).alias("r")).dropDuplicates(["decision_id"])
 
 
 @query()
@@ -178,18 +178,34 @@ def agreement_exact(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT run_id, round(coalesce(sum(r * length(original)) / sum(length(original)), 0), 4) AS weighted FROM (SELECT *, 2 * least(length(original), length(other)) / (length(original) + length(other)) AS r FROM ({DECISIONS}) WHERE length(original) > 0 AND other <> '') GROUP BY run_id")
 def weighted_agreement(s: SparkSession, d: str) -> DataFrame:
-    """Mean agreement weighted by characters."""
+    """Bound by lengths of the mean agreement weighted by characters; `weighted_agreement_exact` has the agreement itself."""
     t = decisions(s, d).where("length(original) > 0 AND other <> ''").withColumn("r", S.upper_bound(F.col("original"), F.col("other")))
     return t.groupBy("run_id").agg(F.round(F.coalesce(F.sum(F.col("r") * F.length("original")) / F.sum(F.length("original")), F.lit(0.0)), 4).alias("weighted"))
 
 
 @query(f"SELECT run_id, page, round(min(r), 6) AS worst FROM (SELECT *, 2 * least(length(original), length(other)) / (length(original) + length(other)) AS r FROM ({DECISIONS}) WHERE length(original) > 0 AND other <> '') GROUP BY run_id, page ORDER BY min(r), run_id, page LIMIT 12")
 def worst_pages(s: SparkSession, d: str) -> DataFrame:
-    """The twelve pages of least agreement."""
+    """The twelve pages of least bound by lengths, a stand-in for agreement; `worst_pages_exact` has the agreement itself."""
     t = decisions(s, d).where("length(original) > 0 AND other <> ''").withColumn("r", S.upper_bound(F.col("original"), F.col("other")))
     return t.groupBy("run_id", "page").agg(F.min("r").alias("r")).orderBy("r", "run_id", "page").limit(12).select("run_id", "page", F.round("r", 6).alias("worst"))
 
 
+@query()
+def weighted_agreement_exact(s: SparkSession, d: str) -> DataFrame:
+    """Mean exact agreement of a run weighted by characters."""
+    t = agreements(s, d).where("r IS NOT NULL")
+    n = F.length("original")
+    return t.groupBy("run_id").agg(F.round(F.coalesce(F.sum(F.col("r") * n) / F.sum(n), F.lit(0.0)), 4).alias("weighted"))
+
+
+@query()
+def worst_pages_exact(s: SparkSession, d: str) -> DataFrame:
+    """The twelve pages of least exact agreement of each run."""
+    t = agreements(s, d).where("r IS NOT NULL").groupBy("run_id", "page").agg(F.min("r").alias("r"))
+    n = F.row_number().over(Window.partitionBy("run_id").orderBy("r", "page"))
+    return t.withColumn("place", n).where("place <= 12").select("run_id", "page", F.round("r", 6).alias("worst"), F.col("place").cast("long").alias("place"))
+
+
 ITEM = "(?m)^[ \\t]*([0-9]{1,3})[.)]\\s"
 
 

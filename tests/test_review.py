@@ -39,3 +39,22 @@ def test_document_places_has_every_book(spark, tmp_path):
     got = {r.doc_key: (r.pages, r.place) for r in QUERIES["document_places"](spark, str(tmp_path)).collect()}
     assert got == {b: (n, 1 + sum(k < key[b] for k in key.values())) for b, n in most.items()}
     assert len(got) > 40 == QUERIES["document_order"](spark, str(tmp_path)).count()
+
+
+def decided(spark, folder, rows):
+    """A table of decisions (run_id, page, original, lines), each delivered twice."""
+    t = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "decision_id long, run_id long, page int, original string, candidate array<string>")
+    t.unionByName(t).write.parquet(f"{folder}/decisions.parquet")
+    return str(folder)
+
+
+def test_worst_pages_read_the_texts(spark, tmp_path):
+    """A page read wholly wrong at the same length is the worst of its run; each run has its own twelve."""
+    rows = [(1, p, "abcdefghij", ["abcdefghi" if p % 2 else "abcdefghij"]) for p in range(20)] + [(1, 90, "abcdefghij", ["zzzzzzzzzz"]), (1, 91, "abc", [""]), (1, 92, "abc", None)]
+    rows += [(2, p, "abcd", ["abcz"]) for p in range(3)]
+    d = decided(spark, tmp_path, rows)
+    got = [tuple(r) for r in QUERIES["worst_pages_exact"](spark, d).orderBy("run_id", "place").collect()]
+    first = [(90, 0.0)] + [(p, round(18 / 19, 6)) for p in range(1, 20, 2)] + [(0, 1.0)]
+    assert got == [(1, p, r, k) for k, (p, r) in enumerate(first, 1)] + [(2, p, 0.75, p + 1) for p in range(3)]
+    weighted = {r.run_id: r.weighted for r in QUERIES["weighted_agreement_exact"](spark, d).collect()}
+    assert weighted == {1: round((10 + 10 * 18 / 19) / 21, 4), 2: 0.75}
