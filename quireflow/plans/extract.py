@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quireflow.functions import similarity as S
 from quireflow.functions import text as T
 from quireflow.operators import extract as X
 from quireflow.sources.tables import blocks, table
@@ -300,10 +301,16 @@ def undecodable(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, regexp_replace(lower(text), '[ \\t\\r\\n\\f\\v]+', '', 'g') AS dense FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[\\x20-\\x7e\\s]*$')")
 def dense_text(s: SparkSession, d: str) -> DataFrame:
-    """ASCII texts without white space and case."""
+    """ASCII texts without white space and case; `dense_text_whole` has all."""
     return docs(s, d).where(F.col("text").rlike("^[\\x20-\\x7e\\s]*$")).select("doc_id", T.dense(F.col("text"), fold=True).alias("dense"))
 
 
+@query()
+def dense_text_whole(s: SparkSession, d: str) -> DataFrame:
+    """Every text without markup, white space and case."""
+    return docs(s, d).where("text IS NOT NULL").select("doc_id", S.dense_folded(F.col("text")).alias("dense"))
+
+
 HEADS = f"""SELECT page_id, page, run_id, ord, line, length(regexp_extract(raw, '^(#{{1,4}})\\s+(.+)$', 1)) AS level, trim(regexp_replace(regexp_extract(raw, '^(#{{1,4}})\\s+(.+)$', 2), '[*_`]', '', 'g')) AS title
   FROM (SELECT *, trim(unnest(string_split(content, chr(10)))) AS raw, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM ({BLOCKS}) WHERE content IS NOT NULL) WHERE regexp_matches(raw, '^#{{1,4}}\\s+.+$')"""
 

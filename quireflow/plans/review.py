@@ -43,11 +43,18 @@ NUMS = "regexp_extract_all({}, '[0-9]+(?:[.,-][0-9]+)*')"
 
 @query(f"SELECT decision_id, len({NUMS.format('original')}) AS n, array_to_string({NUMS.format('original')}, ' ') AS tokens FROM ({DECISIONS}) WHERE original IS NOT NULL AND NOT contains(original, '@')")
 def critical_tokens(s: SparkSession, d: str) -> DataFrame:
-    """Numbers in order with repeats."""
+    """Numbers in order with repeats, of texts without an at sign; `critical_tokens_whole` has all."""
     t = decisions(s, d).where("original IS NOT NULL AND NOT contains(original, '@')").withColumn("t", T.critical_tokens(F.col("original")))
     return t.select("decision_id", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tokens"))
 
 
+@query()
+def critical_tokens_whole(s: SparkSession, d: str) -> DataFrame:
+    """Numbers, and addresses where the text has an at sign, in order with repeats, of every original."""
+    t = decisions(s, d).where("original IS NOT NULL").select("decision_id", S.critical_of(F.col("original")).alias("t"))
+    return t.select("decision_id", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tokens"))
+
+
 @query(f"SELECT decision_id, CASE WHEN length(original) + length(other) > 0 THEN round(2 * least(length(original), length(other)) / (length(original) + length(other)), 6) ELSE 1 END AS bound, original = other AS same FROM ({DECISIONS}) WHERE original IS NOT NULL AND other IS NOT NULL")
 def similarity_bound(s: SparkSession, d: str) -> DataFrame:
     """Bound of the ratio by lengths, and equality."""
@@ -76,10 +83,10 @@ def aligned_lines(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def conserved_lines(s: SparkSession, d: str) -> DataFrame:
-    """Whether alignment keeps every character, by run."""
-    t = decisions(s, d).where("size(candidate) > 0 AND NOT exists(candidate, x -> x IS NULL) AND NOT contains(original, '<') AND NOT contains(original, '&') AND NOT contains(original, '$')")
+    """Whether alignment keeps every character of the text without markup, by run."""
+    t = decisions(s, d).where("original IS NOT NULL AND size(candidate) > 0 AND NOT exists(candidate, x -> x IS NULL)")
     t = t.withColumn("lines", S.align(F.col("original"), F.col("candidate")))
-    same = T.dense(F.array_join("lines", "")) == T.dense(F.col("original"))
+    same = T.bare(F.array_join("lines", "")) == T.bare(T.stripped(F.col("original")))
     return t.groupBy("run_id").agg(F.count("*").alias("blocks"), F.count_if(~same).alias("failures"), F.sum(F.size(F.filter("lines", lambda x: x == ""))).alias("empty_chunks"))
 
 
@@ -89,12 +96,20 @@ WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
 @query(f"""WITH t AS (SELECT decision_id, original, other, {WORDS.format('original')} AS a, {WORDS.format('other')} AS b FROM ({DECISIONS}) WHERE original IS NOT NULL AND other IS NOT NULL)
   SELECT decision_id, len(a) AS n_words, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda z: z = x)))))::BIGINT AS common FROM t WHERE len(a) > 0 AND regexp_matches(original, '^[\\x20-\\x7e\\s]*$') AND regexp_matches(other, '^[\\x20-\\x7e\\s]*$')""")
 def word_coverage(s: SparkSession, d: str) -> DataFrame:
-    """Words of the original that the second reading has, with repeats (ASCII texts)."""
+    """Words of the original that the second reading has, with repeats (ASCII texts; `word_coverage_whole` has all)."""
     t = decisions(s, d).where(F.col("original").rlike("^[\\x20-\\x7e\\s]*$") & F.col("other").rlike("^[\\x20-\\x7e\\s]*$"))
     a, b = S.words(F.col("original")), S.words(F.col("other"))
     return t.select("decision_id", F.size(a).cast("long").alias("n_words"), S.bag_common(a, b).cast("long").alias("common")).where("n_words > 0")
 
 
+@query()
+def word_coverage_whole(s: SparkSession, d: str) -> DataFrame:
+    """Words of the original that the second reading has, with repeats, in any script."""
+    t = decisions(s, d).where("original IS NOT NULL AND other IS NOT NULL")
+    a, b = S.words(F.col("original")), S.words(F.col("other"))
+    return t.select("decision_id", F.size(a).cast("long").alias("n_words"), S.bag_common(a, b).cast("long").alias("common")).where("n_words > 0")
+
+
 @query()
 def repair_is_safe(s: SparkSession, d: str) -> DataFrame:
     """Whether each second reading could replace the original."""
@@ -104,12 +119,19 @@ def repair_is_safe(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT decision_id, regexp_replace(original, '\\s+', '', 'g') AS a, regexp_replace(other, '\\s+', '', 'g') AS b, original, other FROM ({DECISIONS}) WHERE regexp_matches(original, '^[a-zA-Z0-9., \\n-]+$') AND regexp_matches(other, '^[a-zA-Z0-9., \\n-]+$'))
   SELECT decision_id, b LIKE '%' || array_to_string(string_split(a, ''), '%') || '%' AND length(b) <= greatest(1.6 * length(a), length(a) + 32) AND list_sort(regexp_extract_all(original, '[0-9]+')) = list_sort(list_filter(regexp_extract_all(other, '[0-9]+'), lambda x: true)) AS preserved FROM t""")
 def preserves_content(s: SparkSession, d: str) -> DataFrame:
-    """Whether the second reading keeps every character of the original in order (here: the same numbers)."""
+    """Whether the second reading keeps every character of the original in order (here: the same numbers, plain ASCII texts; `preserves_content_whole` has all)."""
     t = decisions(s, d).where(F.col("original").rlike("^[a-zA-Z0-9., \\n-]+$") & F.col("other").rlike("^[a-zA-Z0-9., \\n-]+$"))
     n = lambda c: F.array_sort(F.regexp_extract_all(F.col(c), F.lit("[0-9]+"), F.lit(0)))
     return t.select("decision_id", (S.preserves_content(F.col("original"), F.col("other")) & (n("original") == n("other"))).alias("preserved"))
 
 
+@query()
+def preserves_content_whole(s: SparkSession, d: str) -> DataFrame:
+    """Whether the second reading keeps every character and number of the original, in any script, markup aside."""
+    t = decisions(s, d).where("original IS NOT NULL AND other IS NOT NULL")
+    return t.select("decision_id", S.content_kept(F.col("original"), F.col("other")).alias("preserved"))
+
+
 @query(f"""WITH t AS (SELECT decision_id, regexp_replace(lower(original), '[ \\t\\r\\n\\f\\v]+', '', 'g') AS a, regexp_replace(lower(array_to_string(candidate, '')), '[ \\t\\r\\n\\f\\v]+', '', 'g') AS b, candidate FROM ({DECISIONS}) WHERE original IS NOT NULL AND candidate IS NOT NULL)
   SELECT decision_id, a <> '' AND b <> '' AND len(list_filter(candidate, lambda x: coalesce(trim(x), '') = '')) = 0 AND length(b) BETWEEN 0.75 * length(a) AND 1.25 * length(a) AS usable FROM t""")
 def length_ratio_usable(s: SparkSession, d: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Queries of reviews and orders over tables that differ from the test tables where it matters."""
 
 import os
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from quireflow.functions.text import text_units
 from quireflow.plans import registry
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -58,3 +61,40 @@ def test_worst_pages_read_the_texts(spark, tmp_path):
     assert got == [(1, p, r, k) for k, (p, r) in enumerate(first, 1)] + [(2, p, 0.75, p + 1) for p in range(3)]
     weighted = {r.run_id: r.weighted for r in QUERIES["weighted_agreement_exact"](spark, d).collect()}
     assert weighted == {1: round((10 + 10 * 18 / 19) / 21, 4), 2: 0.75}
+
+
+TEXTS = [
+    ("Mail a.b+c@x.org by 12.5, 12.5 and 3-4", ["Mail a.b+c@x.org by 12.5,", "12.5 and 3-4"]), ("가격은 1,200원 이다", ["가격은 1,200원", "이다 더"]), ("第3章 索引と余白", ["第3章 索引"]), ("第３章 价格 ５", ["第３章", "价格 ５"]),
+    ("Café déjà vu, Straße", ["CAFÉ déjà vu,", "Straße"]), ("<b>bold</b> &amp; 5 < 7", ["bold & 5", "< 7"]), ("costs $5$ and\u3000$x^2$ & more", ["costs $5$ and", "$x^2$ & more"]), ("page 12 of 12", ["page 12 of 1 2"]), ("", [""]), ("abc", [""]), ("a % b _ c", ["a % b _ c d"]),
+]
+
+
+def test_guards_read_every_text(spark, tmp_path):
+    d = decided(spark, tmp_path, [(1, 1, *t) for t in TEXTS] + [(2, 1, None, ["x"]), (2, 1, "x", None)])
+    both = [(a, " ".join(b)) for a, b in TEXTS]
+    pattern = lambda t: r"[\w.+-]+@[\w.-]+|\d+(?:[.,-]\d+)*" if "@" in t else r"\d+(?:[.,-]\d+)*"
+    tokens = {r.decision_id: (r.n, r.tokens) for r in QUERIES["critical_tokens_whole"](spark, d).collect()}
+    assert tokens == {k: (len(x := re.findall(pattern(a), a)), " ".join(x)) for k, (a, _) in enumerate([*both, (None, ""), ("x", "")]) if a is not None}
+    words = lambda t: Counter(re.findall(r"\w+", t.lower()))
+    coverage = {r.decision_id: (r.n_words, r.common) for r in QUERIES["word_coverage_whole"](spark, d).collect()}
+    assert coverage == {k: (words(a).total(), (words(a) & words(b)).total()) for k, (a, b) in enumerate(both) if words(a)}
+    kept = {}
+    for k, (a, b) in enumerate(both):
+        a, b = ("".join("".join(text_units(t)).split()) for t in (a, b))
+        at = 0
+        for c in a:
+            at = b.find(c, at) + 1 if at >= 0 else at
+            at = at or -1
+        numbers = [Counter(re.findall(r"\d+(?:[.,]\d+)*", t)) for t in (a, b)]
+        kept[k] = bool(a and b and at >= 0 and len(b) <= max(1.6 * len(a), len(a) + 32) and numbers[0] <= numbers[1])
+    got = {r.decision_id: r.preserved for r in QUERIES["preserves_content_whole"](spark, d).collect()}
+    assert got == kept and True in got.values() and False in got.values()
+    lines = {r.run_id: (r.blocks, r.failures) for r in QUERIES["conserved_lines"](spark, d).collect()}
+    assert lines == {1: (len(TEXTS), 0)}
+
+
+def test_dense_text_of_every_script(spark, tmp_path):
+    texts = [a for a, _ in TEXTS] + [None, "ÀB\u3000Ç\xa0ß"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.dense for r in QUERIES["dense_text_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: "".join("".join(text_units(t)).split()).casefold() for k, t in enumerate(texts) if t is not None}
