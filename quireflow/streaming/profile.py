@@ -6,13 +6,13 @@ same plan serves a live folder and a check against SQL.
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quireflow.operators.lineage import shared_folder
+
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """Stream of an events file or folder; event time is a zoned timestamp, which watermarks need."""
@@ -40,9 +40,9 @@ def fresh_only(samples: DataFrame, most: float) -> DataFrame:
 def to_table(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there now and give its result (of the size of its groups)."""
     name = "stream_" + uuid.uuid4().hex
-    folder = tempfile.mkdtemp() if spark.sparkContext.master.startswith("local[") else f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/{name}"
+    folder = f"{shared_folder(spark)}/{name}"
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
     query.awaitTermination()
-    if spark.sparkContext.master.startswith("local["):
-        shutil.rmtree(folder, ignore_errors=True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return spark.table(name)
