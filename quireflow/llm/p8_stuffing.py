@@ -3,12 +3,20 @@
 Method: robust Mahalanobis distance. Each document becomes a vector of density, entropy,
 repetition and function-word features. For each language the centre is the vector of medians
 and the scatter a covariance of the documents within three robust deviations of it, both over
-all documents. A document far out (`FAR` or more) whose deviation lies in spam-directed
-directions, by `ASIDE` of its length or more (more links, tags and separators, more of few content words, less function words
-and fewer sentences) is flagged; a deviation that is mostly page numbers, codes, signs or
-sentences repeated word for word is not. A flagged document is a case if most of its words
-stand in stuffed passages. Texts of which more than a third are Japanese or Chinese signs are cut
-into words by script and known offers, and measured in signs instead of words.
+all documents. A document whose deviation towards spam is `FAR` or more, and at least `ASIDE`
+of its whole distance, is an outlier in spam-directed directions and a case. Nothing else
+decides: there is no list a document must match and none that excuses it.
+
+Spam-directed are more links, tags, separators and offers, more passages without function
+words, few content words used over and over, and less function words and sentences. Two features
+speak for other kinds of pages and count towards the distance only: numbers and copies. Lines
+that end in page numbers (of indexes and contents) and passages that are mostly numbers, codes
+and signs of programs count as numbers; a sentence repeated word for word counts as a copy, and
+once in the other features.
+
+A Korean word with an ending is half a function word and half the content word before the
+ending. Widths of forms and ways of composing are evened out first. Texts of which more than a third are Japanese or Chinese signs are cut into units by
+script and known offers; content is counted by pairs of signs there.
 
 Language here is the one whose script and function words the text has. Null, empty and blank
 texts, and texts under `SHORT` words, are no cases and take no part in the statistics.
@@ -20,21 +28,29 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm.shared import saved
+from quireflow.operators.lineage import saved
 from quireflow.sources.tables import table
 
-FEATURES = ("links", "separators", "tags", "coverage", "lack_entropy", "lack_function", "lack_sentences", "offers", "numbers", "copies")
+FEATURES = ("links", "separators", "tags", "barren", "coverage", "lack_entropy", "lack_function", "lack_sentences", "offers", "numbers", "copies")
 #: Direction of spam for each feature: those with 0 speak for other kinds of lists.
-TOWARDS = np.array([1, 1, 1, 1, 1, 1, 1, 1, 0, 0], float)
-FAR, SHORT, FEW, MOST, ASIDE = 3.5, 8, 200, 0.45, 0.7
+TOWARDS = np.array([1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0], float)
+#: Least robust deviation of each feature, so that features most documents lack do not blow up.
+FLOOR = np.array([0.08, 0.08, 0.05, 0.2, 0.08, 0.08, 0.08, 0.3, 0.02, 0.1, 0.1])
+FAR, ASIDE, SHORT, FEW = 7.0, 0.7, 8, 60
+#: A text is expected to hold this many different content words at least, fewer only if it is shorter.
+TYPES = 150
+#: Share of numbers, codes and signs from which a passage is a list of them; share of function words up to which one is barren.
+CODES, BARREN = 0.45, 0.125
 
 # Function words by language, and words of offers.
 FUNCTION = {
@@ -46,16 +62,17 @@ FUNCTION = {
 OFFERS = frozenset(
     "buy sale deal deals cheap cheapest discount coupon wholesale price prices review reviews shipping online sku top best order shop offer offers promo bargain clearance kaufen günstig billig angebot angebote rabatt gutschein versand preis preise test bestellen kostenlos acheter promo remise soldes livraison prix avis cher gratuit comprar oferta ofertas descuento cupón envío precio barato gratis opiniones 구매 판매 할인 쿠폰 특가 최저가 도매 무료배송 추천 순위 후기 세일 가격 주문 激安 通販 送料無料 割引 口コミ 最安値 购买 优惠 折扣 批发 包邮 价格 特价".split()
 )
-KO_ENDS = tuple("은 는 이 가 을 를 의 에 에서 으로 로 와 과 도 며 면 고 다 지만 므로 때 게 히".split())
+KO_ENDS = "은 는 이 가 을 를 의 에 에서 으로 로 와 과 도 며 면 고 다 지만 므로 때 게 히".split()
 CJK_FUNCTION = frozenset("のはがをにとでたるいすもかられさこ的了在和是这那个把被从对之间会也就所因为")
 
-_OF: dict[str, list[str]] = {}
+_OF: dict[str, tuple[str, ...]] = {}
 for _lang, _words in FUNCTION.items():
     for _w in _words:
-        _OF.setdefault(_w, []).append(_lang)
+        _OF[_w] = (*_OF.get(_w, ()), _lang)
 _URL = re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]]+|(?<![\w.-])[\w.-]+\.(?:example|test|invalid|com|net|org)/\S*", re.I)
 _HOST = re.compile(r"\.(?:example|test|invalid|com|net|org)/", re.I)
 _CJK, _HANGUL = re.compile("[぀-ヿ㐀-鿿]"), re.compile("[가-힣]")
+_ENDING = re.compile(f"^(?=.*[가-힣])(..*?)(?:{'|'.join(sorted(KO_ENDS, key=len, reverse=True))})$")
 # Japanese and Chinese are written without blanks: links end where other letters than ASCII begin, words are cut by script.
 _CJK_URL = re.compile(r"(?:https?://|www\.)[!#-&(*-;=?-\\^-~]+|(?<![\w.-])[\w.-]+\.(?:example|test|invalid|com|net|org)/[!-~]*", re.I | re.A)
 _CJK_OFFER = re.compile("|".join(sorted((w for w in OFFERS if _CJK.search(w)), key=lambda w: (-len(w), w))))
@@ -63,14 +80,13 @@ _CJK_TAG = re.compile(r"[#＃][^\W\d_][^\s#＃,，、。.!！?？;；|｜/／]+"
 _FUNCTION_SIGN, _OFFER_SIGN = "".join(sorted(CJK_FUNCTION)), "".join(sorted({m[0] for m in _CJK_OFFER.pattern.split("|")}))
 _CJK_UNIT = re.compile(
     rf"(?P<han>(?:(?![{_FUNCTION_SIGN}{_OFFER_SIGN}])[㐀-鿿々]|(?!{_CJK_OFFER.pattern})(?![{_FUNCTION_SIGN}])[{_OFFER_SIGN}])+)|(?P<function>[{_FUNCTION_SIGN}]+)|(?P<kana>[ァ-ヿ]+)"
-    rf"|(?P<offer>{_CJK_OFFER.pattern})|(?P<number>\d[\d.,]*)|(?P<latin>[A-Za-z]+)|(?P<tag>{_CJK_TAG.pattern})|(?P<other>[^\W\d_])"
+    rf"|(?P<offer>{_CJK_OFFER.pattern})|(?P<url>\0)|(?P<tag>{_CJK_TAG.pattern})|(?P<number>\d[\d.,]*)|(?P<latin>[A-Za-z]+)|(?P<separator>[,，、;；|｜/／»·・•])|(?P<sign>[=<>{{}}+%&^])|(?P<other>[^\W\d_])"
 )
-_CJK_INDEX = re.compile(r"(?:[^\d\s][,，、]\s*|[.．]{3,}\s*|[·…・‥]+\s*)\d{1,4}(?:[,，、]\s*\d{1,4})*\s*$")
 _ELEMENT = re.compile(r"</?[A-Za-z][^<>]*>")
-_CJK_SEPARATORS = re.compile("[,，、;；|｜/／»·・•]")
-_INDEX = re.compile(r"(?:[^\d\s],\s*|\.{3,}\s*|\s[·…]+\s*)\d{1,4}(?:,\s*\d{1,4})*\s*$")
-_SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
+_INDEX = re.compile(r"(?:[^\d\s][,，、]\s*|[.．]{3,}\s*|[·…・‥]+\s*)\d{1,4}(?:[,，、]\s*\d{1,4})*\s*$")
+_PASSAGE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
 _STRIP = ".,;:!?()[]{}<>\"'«»“”|/·•*#-–—_=~"
+_PROGRAM = frozenset("=<>{}+%&^;")
 
 
 def _may_link(text: str) -> bool:
@@ -81,27 +97,26 @@ def _may_link(text: str) -> bool:
 class _Kinds(dict):
     """Printed word to (core, kind, languages of which it is a function word, whether a separator goes with it)."""
 
-    def __missing__(self, word: str) -> tuple[str, str, tuple, bool]:
+    def __missing__(self, word: str) -> tuple[str, str, tuple[str, ...], bool]:
         core = word.strip(_STRIP).casefold()
         sep = word[-1] in ",;|/»·•" or not core
         url = _URL.search(word) if _may_link(word) else None
         if url:
-            rest = re.sub(r"</?\w+/?>|[<>\"]", " ", word.replace(url[0], " ")).split()
-            got = (rest[-1].casefold() if rest and rest[-1].isalpha() else "", "url", (), sep)
+            got = ("", "url", (), sep)
         elif word[0] == "#" and len(word) > 3 and word[1].isalnum():
             got = (core, "tag", (), sep)
-        elif not core:
-            got = ("", "sign", (), True)
-        elif any(c.isdigit() for c in core):
+        elif not any(map(str.isalnum, core)):
+            got = ("", "program" if any(c in _PROGRAM for c in word) else "sign", (), not core)
+        elif word[0] == "-" and word.lstrip("-")[:1].isalpha():
+            got = ("", "program", (), sep)
+        elif any(map(str.isdigit, core)):
             got = (core, "number", (), sep)
         elif core in _OF:
-            got = (core, "function", tuple(_OF[core]), sep)
-        elif _HANGUL.search(core) and len(core) > 1 and core not in OFFERS and core.endswith(KO_ENDS):
-            got = (core, "function", ("ko",), sep)
+            got = (core, "function", _OF[core], sep)
         elif core in OFFERS:
             got = (core, "offer", (), sep)
-        elif not any(c.isalpha() for c in core):
-            got = (core, "sign", (), sep)
+        elif ending := _ENDING.match(core):
+            got = (ending[1], "inflected", (), sep)
         else:
             got = (core, "content", (), sep)
         if len(self) > 200_000:
@@ -113,196 +128,157 @@ class _Kinds(dict):
 _KINDS = _Kinds()
 
 
-class _Weights(dict):
-    """Printed word to (whether it counts, most words it makes stuffed by its kinds, its cores that may be frequent ones).
+class _Marks(dict):
+    """Printed word to one number: twice its part as a function word, numbers and program signs in millions, other signs in billions."""
 
-    Of the words that `_passages` makes of it, which also cuts at signs inside a word. By its rules a
-    tag makes 2 words stuffed at most, a link 7, a number 1, an offer 4 and a frequent word 2.
-    """
-
-    def __missing__(self, word: str) -> tuple[bool, int, tuple]:
-        kinds = [_KINDS[w] for p in (_URL.sub(" https://x/ ", word) if _may_link(word) else word).split() for w in _SENTENCE.findall(p)]
-        most = sum({"tag": 2, "url": 7, "number": 1, "offer": 4}.get(k[1], 0) for k in kinds)
-        got = (any(k[1] != "sign" for k in kinds), most, tuple(k[0] for k in kinds if k[0] and k[1] != "offer"))
+    def __missing__(self, word: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        self[word] = got
+        kind = _KINDS[word][1]
+        self[word] = got = {"function": 2, "inflected": 1, "number": 10**6, "program": 10**6, "sign": 10**9}.get(kind, 0)
         return got
 
 
-_WEIGHTS = _Weights()
+_MARKS = _Marks()
 
 
-def _most_stuffed(counts: dict[str, int], top: set[str]) -> float:
-    """A share of words in stuffed passages that no text of these words exceeds."""
-    most = total = 0
-    for w, c in counts.items():
-        some, fixed, cores = _WEIGHTS[w]
-        total += c * some
-        most += c * (fixed + 2 * sum(k in top for k in cores))
-    return most / max(total, 1)
-
-
-def _passages(text: str, top: set[str]) -> tuple[float, float]:
-    """(words in stuffed passages, all words). A passage is a sentence or an item of a line.
-
-    Stuffed: links with little else, tags, product lines, and words of which at least 0.6 are
-    offers or the document's most frequent content words while at most 0.4 are function words.
-    Lines that end in page numbers (of an index or contents) and lists mostly of codes without offers are not.
-    """
-    stuffed = total = 0
-    for line in text.split("\n"):
-        if _INDEX.search(line):
-            total += len(line.split())
-            continue
-        for part in _SENTENCE.findall(_URL.sub(" https://x/ ", line) if _may_link(line) else line):
-            kinds = [_KINDS[w] for w in part.split()]
-            n = sum(1 for k in kinds if k[1] != "sign")
-            if not n:
-                continue
-            total += n
-            own = [k[1] for k in kinds]
-            links, tags, offers, numbers = own.count("url"), own.count("tag"), own.count("offer"), own.count("number")
-            common = [k[1] for k in kinds if k[0] in top]
-            keys = offers + len(common) - common.count("offer")
-            function = own.count("function") - common.count("function")
-            words = n - links - numbers
-            if 5 * numbers >= 2 * n and not offers and not links:
-                continue
-            if 2 * tags >= n or (links and words <= 6 * links and function <= links) or (words and (keys + links) >= 0.6 * (words + links) and function <= 0.4 * words) or (offers >= 2 and offers + keys >= 0.5 * words and function <= 0.5 * words):
-                stuffed += n
-    return stuffed, total
-
-
-def _cjk_units(text: str) -> list[tuple[str, str]]:
-    """(unit, kind) of a Japanese or Chinese text without links: offers, tags, function signs, numbers and content cut by script."""
+def _cut_words(text: str) -> tuple[Counter, float]:
+    """(passages of a text in which words stand between blanks, share of its characters in links)."""
+    share = 0.0
+    if _may_link(text):
+        share = sum(map(len, _URL.findall(text))) / len(text)
+        text = _URL.sub(" https://x/ ", text)
+    return Counter(map(str.strip, _PASSAGE.findall(text))), share
+
+
+def _cut_signs(text: str) -> tuple[Counter, float]:
+    """`_cut_words` of a Japanese or Chinese text; its units stand between blanks in the passages then."""
+    share = 0.0
+    if _may_link(text):
+        share = sum(map(len, _CJK_URL.findall(text))) / len(text)
+        text = _CJK_URL.sub("\0", text)
+    # Markup holds no words of the text, but may hold links.
+    text = _ELEMENT.sub(lambda m: " " + "\0" * m[0].count("\0"), text) if "<" in text else text
+    return Counter(map(str.strip, _PASSAGE.findall(text))), share
+
+
+def _units(passage: str) -> list[str]:
+    """The units of a Japanese or Chinese passage, each after a letter for its kind (`_UNIT_KINDS`)."""
     out = []
-    for m in _CJK_UNIT.finditer(text):
+    for m in _CJK_UNIT.finditer(passage):
         unit, kind = m[0], m.lastgroup
         if kind == "latin":
             unit = unit.casefold()
             kind = "offer" if unit in OFFERS else "content"
-        out.append((unit, kind if kind in ("tag", "offer", "function", "number") else "content"))
+        if kind in ("han", "kana", "other"):
+            # What is counted of a content unit are its pairs of signs.
+            out += [f"c{unit[i : i + 2]}" for i in range(max(1, len(unit) - 1))]
+        else:
+            out.append(_UNIT_KINDS.get(kind, "c") + unit)
     return out
 
 
-def _pairs(unit: str) -> list[str]:
-    """What is counted of a content unit: a Latin word as a whole, else its pairs of signs."""
-    return [unit] if unit.isascii() or len(unit) < 2 else [unit[i : i + 2] for i in range(len(unit) - 1)]
-
-
-def _cjk_passages(text: str) -> tuple[float, float]:
-    """`_passages` of a Japanese or Chinese text, in signs (of letters and digits) instead of words.
-
-    A content sign is a key if a pair of signs it stands in is frequent in the text. Function signs are
-    fewer in these scripts than function words elsewhere (0.2 to 0.4 of prose), and so are they here.
-    """
-    lines = []
-    for line in text.split("\n"):
-        line = _CJK_URL.sub("\0", line) if _may_link(line) else line
-        # Markup holds no words of the text, but may hold links.
-        line = _ELEMENT.sub(lambda m: " " + "\0" * m[0].count("\0"), line) if "<" in line else line
-        parts = _SENTENCE.findall(line)
-        lines.append((line, [_cjk_units(part) for part in parts], [part.count("\0") for part in parts]))
-    pairs = Counter(p for _, parts, _ in lines for units in parts for u, kind in units if kind == "content" for p in _pairs(u))
-    size = sum(pairs.values())
-    top = {p for p, c in pairs.most_common(80) if c >= 3 and c >= 0.015 * size}
-    stuffed = total = 0
-    for line, parts, hosts in lines:
-        index = bool(_CJK_INDEX.search(line))
-        for units, links in zip(parts, hosts):
-            by: Counter = Counter()
-            offers = keys = 0
-            for u, kind in units:
-                by[kind] += 2 if u.isascii() else len(u)
-                offers += kind == "offer"
-                if kind == "content":
-                    own = [p in top for p in _pairs(u)]
-                    keys += (2 if u.isascii() else len(u)) * own[0] if len(own) == 1 else own[0] + sum(a or b for a, b in zip(own, own[1:])) + own[-1]
-            # A link counts as a word of two signs, as a Latin word and a number do.
-            words, links = by["content"] + by["offer"] + by["function"] + by["tag"], 2 * links
-            n = words + links + by["number"]
-            total += n
-            if index or not n or (5 * by["number"] >= 2 * n and not offers and not links):
-                continue
-            keys += by["offer"]
-            if 2 * by["tag"] >= n or (links and words <= 6 * links and by["function"] <= links) or (words and keys + links >= 0.6 * (words + links) and by["function"] <= 0.15 * words) or (offers >= 2 and by["offer"] + keys >= 0.5 * words and by["function"] <= 0.25 * words):
-                stuffed += n
-    return stuffed, total
-
-
-def features(text: str | None) -> tuple[str, list[float], float] | None:
-    """(language, features, share of words in stuffed passages; 0 where it must be under `MOST`), or None for texts that are not judged."""
-    words = text.split() if text else []
-    cjk = len(_CJK.findall(text)) if words and not text.isascii() else 0
-    unspaced = cjk * 3 > sum(map(len, words))
-    if unspaced:
-        plain = _CJK_URL.sub(" ", text)
-        chars = Counter(c for c in plain if c.isalnum())
-        n = sum(chars.values())
-        if n < 4 * SHORT:
-            return None
-        counts, kinds = chars, {c: (c, "function" if c in CJK_FUNCTION else "number" if c.isdigit() else "content", (), False) for c in chars}
-        lang = "ja" if any("぀" <= c <= "ヿ" for c in chars) else "zh"
-    else:
-        if len(words) < SHORT:
-            return None
-        counts = Counter(words)
-        kinds = {w: _KINDS[w] for w in counts}
-        n = len(words)
-        votes: Counter = Counter()
-        for w, c in counts.items():
-            for x in kinds[w][2]:
-                votes[x] += c
-        hangul = 0 if text.isascii() else len(_HANGUL.findall(text))
-        letters = sum(map(len, words))
-        lang = "ko" if hangul * 3 > letters else max(sorted(votes), key=votes.__getitem__) if votes and max(votes.values()) > 0 else "en"
-        if lang == "ko" and hangul * 3 <= letters:
-            lang = "en"
+_UNIT_KINDS = {"function": "f", "offer": "o", "url": "u", "tag": "t", "number": "n", "separator": "s", "sign": "p"}
+_KIND_OF = {"f": "function", "o": "offer", "u": "url", "t": "tag", "n": "number", "s": "sign", "p": "program", "c": "content"}
+_UNIT_MARKS = {"f": 2, "n": 10**6, "p": 10**6, "s": 10**9}
+
+
+def features(text: str | None) -> tuple[str, list[float]] | None:
+    """(language, features), or None for texts that are not judged."""
+    ascii_ = not text or text.isascii()
+    if not ascii_:
+        text = unicodedata.normalize("NFKC", text)
+    blanks = text.split() if text else []
+    letters = sum(map(len, blanks))
+    unspaced = not ascii_ and 3 * len(_CJK.findall(text)) > letters
+    if letters < 4 * SHORT if unspaced else len(blanks) < SHORT:
+        return None
+    index = 0
+    rest = text
+    if "\n" in text:
+        lines = text.split("\n")
+        listed = [x for x in lines if x.rstrip()[-1:].isdigit() and _INDEX.search(x)]
+        if listed:
+            index = sum(len(_units(x)) if unspaced else len(x.split()) for x in listed)
+            gone = set(listed)
+            rest = "\n".join(x for x in lines if x not in gone)
+    passages, links = (_cut_signs if unspaced else _cut_words)(rest) if rest else (Counter(), 0.0)
+    counts: Counter = Counter()
+    n = codes = barren = 0
+    function = 0.0
+    whole = copied = 0
+    kept: list[list[str]] = []
+    for passage, times in passages.items():
+        words = _units(passage) if unspaced else passage.split()
+        m = len(words)
+        if not m:
+            continue
+        mark = sum([_UNIT_MARKS.get(w[0], 0) for w in words] if unspaced else map(_MARKS.__getitem__, words))
+        signs, numbers, twice = mark // 10**9, mark // 10**6 % 1000, mark % 10**6
+        long = len(passage) > (8 if unspaced else 24)
+        if times > 1 and long:
+            copied += len(passage) * (times - 1)
+            times = 1
+        if m > signs and numbers >= CODES * (m - signs):
+            codes += m * times
+            continue
+        n += m * times
+        if twice <= 2 * BARREN * m:
+            barren += m * times
+        elif long and passage[-1] in ".!?。！？":
+            whole += m * times
+        function += times * twice / 2
+        if times == 1:
+            kept.append(words)
+        else:
+            for w in words:
+                counts[w] += times
+    counts.update(chain.from_iterable(kept))
     by: Counter = Counter()
     cores: Counter = Counter()
+    votes: Counter = Counter()
     separators = 0
     for w, c in counts.items():
-        core, kind, _, sep = kinds[w]
+        if unspaced:
+            kind = _KIND_OF[w[0]]
+            core, sep = w[1:], kind == "sign"
+        else:
+            core, kind, langs, sep = _KINDS[w]
+            for x in langs:
+                votes[x] += c
         by[kind] += c
         separators += c * sep
-        if core and kind in ("content", "offer", "tag", "url"):
+        if core and kind in ("content", "inflected", "offer", "tag"):
             cores[core] += c
     if unspaced:
-        tags = _CJK_TAG.findall(plain)
-        by["tag"], by["offer"] = sum(map(len, tags)) - len(tags), sum(map(len, _CJK_OFFER.findall(plain))) + sum(len(w) for w in re.findall("[A-Za-z]+", plain) if w.casefold() in OFFERS)
-        # Two signs stand for a word.
-        separators = 2 * len(_CJK_SEPARATORS.findall(plain))
-    size = max(len(text), 1)
-    links = sum(map(len, (_CJK_URL if unspaced else _URL).findall(text))) / size if _may_link(text) else 0.0
+        lang = "ja" if re.search("[぀-ヿ]", text) else "zh"
+    elif not ascii_ and 3 * len(_HANGUL.findall(text)) > letters:
+        lang = "ko"
+    else:
+        lang = max(sorted(votes), key=votes.__getitem__, default="en")
+    total = max(n + index + codes, 1)
+    judged = n / total
     content = sum(cores.values())
-    most = cores.most_common(12)
-    entropy = -sum(c / content * math.log(c / content) for c in cores.values()) / math.log(max(content, 2)) if content > 1 else 1.0
-    sentences = [s for s in _SENTENCE.findall(text) if len(s) > 24]
-    whole = sum(len(s) for s in sentences if s[-1] in ".!?。！？" and (cjk or any(_KINDS[w][1] == "function" for w in s.split()))) / size
-    again = Counter(sentences)
-    copies = sum(len(s) * (c - 1) for s, c in again.items()) / size
-    vector = [links, separators / n, by["tag"] / n, sum(c for _, c in most) / max(content, 1) if content >= 20 else 0.0, 1 - entropy, 1 - by["function"] / n, 1 - whole, by["offer"] / n, (by["number"] + by["sign"]) / n, copies]
-    often = {w for w, c in cores.most_common(40) if c >= 3 and c >= 0.015 * content}
-    # Most prose cannot be a case whatever its passages, and needs no look at them; its share is given as 0.
-    stuffed, total = _cjk_passages(text) if unspaced else _passages(text, often) if _most_stuffed(counts, often) >= MOST else (0, 1)
-    return lang, vector, stuffed / max(total, 1)
+    coverage = sum(c for _, c in cores.most_common(12) if c >= 3) / max(content, 1)
+    entropy = -sum(c / content * math.log(c / content) for c in cores.values()) / math.log(min(content, TYPES)) if content > 1 else 1.0
+    # Function words are not missed in lines and passages that are lists of numbers.
+    lacking = (n - function) / n if n else 0.0
+    return lang, [
+        links * judged, separators / total, by["tag"] / total, barren / total, coverage * judged, max(0.0, 1 - entropy) * judged, lacking, 1 - whole / total,
+        by["offer"] / total, (by["number"] + by["program"] + by["sign"] + index + codes) / total, copied / len(text),
+    ]
 
 
 def measured(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang, x ARRAY<DOUBLE>, stuffed) of every document that is judged."""
+    """(key, lang, x ARRAY<DOUBLE>) of every document that is judged."""
     source = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [(k, *f) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (f := features(t))]
-            yield pa.record_batch([pa.array([g[0] for g in got], batch.column(0).type), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.list_(pa.float64())), pa.array([g[3] for g in got], pa.float64())], names=["k", "lang", "x", "stuffed"])
+            yield pa.record_batch([pa.array([g[0] for g in got], batch.column(0).type), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.list_(pa.float64()))], names=["k", "lang", "x"])
 
-    return source.mapInArrow(run, f"k {dict(source.dtypes)['k']}, lang string, x array<double>, stuffed double").withColumnRenamed("k", key)
-
-
-#: Least robust deviation of each feature, so that features most documents lack do not blow up.
-FLOOR = np.array([0.02, 0.03, 0.02, 0.06, 0.04, 0.06, 0.06, 0.02, 0.04, 0.05])
+    return source.mapInArrow(run, f"k {dict(source.dtypes)['k']}, lang string, x array<double>").withColumnRenamed("k", key)
 
 
 def statistics(x: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -333,7 +309,7 @@ def statistics(x: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
 
 def flagged(x: DataFrame, stats: dict[str, tuple[np.ndarray, np.ndarray]], key: str = "doc_id", far: float = FAR) -> DataFrame:
-    """(key, lang, distance, directed, stuffed, outlier): robust distance, the part of it that points towards spam, and the flag."""
+    """(key, lang, distance, directed, outlier): robust distance, the part of it that points towards spam, and the flag."""
     sent = x.sparkSession.sparkContext.broadcast(stats)
     kind = dict(x.dtypes)[key]
 
@@ -351,14 +327,14 @@ def flagged(x: DataFrame, stats: dict[str, tuple[np.ndarray, np.ndarray]], key:
                 # The deviation's part towards spam: only features that deviate to that side.
                 to = np.where(TOWARDS > 0, np.maximum(dev, 0), 0)
                 directed[at] = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", to, inverse, to), 0))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(distance), pa.array(directed), batch.column(3)], names=[key, "lang", "distance", "directed", "stuffed"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(distance), pa.array(directed)], names=[key, "lang", "distance", "directed"])
 
-    return x.select(key, "lang", "x", "stuffed").mapInArrow(run, f"`{key}` {kind}, lang string, distance double, directed double, stuffed double").withColumn("outlier", (F.col("distance") >= far) & (F.col("directed") >= ASIDE * F.col("distance")))
+    return x.select(key, "lang", "x").mapInArrow(run, f"`{key}` {kind}, lang string, distance double, directed double").withColumn("outlier", (F.col("directed") >= far) & (F.col("directed") >= ASIDE * F.col("distance")))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = saved(measured(table(spark, sf_dir, "documents")))
-    return flagged(x, statistics(x)).where(f"outlier AND stuffed >= {MOST}").select("doc_id").distinct()
+    return flagged(x, statistics(x)).where("outlier").select("doc_id").distinct()
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

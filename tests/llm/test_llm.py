@@ -379,7 +379,7 @@ def test_stuffing(spark):
     texts = prose + spam + fine + [None, "", " ", "buy toner"]
     df = spark.createDataFrame(list(enumerate(texts)) + [(400, spam[0])], "doc_id long, text string")
     x = P8.measured(df)
-    got = {g.doc_id for g in P8.flagged(x, P8.statistics(x)).where(f"outlier AND stuffed >= {P8.MOST}").collect()}
+    got = {g.doc_id for g in P8.flagged(x, P8.statistics(x)).where("outlier").collect()}
     assert got == {400, 401, 402, 403}
     empty = P8.measured(df.where("false"))
     assert P8.flagged(empty, P8.statistics(empty)).count() == 0
@@ -389,9 +389,7 @@ def test_links_without_scheme():
     """A list of hosts without a scheme is a link list like any other."""
     r = random.Random(3)
     bare = "\n".join(f"* shop{k}.example.{r.choice(['com', 'net', 'org'])}/toner-{k}" for k in range(30))
-    lang, x, stuffed = P8.features(bare)
-    assert x[0] > 0.5 and stuffed >= P8.MOST
-    assert P8.features("\n".join(f"* http://shop{k}.example.com/toner-{k}" for k in range(30)))[2] == stuffed
+    assert P8.features(bare)[1][0] > 0.5
     old = P8.re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]]+|[\w.-]+\.(?:example|test|invalid|com|net|org)/\S*", P8.re.I)
     parts = ["shop", ".", ".COM/", ".te\u017ft/a", "/", " ", "www.", "http://", "-", "x", "\n", ")", "책", ".org"]
     for _ in range(5000):
@@ -400,35 +398,30 @@ def test_links_without_scheme():
         assert P8._URL.findall(text) == found and (P8._may_link(text) or not found)
 
 
-def often(text):
-    """The frequent words of a text, as `features` names them."""
-    cores = Counter(P8._KINDS[w][0] for w in text.split() if P8._KINDS[w][1] in ("content", "offer", "tag", "url") and P8._KINDS[w][0])
-    return {w for w, c in cores.most_common(40) if c >= 3 and c >= 0.015 * sum(cores.values())}
-
-
-def test_offers_among_other_words():
-    """Twelve passages with two offers each, none of them frequent, are four fifths of the text."""
-    offers = sorted(w for w in P8.OFFERS if w.isascii() and w not in P8._OF)[:24]
-    fill = iter(f"{a}{b}" for a in "lens page column record margin binding reader cache shelf index".split() for b in "abcdefgh")
-    text = " ".join(f"{a} the {next(fill)} {next(fill)} {b} of {next(fill)} {next(fill)}." for a, b in zip(offers[::2], offers[1::2]))
-    text += " Here we were with the others and all that they have had was there before it could be known to each of us."
-    stuffed, total = P8._passages(text, often(text))
-    assert stuffed == 96 and P8.features(text)[2] == stuffed / total >= P8.MOST
-
-
-def test_bound_of_stuffed_words():
-    r = random.Random(5)
-    pool = "buy sale deal,now price.list the of and in lens lens page #toner #the #4kk 4kk 12 3.5 - € ,offer! ?cheap www.a.com/b http://x.y/z (shop.test.org/q) lens.page a.b.c margin lens\n".split(" ")
-    read = 0
-    for _ in range(4000):
-        part = r.sample(pool, r.randint(2, 7))
-        text = "".join(r.choice(part) + r.choice([" ", " ", " ", ". ", "\n"]) for _ in range(r.randint(8, 40)))
-        stuffed, total = P8._passages(text, often(text))
-        assert stuffed <= P8._most_stuffed(Counter(text.split()), often(text)) * max(total, 1) + 1e-9
-        got = P8.features(text)
-        assert got is None or got[2] == stuffed / max(total, 1) or (got[2] == 0 and stuffed < P8.MOST * total)
-        read += got is not None and got[2] > 0
-    assert read > 100
+def test_features_by_hand():
+    lang, x = P8.features("The lens measures a column. The lens measures a column. buy toner, buy toner, buy toner\nshelf and line, 3, 17")
+    at = dict(zip(P8.FEATURES, x))
+    # Five words once, five of a copied sentence, six of a list, five of an index line: 21 - 5 judged or listed.
+    assert lang == "en" and at["offers"] == pytest.approx(3 / 16) and at["barren"] == pytest.approx(6 / 16) and at["numbers"] == pytest.approx(5 / 16) and at["copies"] > 0.1
+    assert at["lack_function"] == pytest.approx(9 / 11) and at["lack_sentences"] == pytest.approx(11 / 16)
+    assert P8.features("감지기는 글자의 버퍼를 따로 측정한다. 렌즈는 문서를 옮긴다.")[0] == "ko"
+    assert P8.features(None) is P8.features("") is P8.features(" \n") is P8.features("buy toner") is None
+    assert P8.features("ＢＵＹ " * 20) == P8.features("BUY " * 20)
+    assert P8.features("word " * 200_000)[1][4] == 1
+
+
+def test_distance_decides(spark):
+    """Without the part towards spam, or with another centre, the cases are lost: nothing but the distance names them."""
+    r = random.Random(8)
+    nouns = "lens page column record margin binding reader cache shelf index".split()
+    prose = [" ".join(f"The {r.choice(nouns)} compares the {r.choice(nouns)} behind a {r.choice(nouns)} while readers wait for it." for _ in range(8)) for _ in range(150)]
+    spam = [", ".join(f"{r.choice(['zorb', 'plin', 'quax'])} {r.choice(['fenn', 'drell'])}" for _ in range(60)), "\n".join(f"* [{r.choice(nouns)}](https://x{k}.example/a/b-{k})" for k in range(25))]
+    x = P8.measured(spark.createDataFrame(list(enumerate(prose + spam)), "doc_id long, text string"))
+    stats = P8.statistics(x)
+    # Neither case holds a word of the list of offers.
+    assert {g.doc_id for g in P8.flagged(x, stats).where("outlier").collect()} == {150, 151}
+    blind = {k: (m, v * 0.01) for k, (m, v) in stats.items()}
+    assert P8.flagged(x, blind).where("outlier").count() == 0
 
 
 def test_stuffing_without_blanks(spark):
@@ -446,8 +439,8 @@ def test_stuffing_without_blanks(spark):
     fine += ["".join(prose[0:1]) + "".join(f"<table><tr><td>{k}</td><td>{r.choice(zh)}与{r.choice(old)}</td></tr></table>\n" for k in range(30)), "".join(prose[1:2]) + "\nfor (printer = 0; printer < 69; printer++)\n    inventory[printer] = printer * 69;"]
     df = spark.createDataFrame(list(enumerate(prose + spam + fine)), "doc_id long, text string")
     x = P8.measured(df)
-    assert {g.doc_id for g in P8.flagged(x, P8.statistics(x)).where(f"outlier AND stuffed >= {P8.MOST}").collect()} == {500, 501, 502, 503, 504}
-    assert P8.features(spam[0])[1][7] > 0.3 and P8.features(spam[1])[1][2] > 0.5
+    assert {g.doc_id for g in P8.flagged(x, P8.statistics(x)).where("outlier").collect()} == {500, 501, 502, 503, 504}
+    assert P8.features(spam[0])[1][8] > 0.3 and P8.features(spam[1])[1][2] > 0.5
 
 
 # All
