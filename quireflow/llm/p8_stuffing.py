@@ -189,7 +189,8 @@ def features(text: str | None) -> tuple[str, list[float]] | None:
     if not ascii_:
         text = unicodedata.normalize("NFKC", text)
     blanks = text.split() if text else []
-    letters = sum(map(len, blanks))
+    # Markup says nothing of a text's script.
+    letters = sum(map(len, blanks if ascii_ or "<" not in text else _ELEMENT.sub(" ", text).split()))
     unspaced = not ascii_ and 3 * len(_CJK.findall(text)) > letters
     if letters < 4 * SHORT if unspaced else len(blanks) < SHORT:
         return None
