@@ -2,21 +2,26 @@
 
 Method: a recurrent block labeller. The lines of all blocks of a page are its leaf sequence;
 each leaf is a vector of its tag path (open elements, environments, fences and line prefix)
-and of its words and signs hashed into a fixed number of places. A bidirectional LSTM in
-numpy reads the page's leaves in both directions, and every block is classified from the
-mean of its leaves' states: plain, HTML, Markdown, wiki or LaTeX.
-
-The model is fitted here, on at most `SAMPLE_PAGES` pages chosen by a hash of their id, whose
-blocks a grammar of the notations labels (the tables hold no such labels). It then reads every
-page whole. A block the labeller finds likely (`LIKELY` or more against plain) is then checked
-against the grammar and rewritten.
-
-Null and empty contents are plain. Repeated rows of a page give equal results, counted once.
+and of its words and signs, each sign with what stands beside it, hashed into a fixed number of
+places. A bidirectional LSTM in numpy reads the page's leaves in both directions, and every block
+is classified from the mean and the largest of its leaves' states: plain, HTML, Markdown, wiki or LaTeX. That
+class decides, and names the notation a block is rewritten from.
+
+The tables hold no labels of markup, so the model is fitted on rendered pages (`rendered`): at
+most `SAMPLE_PAGES` pages are chosen by a hash of their id; of their blocks without any sign of a
+notation some are written in a notation, some get signs that are none (type names, prices, paths,
+comparisons, printed numbering and the like) and some stay. Blocks that hold signs themselves are
+read as context but teach nothing, but for those labelled code, which are plain by definition.
+The model then reads every page whole.
+
+Null and empty contents are plain, and so are blocks labelled code. Repeated rows of a page give
+equal results, counted once.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,76 +34,71 @@ from pyspark.sql import functions as F
 
 from quireflow.sources.tables import table
 
-SAMPLE_PAGES, LIKELY = 2500, 0.004
+SAMPLE_PAGES = 3000
 CLASSES = ("plain", "html", "markdown", "wiki", "latex")
-HASHED, PATHS, LABELS, HIDDEN = 72, 20, 4, 20
+WORDS, HASHED, PATHS, LABELS, HIDDEN = 24, 128, 20, 4, 20
 INPUT = HASHED + PATHS + LABELS
 
-# Grammar. Element names of HTML that text carries.
+# Element names of HTML that text carries.
 TAGS = "a|abbr|article|aside|b|big|blockquote|body|br|caption|center|cite|code|col|colgroup|dd|del|div|dl|dt|em|figcaption|figure|font|footer|form|h[1-6]|head|header|hr|html|i|img|input|ins|kbd|li|link|main|mark|meta|nav|nobr|ol|option|p|pre|q|ref|references|s|samp|script|section|select|small|span|strike|strong|style|sub|sup|svg|table|tbody|td|textarea|tfoot|th|thead|title|tr|tt|u|ul|var|wbr|nowiki"
-TAG = re.compile(rf"</(?:{TAGS})\s*>|(?:(?<![A-Za-z0-9_])<(?:{TAGS})|<(?-i:{TAGS}|BR|TABLE|TR|TD|TH|P|B|I))(?:\s+[^<>]*|\s*/)?>", re.I)
 COMMENT = re.compile(r"<!--.*?-->|<!DOCTYPE[^>]*>|<!\[CDATA\[", re.S | re.I)
-ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
-WIKI = re.compile(r"\[\[[^\[\]\n]+\]\]|'''?[^'\n]+'''?|^(={2,6})[^=\n].*\1\s*$|\{\{[^{}]+\}\}|^\{\|.*$|^\|-(?!-)|<ref[ >/]|^\|\}\s*$", re.M)
-MARKDOWN = re.compile(
-    r"^ {0,3}#{1,6} +\S|^ {0,3}>+ \S|^ *```|^ *~~~\w*\s*$|^\|?(?: *:?-{2,}:? *\|)+|^[*+-] +(?:\[[ xX]\] +)?\S.*\n[*+-] +\S|!\[[^\]\n]*\]\([^()\s]+\)|\[[^\]\n]+\]\([^()\s]+\)|^\[[^\]\n]+\]: +\S+|(?<![\w*])\*{1,3}(?![\s*])[^*\n]+(?<![\s*])\*{1,3}(?![\w*])|(?<=[가-힣぀-ヿ㐀-鿿。，、])\*{1,3}(?![\s*])[^*\n]+(?<![\s*])\*{1,3}|(?<![A-Za-z0-9À-ÿ_])__(?![\s_])[^_\n]+(?<!\s)__(?![A-Za-z0-9À-ÿ_])|~~(?!\s)[^~\n]+(?<!\s)~~|(?<!`)`[^`\n]+`(?!`)",
-    re.M,
-)
-LATEX = re.compile(
-    r"(?<!:)(?<![A-Za-z0-9]\\)(?<![A-Za-z0-9_])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{|\\(?:begin|end|section|subsection|textbf|textit|emph|underline|cite|label|ref|footnote)\*?\{|(?<![A-Za-z0-9:_\\])\\(?:item|times|cdot|pm|leq?|geq?|neq?|approx|int|sum|frac|sqrt|alpha|beta|gamma|ldots|hline|par|noindent|newpage|maketitle)(?![A-Za-z])|\\\[.*?\\\]|\\\(.*?\\\)|\$\$.+?\$\$|(?<![\\$\w])\$(?=[^$\n]*[\\^_={}])[^$\n]{1,200}\$|(?<!\w)~\\cite",
-    re.S,
-)
-
-
-def _entities(text: str) -> bool:
-    return any(m[1][0] == "#" or m[1] + ";" in html5 for m in ENTITY.finditer(text))
-
-
-def notation(text: str | None, label: str | None = None) -> str:
-    """The notation `text` holds by grammar, or plain. Program text in blocks labelled code is plain."""
-    if not text or label == "code":
-        return "plain"
-    if TAG.search(text) and not (len(TAG.findall(text)) and re.fullmatch(r"(?s).*<ref[^>]*>.*", text) and WIKI.search(text)):
-        return "html"
-    if WIKI.search(text):
-        return "wiki"
-    if LATEX.search(text):
-        return "latex"
-    if MARKDOWN.search(text):
-        return "markdown"
-    return "html" if COMMENT.search(text) or ("&" in text and _entities(text)) else "plain"
 
 
 # Leaves and their vectors.
 
-_TOKEN = re.compile(r"</?[A-Za-z][^<>\n]{0,300}>|<!--|-->|&#?\w{1,32};|\\[A-Za-z]+|[^\W_]+(?:_[^\W_]+)*|_+|[^\w\s]{1,3}")
+_TOKEN = re.compile(r"</?[A-Za-z][^<>\n]*>|<!--|-->|&#?\w{1,32};|\\[A-Za-z]+|[^\W_]+(?:_[^\W_]+)*|_+|[^\w\s]{1,3}")
 _OPEN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)[^<>]*?(/?)>")
 _SIGNS = re.compile(r"[<>{}$\\#*_\[\]|`=&~^']|[+-] ")
 _VOID = frozenset("br hr img input meta link col wbr".split())
 
 
+_NAMES = frozenset(re.sub(r"h\[1-6\]", "h1|h2|h3|h4|h5|h6", TAGS).split("|"))
+
+
+#: What is told apart from all else, whatever stands beside it: elements, comments, entities and commands; the rest is hashed.
+_OWN = ("<>", "<>a", "<?>", "<?>a", "<!--", "-->", "&;", "&?", "\\command")
+
+
 class _Places(dict):
-    """Token to its place: plain words in the first 24, signs and markup in the others."""
+    """Word, or sign between what stands left and right of it, to its place: words in the first `WORDS`."""
 
     def __missing__(self, token: str) -> int:
-        if token[0].isalnum():
-            got = 23 if "_" in token else 22 if token.isdigit() else zlib.crc32(token.casefold().encode("utf-8", "surrogatepass")) % 22
-        else:
-            m = re.match(r"</?([A-Za-z][A-Za-z0-9]*)([^<>]*)>$", token)
-            if m:
-                token = f"<{m[1].lower()}>" if re.fullmatch(TAGS, m[1].lower()) else "<mail>" if "@" in token else "<?>"
-            elif token[0] == "&" and len(token) > 1:
-                token = "&;" if token[1] == "#" or token[1:] in html5 else "&?"
-            got = 24 + zlib.crc32(token.encode("utf-8", "surrogatepass")) % (HASHED - 24)
         if len(self) > 200_000:
             self.clear()
-        self[token] = got
+        self[token] = got = self._place(token)
         return got
 
+    def _place(self, token: str) -> int:
+        left, token, right = token[:1], token[1:-1], token[-1:]
+        if token[0].isalnum():
+            return WORDS - 1 if "_" in token else WORDS - 2 if token.isdigit() else zlib.crc32(token.casefold().encode("utf-8", "surrogatepass")) % (WORDS - 2)
+        m = re.match(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>$", token)
+        if m:
+            known = m[2].lower() in _NAMES and (m[2].islower() or m[2].isupper() or m[2][1:].isdigit()) and "@" not in token
+            # An element that begins at a word is most often a type.
+            token = ("<>" if known else "<?>") + (left if left == "a" and not m[1] else "")
+        elif token[0] == "&" and len(token) > 1:
+            token = "&;" if token[1] == "#" or token[1:] in html5 else "&?"
+        elif token[0] == "\\":
+            token = f"{left}\\{'{' if right == '{' else ''}" if token[1:] not in COMMANDS else "\\command"
+        elif token not in ("<!--", "-->"):
+            token = left + token + right
+        if token in _OWN:
+            return WORDS + _OWN.index(token)
+        return WORDS + len(_OWN) + zlib.crc32(token.encode("utf-8", "surrogatepass")) % (HASHED - WORDS - len(_OWN))
+
+
+#: Commands of LaTeX that stand without braces.
+COMMANDS = frozenset("item times cdot pm le leq ge geq ne neq approx int sum frac sqrt alpha beta gamma ldots hline par noindent newpage maketitle".split())
+
 
 _PLACES = _Places()
 
 
+def _beside(c: str) -> str:
+    return " " if not c or c.isspace() else "a" if c.isalnum() else "{" if c == "{" else "."
+
+
 def _path_place(name: str) -> int:
     return zlib.crc32(name.encode()) % 8
 
@@ -114,10 +114,18 @@ def page_leaves(contents: list[str | None], labels: list[str | None]) -> tuple[l
         sizes.append(len(lines))
         for line in lines:
             if not _SIGNS.search(line) and not (stack or fenced or env or wiki):
-                tokens.append([_PLACES[w] for w in line.split() if w[0].isalnum()])
+                tokens.append([_PLACES[f" {w} "] for w in line.split() if w[0].isalnum()])
                 paths.append([kind])
                 continue
-            tokens.append([_PLACES[w] for w in _TOKEN.findall(line)])
+            places = []
+            for m in _TOKEN.finditer(line):
+                w = m[0]
+                if w[0].isalnum():
+                    places.append(_PLACES[f" {w} "])
+                else:
+                    i, j = m.span()
+                    places.append(_PLACES[_beside(line[i - 1 : i]) + w + _beside(line[j : j + 1])])
+            tokens.append(places)
             head = line.lstrip()
             path = {kind}
             fence = head.startswith(("```", "~~~"))
@@ -126,6 +134,8 @@ def page_leaves(contents: list[str | None], labels: list[str | None]) -> tuple[l
             env = (env or "\\begin{" in line) and "\\end{" not in line
             for close, name, alone in _OPEN.findall(line):
                 name = name.lower()
+                if name not in _NAMES:
+                    continue
                 if close:
                     if name in stack:
                         del stack[len(stack) - 1 - stack[::-1].index(name) :]
@@ -152,6 +162,7 @@ def vectors(pages: list[tuple[list, list]]) -> tuple[np.ndarray, np.ndarray, np.
     n = len(tokens)
     x = np.bincount(np.repeat(np.arange(n), [len(t) for t in tokens]) * INPUT + np.fromiter((v for t in tokens for v in t), np.int64), minlength=n * INPUT).reshape(n, INPUT).astype(np.float32)
     np.log1p(x, out=x)
+    x[:, :WORDS] *= 0.3
     at = np.repeat(np.arange(n), [len(p) for p in paths])
     x[at, np.fromiter((v for p in paths for v in p), np.int64)] = 1
     return x, np.array(per_page, np.int64), np.array(sizes, np.int64)
@@ -174,7 +185,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Labeller:
-    """Bidirectional LSTM over leaves, softmax over the mean state of each block."""
+    """Bidirectional LSTM over leaves, softmax over the mean and the largest states of each block."""
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
@@ -184,7 +195,7 @@ class Labeller:
             self.p[f"h{d}"] = r.normal(0, 0.15, (HIDDEN, 4 * HIDDEN)).astype(np.float32)
             self.p[f"c{d}"] = np.zeros(4 * HIDDEN, np.float32)
             self.p[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1
-        self.p["out"] = r.normal(0, 0.15, (2 * HIDDEN, len(CLASSES))).astype(np.float32)
+        self.p["out"] = r.normal(0, 0.15, (4 * HIDDEN, len(CLASSES))).astype(np.float32)
         self.p["bias"] = np.zeros(len(CLASSES), np.float32)
 
     def _read(self, x: np.ndarray, steps: list[np.ndarray], d: str, keep: bool) -> tuple[np.ndarray, list]:
@@ -231,13 +242,21 @@ class Labeller:
         return self._classify(both, sizes)[0]
 
     def _classify(self, both: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mean = np.add.reduceat(both, np.r_[0, np.cumsum(sizes)[:-1]]) / sizes[:, None]
-        z = mean @ self.p["out"] + self.p["bias"]
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        pooled = np.concatenate([np.add.reduceat(both, starts) / sizes[:, None], np.maximum.reduceat(both, starts)], 1)
+        z = pooled @ self.p["out"] + self.p["bias"]
         e = np.exp(z - z.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True), mean
+        return e / e.sum(1, keepdims=True), pooled
 
-    def fit(self, pages: list[tuple[list, list]], targets: list[list[int]], epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Labeller:
+    def _unpool(self, grad: np.ndarray, both: np.ndarray, pooled: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Gradient of the leaves' states from that of the blocks' scores."""
+        g = grad @ self.p["out"].T
+        mean, most = g[:, : 2 * HIDDEN] / sizes[:, None], g[:, 2 * HIDDEN :]
+        return np.repeat(mean, sizes, 0) + np.repeat(most, sizes, 0) * (both == np.repeat(pooled[:, 2 * HIDDEN :], sizes, 0))
+
+    def fit(self, pages: list[tuple[list, list]], targets: list[list[int]], epochs: int = 10, batch: int = 48, rate: float = 0.01, seed: int = 7) -> Labeller:
         r = np.random.default_rng(seed)
+        """Targets are places in CLASSES; below 0 a block teaches nothing."""
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         ready = [vectors([p]) for p in pages]
@@ -253,11 +272,14 @@ class Labeller:
                 y = np.concatenate([targets[k] for k in own])
                 steps = {d: _steps(lengths, d == "b") for d in "fb"}
                 read = {d: self._read(x, steps[d], d, True) for d in "fb"}
-                prob, mean = self._classify(np.concatenate([read[d][0] for d in "fb"], 1), sizes)
-                prob[np.arange(len(y)), y] -= 1
-                prob /= len(y)
-                g = {"out": mean.T @ prob, "bias": prob.sum(0)}
-                back = np.repeat((prob @ self.p["out"].T) / sizes[:, None], sizes, 0)
+                both = np.concatenate([read[d][0] for d in "fb"], 1)
+                prob, pooled = self._classify(both, sizes)
+                known = y >= 0
+                prob[np.flatnonzero(known), y[known]] -= 1
+                prob[~known] = 0
+                prob /= max(known.sum(), 1)
+                g = {"out": pooled.T @ prob, "bias": prob.sum(0)}
+                back = self._unpool(prob, both, pooled, sizes)
                 for k, d in enumerate("fb"):
                     self._back(x, steps[d], d, read[d][1], back[:, k * HIDDEN : (k + 1) * HIDDEN], g)
                 step += 1
@@ -270,6 +292,178 @@ class Labeller:
         return self
 
 
+# Rendering of labelled pages.
+
+
+def _inside(words: list[str], r: random.Random, around) -> str:
+    """The words with `around` made of one to three of them."""
+    n = min(r.choice((1, 1, 1, 2, 3)), len(words))
+    at = r.randrange(len(words) - n + 1)
+    return " ".join([*words[:at], around(" ".join(words[at : at + n])), *words[at + n :]])
+
+
+def _between(words: list[str], r: random.Random, piece: str) -> str:
+    at = r.randint(0, len(words))
+    return " ".join([*words[:at], piece, *words[at:]])
+
+
+def _items(words: list[str], r: random.Random) -> list[str]:
+    """The words as two to seven items of one to six words, taken over again where they run out."""
+    return [" ".join(words[(k * 3) % len(words) :][: r.randint(1, 6)]) or words[0] for k in range(r.randint(2, 7))]
+
+
+def _cells(words: list[str], r: random.Random) -> list[list[str]]:
+    wide = r.randint(2, 4)
+    return [[str(r.randint(1, 9999)) if r.random() < 0.5 else i for i in (_items(words, r) * 2)[:wide]] for _ in range(r.randint(2, 6))]
+
+
+def _as_html(words: list[str], r: random.Random) -> str:
+    text, attributes = " ".join(words), r.choice(("", "", " class=note", ' class="hl"', " align=left", ' id="s2"', " style='x'"))
+    name = r.choice(("b", "strong", "i", "em", "span", "u", "sup", "sub", "a href='x.html'", "mark", "code", "font color=red"))
+    name = name.upper() if r.random() < 0.15 and "=" not in name else name
+    close = name.split()[0]
+    mid = r.randint(1, max(1, len(words) - 1))
+    kind = r.choice((0, 1, 2, 3, 4, 4, 4, 5, 6, 7, 7, 8, 8, 9, 10, 11))
+    if kind < 3:
+        return _inside(words, r, lambda w: f"<{name}{attributes if ' ' not in name else ''}>{w}</{close}>")
+    if kind == 3:
+        return f"<p{attributes}>{text}" + r.choice(("</p>", "", f"</p><p>{text}</p>"))
+    if kind == 4:
+        return r.choice(("<br>{}", "<br/>{}", "<br />{}", "<BR>{}", "{}<br>")).format(r.choice(("", "\n"))).join([" ".join(words[:mid]), " ".join(words[mid:])])
+    if kind == 5:
+        o = r.choice(("ul", "ol"))
+        return f"<{o}>" + "".join(f"<li>{x}</li>" for x in _items(words, r)) + f"</{o}>"
+    if kind == 6:
+        rows = "".join("<tr>" + "".join(f"<{t}{r.choice(('', '', ' colspan=2'))}>{c}</{t}>" for c in row for t in [r.choice(("td", "td", "th"))]) + "</tr>" for row in _cells(words, r))
+        return r.choice(("<table>{}</table>", "<table border=1>{}</table>", "<table><tbody>{}</tbody></table>")).format(rows)
+    if kind == 7:
+        return _between(words, r, f"<!-- {words[0]} {r.randint(1, 99)} -->")
+    if kind < 10:
+        entity = r.choice(("&amp;", "&nbsp;", "&lt;", "&gt;", "&quot;", "&#8226;", "&#x2022;", "&#39;", "&eacute;", "&mdash;", "&copy;", "&hellip;"))
+        return r.choice((_between(words, r, entity), _inside(words, r, lambda w: w + entity), _inside(words, r, lambda w: entity.join(w.split()) if " " in w else entity + w)))
+    if kind == 10:
+        return f'<div{attributes}><p>{text}</p></div>' if r.random() < 0.6 else f"<h{r.randint(1, 6)}>{' '.join(words[:mid])}</h{r.randint(1, 6)}>\n{' '.join(words[mid:])}"
+    return r.choice(('<img src="img/{}.png"/> ', "<hr/> ", '<a name="{}"></a>', "<blockquote>{} ")).format(words[0]) + text
+
+
+def _as_markdown(words: list[str], r: random.Random) -> str:
+    text, mid = " ".join(words), r.randint(1, max(1, len(words) - 1))
+    kind = r.randrange(12)
+    if kind < 5:
+        mark = r.choice(("**", "*", "***", "__", "~~", "`", "**", "*", "__"))
+        return _inside(words, r, lambda w: f"{mark}{w}{mark}")
+    if kind == 5:
+        return f"{'#' * r.randint(1, 6)} {' '.join(words[:mid])}\n{r.choice(('', chr(10)))}{' '.join(words[mid:])}"
+    if kind == 6:
+        return "> " + " ".join(words[:mid]) + r.choice(("\n> ", " ")) + " ".join(words[mid:])
+    if kind == 7:
+        sign = r.choice(("- ", "* ", "+ ", "- [ ] ", "- [x] "))
+        return "\n".join(sign + x for x in _items(words, r))
+    if kind == 8:
+        rows = ["| " + " | ".join(c) + " |" for c in _cells(words, r)]
+        return "\n".join([rows[0], "|" + "|".join(r.choice(("---", ":---", ":--:", " --- ", "---:")) for _ in rows[0].split(" | ")) + "|", *rows[1:]])
+    if kind == 9:
+        return r.choice(("```{}\n{}\n```", "~~~{}\n{}\n~~~")).format(r.choice(("", "c", "python")), text)
+    if kind == 10:
+        return r.choice(("![{}](img/{}_12.png)\n", "![{}]({}.jpg) ")).format(" ".join(words[:mid]), words[0]) + text
+    return _inside(words, r, lambda w: f"[{w}]({r.choice(('http://a.example/x-1', 'notes.md', '#part'))})") if r.random() < 0.8 else f"{text}\n\n[{words[0]}]: http://a.example/x"
+
+
+def _as_wiki(words: list[str], r: random.Random) -> str:
+    text, mid = " ".join(words), r.randint(1, max(1, len(words) - 1))
+    kind = r.randrange(9)
+    if kind < 2:
+        eq = "=" * r.randint(2, 5)
+        return f"{eq} {' '.join(words[:mid])} {eq}\n{' '.join(words[mid:])}"
+    if kind < 4:
+        return _inside(words, r, lambda w: r.choice((f"[[{words[0]}|{w}]]", f"[[{w}]]"))) + r.choice(("", "", " {{see|" + words[0] + "}}"))
+    if kind == 4:
+        return _inside(words, r, lambda w: r.choice(("'''{}'''", "''{}''", "'''{}'''")).format(w))
+    if kind == 5:
+        head = " ".join(words[:mid])
+        return f"'''{head}''' {' '.join(words[mid:])}" + r.choice(("", f'<ref name="n{r.randint(1, 9)}">{text}</ref>'))
+    if kind == 6:
+        return _between(words, r, "{{" + r.choice(("see|", "cite|", "")) + words[0] + "}}")
+    if kind == 7:
+        return r.choice(('{| class="grid"\n', "{|\n", "{| border=1\n")) + "\n".join("|-\n| " + " || ".join(c) for c in _cells(words, r)) + "\n|}"
+    return text + r.choice(("<ref>{}</ref>", '<ref name="a">{}</ref>', "[[Category:{}]]")).format(words[0])
+
+
+def _formula(r: random.Random) -> str:
+    a, b = r.randint(1, 99), r.randint(1, 99)
+    return r.choice((
+        f"x_{{{a}}} + y = {b}", f"n^{{{a}}} \\geq {b}", f"\\frac{{{a}}}{{{b}}}", f"\\alpha_{a} + \\beta = {b}", f"\\sqrt{{{a} + {b}}} \\neq {b}", f"\\int_0^{{{a}}} f(t)\\,dt \\approx {b}.5", f" {a} \\times {b} ",
+        f"\\sum_{{i=1}}^{{{a}}} i = {b}", f"a = {b}", f"x^{a % 9} - {b}", f"{a} \\pm {b}", f"E_{a % 9}",
+    ))
+
+
+def _as_latex(words: list[str], r: random.Random) -> str:
+    text, mid = " ".join(words), r.randint(1, max(1, len(words) - 1))
+    kind = r.randrange(10)
+    if kind < 2:
+        name = r.choice(("section", "subsection", "section*", "subsection*", "subsubsection", "chapter", "paragraph"))
+        return f"\\{name}{{{' '.join(words[:mid])}}} {' '.join(words[mid:])}" + r.choice(("", f"\\label{{sec:{words[0]}}}"))
+    if kind < 5:
+        name = r.choice(("textbf", "textit", "emph", "underline", "texttt", "textsc", "footnote"))
+        return _inside(words, r, lambda w: f"\\{name}{{{w}}}")
+    if kind < 7:
+        return _between(words, r, r.choice(("${}$", "${}$", "\\({}\\)")).format(_formula(r)))
+    if kind == 7:
+        return r.choice(("$$ {} $$", "$${}$$", "\\[ {} \\]", "\\begin{{equation}}\n{}\n\\end{{equation}}", "\\begin{{align}} {} \\end{{align}}")).format(_formula(r))
+    if kind == 8:
+        o = r.choice(("itemize", "enumerate"))
+        return f"\\begin{{{o}}}\n" + "\n".join(f"\\item {x}" for x in _items(words, r)) + f"\\end{{{o}}}"
+    return text + r.choice(("~\\cite{{{}}}", " \\ref{{{}}}", "\\label{{{}}}", "~\\ref{{fig:{}}}", "\\footnote{{{}}}")).format(words[0] + str(r.randint(1, 99)))
+
+
+def _as_plain(words: list[str], r: random.Random) -> str:
+    """The words with signs that are no markup, or a printed number or numbering alone."""
+    a, b, w = r.randint(1, 99), r.randint(1, 99), words[0]
+    if r.random() < 0.25:
+        return r.choice((f"~ {a} ~", f"- {a} -", f"{a} |", f"[{a}]", f"| {a}", f"~ ix ~", f"{' '.join(words[:5])} | {a}", f"{a}. {' '.join(words[:6])}\n{a + 1}. {' '.join(words[:4])}", f"({a}) {' '.join(words)}", f"- {a} -\n{' '.join(words)}", f"* {a} *", f"[{a}] {' '.join(words)}"))
+    upper = w[:1].upper() + w[1:]
+    piece = r.choice((
+        f"list<{upper}>", f"vector<{upper}>.", f"map<{upper}, {upper}>", f"{w} < {a} and {w} > {b}", f"{a} < {b}", f"<{w}.desk@mail.example>", f"${a} and ${b}.", f"${a}.{b}", f"US${a}", f"C:\\{w}\\{words[-1].strip('.')}", f"C:\\{w}\\new", f"/usr/{w}/x_{a}", f"{w}_{w}_{a}", f"{w}_{a};",
+        "C# and F#", "C#", "R&D", f"A&B {w}", f"item #{a}.", f"#{a}", f"[{a}]", f"[{a}];", f"{w}[{a}]", f"|{w}| + |x|", "|x| + |y|", "|a| - |b|", f"{{{w}, {words[-1].strip('.')}}}", f"{{{w}, x}}", f"{{{w}}}", f"{a} * {b} * {w}", f"{a} << {b % 9}", f"~{a} {w}", f"{a} = {b}", f"{w} = {a};", f"{w}'s '{w}'", f"{w}*", f"* {w}", f"{w} ^ {a}", f"{a}%_", f"{a} & {b}", f"{a}% & {w}", f"${a}", f"Mail <{w}.desk@mail.example>", f"costs ${a} and ${b}", f"|{a}|",
+        f"x={a}&y={b}", f"--{w} {a}", f"<{a}>", f"{w} -> {words[-1]}", f"`{w}", f"{a}^", f"_{w}", f"{w} ~ {a}", f"{a} + {b} = {a + b}", f"{w}/{a}", f"${w.upper()}", f"https://a.example/{w}-{a}", "<= 5", ">= 7", "!= 0",
+    ))
+    piece += r.choice(("", "", ".", ";", ","))
+    return r.choice((_between(words, r, piece), f"{piece} {' '.join(words)}", f"{' '.join(words)} {piece}"))
+
+
+# Text written without blanks, and the blanks between its pieces and inline signs.
+_DENSE = re.compile("[぀-ヿ㐀-鿿][^ \n]{12}")
+_BLANK = re.compile("(?<=[぀-ヿ㐀-鿿。，、]) (?=[*~_`\\[<&$\\\\'{぀-ヿ㐀-鿿。，、])|(?<=[*~_`\\]);$}']) (?=[぀-ヿ㐀-鿿。，、])")
+
+
+def rendered(pages: list[tuple[list, list]], seed: int = 7) -> tuple[list[tuple[list, list]], list[list[int]]]:
+    """(pages, targets): of the blocks without a sign of a notation a part is written in one, another gets signs that are none."""
+    r = random.Random(seed)
+    writers = ((1, _as_html), (2, _as_markdown), (3, _as_wiki), (4, _as_latex))
+    out, targets = [], []
+    for contents, labels in pages:
+        own, want = [], []
+        for text, label in zip(contents, labels):
+            words = (text or "").split()
+            dense = _DENSE.search(text or "") is not None
+            if dense:
+                words = [x[k : k + 3] for x in words for k in range(0, len(x), 3)]
+            if text and (_SIGNS.search(text) or "&" in text):
+                own.append(text)
+                want.append(0 if label == "code" else -1)
+            elif not words or label == "code" or r.random() < (0.1 if dense else 0.4):
+                own.append(text)
+                want.append(0)
+            else:
+                kind, write = r.choice(writers) if r.random() < 0.65 else (0, _as_plain)
+                text = write(words, r)
+                own.append(_BLANK.sub("", text) if dense and kind else text)
+                want.append(kind)
+        out.append((own, labels))
+        targets.append(want)
+    return out, targets
+
+
 # Rewriting.
 
 _CELL, _ROW = re.compile(r"</t[dh]\s*>", re.I), re.compile(r"</tr\s*>", re.I)
@@ -336,21 +530,23 @@ def _contents(pages: DataFrame) -> DataFrame:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Labeller:
-    """A labeller fitted on at most `sample` pages; those of the smallest hash of their id.
+    """A labeller fitted on `sample` rendered pages of at most as many pages; those of the smallest hash of their id.
 
     The share of hashes to take follows from the number of pages, so tasks keep a few pages each
-    and the driver gets about `sample` of them, however many tasks there are.
+    and the driver gets about `sample` of them, however many tasks there are. Where there are fewer
+    pages, they are rendered several times.
     """
-    n = pages.count()
-    few = -(2**63) + int(2**64 * min(1.0, sample / max(n, 1))) - 1
-    rows = _contents(pages.where(F.xxhash64("page_id") <= few)).select(F.xxhash64("page_id").alias("h"), "contents", "labels").orderBy("h").limit(sample).collect()
-    data = [(r.contents, r.labels) for r in rows]
-    return Labeller().fit(data, [[CLASSES.index(notation(t, x)) for t, x in zip(*p)] for p in data])
+    pages = pages.where("page_id IS NOT NULL")
+    n = pages.agg(F.approx_count_distinct("page_id")).first()[0]
+    few = -(2**63) + int(2**64 * min(1.0, 1.1 * sample / max(n, 1))) - 1
+    some = _contents(pages.where(F.xxhash64("page_id") <= few)).select(F.xxhash64("page_id").alias("h"), "contents", "labels").dropDuplicates(["h"])
+    data = [(r.contents, r.labels) for r in some.orderBy("h").limit(sample).collect()]
+    rounds = [rendered(data, seed) for seed in range(-(-sample // max(len(data), 1)))] if data else []
+    return Labeller().fit([x for r in rounds for x in r[0]][:sample], [x for r in rounds for x in r[1]][:sample])
 
 
 def label_blocks(pages: DataFrame, model: Labeller, rewrite: bool = False) -> DataFrame:
-    """(page_id, block_id, likely, notation, text): blocks the labeller finds likely to hold markup, with its
-    probability, the notation found by the grammar, or plain, and the clean text if asked for."""
+    """(page_id, block_id, sure, notation, text): blocks of another class than plain with its probability, and the clean text if asked for."""
     sent = pages.sparkSession.sparkContext.broadcast(model.p)
     source = _contents(pages)
 
@@ -362,33 +558,33 @@ def label_blocks(pages: DataFrame, model: Labeller, rewrite: bool = False) -> Da
                 part = batch.slice(at, 500)
                 page, ids, labels, contents = (part.column(k).to_pylist() for k in range(4))
                 prob = own.probabilities(*vectors(list(zip(contents, labels))))
-                likely = 1 - prob[:, 0]
+                best = prob.argmax(1)
                 flat = [(p, i, x, t) for p, own_ids, xs, ts in zip(page, ids, labels, contents) for i, x, t in zip(own_ids, xs, ts)]
-                keep = np.flatnonzero(likely >= LIKELY)
-                kinds = [notation(flat[k][3], flat[k][2]) for k in keep]
+                keep = [k for k in np.flatnonzero(best) if flat[k][2] != "code" and flat[k][3]]
+                kinds = [CLASSES[best[k]] for k in keep]
                 yield pa.record_batch(
                     [
                         pa.array([flat[k][0] for k in keep], pa.int64()),
                         pa.array([flat[k][1] for k in keep], pa.int32()),
-                        pa.array(likely[keep].astype(np.float64)),
+                        pa.array([float(prob[k, best[k]]) for k in keep], pa.float64()),
                         pa.array(kinds, pa.string()),
-                        pa.array([clean(flat[k][3] or "", x) if rewrite else None for k, x in zip(keep, kinds)], pa.string()),
+                        pa.array([clean(flat[k][3], x) if rewrite else None for k, x in zip(keep, kinds)], pa.string()),
                     ],
-                    names=["page_id", "block_id", "likely", "notation", "text"],
+                    names=["page_id", "block_id", "sure", "notation", "text"],
                 )
 
-    return source.mapInArrow(run, "page_id long, block_id int, likely double, notation string, text string")
+    return source.mapInArrow(run, "page_id long, block_id int, sure double, notation string, text string")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "layout_pages")
-    return label_blocks(pages, fit(pages)).where("notation <> 'plain'").select("page_id", "block_id").distinct()
+    return label_blocks(pages, fit(pages)).select("page_id", "block_id").distinct()
 
 
 def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean text of every block that holds markup."""
     pages = table(spark, sf_dir, "layout_pages")
-    return label_blocks(pages, fit(pages), rewrite=True).where("notation <> 'plain'").select("page_id", "block_id", "notation", "text").distinct()
+    return label_blocks(pages, fit(pages), rewrite=True).select("page_id", "block_id", "notation", "text").distinct()
 
 
 QUERIES = {"p4_found": p4_found, "p4_clean": p4_clean}

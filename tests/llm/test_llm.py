@@ -176,15 +176,24 @@ MARKUP = {
 PLAIN = ["list<Folio> here", "vector<T>.", "x < 35 and y > 87", "Mail <a.desk@x.example>.", "costs $22 and $69.", "C:\\sensor\\storage", "cache_response_13", "C# and F#.", "R&D; next", "item #7.", "[17]", "|x| + |y|", "{thread, network}", "26 * 82 * block", "9 << 2", "1. First\n2. Second", "~ ix ~", "13 |", "a", ""]
 
 
-def test_grammar():
-    for kind, texts in MARKUP.items():
-        for t in texts:
-            assert P4.notation(t) != "plain", t
-            if kind in ("html", "markdown", "latex"):
-                assert P4.notation(t) == kind, t
-    for t in PLAIN:
-        assert P4.notation(t) == "plain", t
-    assert P4.notation(None) == "plain" and P4.notation("#include <p>", "code") == "plain"
+@pytest.fixture(scope="module")
+def labeller(spark):
+    return P4.fit(spark.read.parquet("/root/testdata/sf0.01/layout_pages.parquet"))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_notations(labeller):
+    """The class of each block within a page of prose: nothing else decides, so an unfitted network names other blocks."""
+    prose = "The reader compares the same line with a record behind it. While the index waits, every page is measured."
+    cases = [(t, 1) for own in MARKUP.values() for t in own] + [(t, 0) for t in PLAIN]
+    pages = [([prose, f"{prose} {t}" if k % 2 and "\n" not in t and t[:1] not in "#=>|'<" else t, prose], ["text"] * 3) for k, (t, _) in enumerate(cases)]
+    found = lambda m: m.probabilities(*P4.vectors(pages)).argmax(1).reshape(-1, 3)
+    want = np.array([x for _, x in cases])
+    got = found(labeller)
+    assert ((got[:, 1] > 0) == want).mean() >= 0.9 and (got[:, [0, 2]] == 0).mean() > 0.97
+    blind = P4.Labeller()
+    blind.p = labeller.p | {"out": labeller.p["out"] * 0}
+    assert (found(blind)[:, 1] > 0).sum() in (0, len(cases))
 
 
 def test_rewriting():
@@ -209,12 +218,13 @@ def test_network_gradient():
 
     steps = {d: P4._steps(lengths, d == "b") for d in "fb"}
     read = {d: m._read(x, steps[d], d, True) for d in "fb"}
-    prob, mean = m._classify(np.concatenate([read[d][0] for d in "fb"], 1), sizes)
+    both = np.concatenate([read[d][0] for d in "fb"], 1)
+    prob, pooled = m._classify(both, sizes)
     prob = prob.astype(np.float64)
     prob[np.arange(3), y] -= 1
     prob /= 3
     g = {}
-    back = np.repeat((prob @ m.p["out"].T) / sizes[:, None], sizes, 0)
+    back = m._unpool(prob, both, pooled, sizes)
     for k, d in enumerate("fb"):
         m._back(x, steps[d], d, read[d][1], back[:, k * P4.HIDDEN : (k + 1) * P4.HIDDEN], g)
     r = np.random.default_rng(0)
@@ -230,21 +240,29 @@ def test_network_gradient():
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
-def test_labeller_held_out(spark):
-    rows = P4._contents(spark.read.parquet("/root/testdata/sf0.01/layout_pages.parquet").dropDuplicates(["page_id"])).orderBy("page_id").collect()
-    data = [(r.contents, r.labels) for r in rows]
-    want = [[P4.CLASSES.index(P4.notation(t, x)) for t, x in zip(*p)] for p in data]
-    model = P4.Labeller().fit(data[::2], want[::2])
-    prob = model.probabilities(*P4.vectors(data[1::2]))
-    y = np.array([v for x in want[1::2] for v in x])
-    assert (prob.argmax(1) == y).mean() > 0.95
-    assert ((1 - prob[:, 0])[y > 0] >= P4.LIKELY).mean() > 0.97
+def test_labeller_held_out(spark, labeller):
+    """Pages rendered anew, with words the model has not seen in these places."""
+    rows = P4._contents(spark.read.parquet("/root/testdata/sf0.001/layout_pages.parquet").dropDuplicates(["page_id"])).orderBy("page_id").collect()
+    pages, targets = P4.rendered([(r.contents, r.labels) for r in rows], seed=99)
+    y = np.array([v for x in targets for v in x])
+    got = labeller.probabilities(*P4.vectors(pages)).argmax(1)
+    assert ((got > 0) == (y > 0))[y >= 0].mean() > 0.98 and (got == y)[y >= 0].mean() > 0.95
+
+
+def test_rendering():
+    r = random.Random(4)
+    prose = "The reader compares the same line with a record."
+    pages, targets = P4.rendered([([prose, None, "a <b>x</b>", "x = y[1]"], ["text", "text", "text", "code"])] * 300, seed=r.randrange(99))
+    assert {t for x in targets for t in x[:1]} == {0, 1, 2, 3, 4}
+    assert all(t[1:] == [0, -1, 0] and p[0][1:] == [None, "a <b>x</b>", "x = y[1]"] for p, t in zip(pages, targets))
+    assert any(p[0][0] == prose for p in pages) and all(p[0][0] != prose for p, t in zip(pages, targets) if t[0])
+    assert P4.rendered([]) == ([], [])
 
 
 def test_labeller_edges(spark):
     model = P4.Labeller()
-    got = P4.label_blocks(layout_pages(spark, [(1, 1, None, None), (2, 1, None, []), (3, 1, None, [None, (1, 0, None, None, None), (2, 1, "text", "x " * 50_000, None)])]), model)
-    assert all(r.notation == "plain" for r in got.collect())
+    got = P4.label_blocks(layout_pages(spark, [(1, 1, None, None), (2, 1, None, []), (3, 1, None, [None, (1, 0, None, None, None), (3, 1, "code", "<b>", None), (2, 1, "text", "x " * 50_000, None)])]), model)
+    assert all(r.block_id == 2 for r in got.collect())
 
 
 # 5
