@@ -1,16 +1,19 @@
 """Problem 2: repetition inside a single page.
 
-Method: line-first cleaning. Every line of the page's blocks is judged by rules for
-punctuation, navigation, boilerplate and repetition; failing lines are removed, and a page
-that loses too many of its words is rejected.
-
-The repetition rule fails a line that holds a word of a repeated passage: five or more
-consecutive words that began earlier on the page as well (the earlier occurrence may
-overlap; words are split at white space, compared without letter case and without
-characters other than letters, marks and digits, and words of nothing else do not count).
-A rejected page's repeated share by words, not lines, is exact: no page whose repeated
-share reaches the limit can keep more than the rest of its words, so the rejection by
-lines loses none and the share decides.
+Method: line-first cleaning. The lines of the page's blocks are judged one by one by rules for
+punctuation, navigation, boilerplate and repetition; what fails is removed, and a page that loses
+too much of its text is rejected. `p2_found` names the rejected pages and nothing else.
+
+The first three rules fail whole lines. The repetition rule cuts a line where a repeated passage
+begins or ends and fails the pieces within: five or more consecutive words that began earlier on
+the page as well (the earlier occurrence may overlap; words are split at white space, compared
+without letter case and without characters other than letters, marks and digits, and words of
+nothing else do not count). A page's loss is therefore counted in words, and a line of which only
+the end is repeated loses only its end.
+
+Each rule's loss is counted apart. Repetition rejects: a page that loses `LIMIT` of its words or
+more to that rule. Lines of navigation, boilerplate and separators leave the text, but a page that
+has many of them is short of content, not repetitive, and is kept.
 
 Null and empty contents hold no words; a page without words has share 0 and is kept.
 """
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -99,13 +103,13 @@ def line_rules(line: str, words: list[str]) -> tuple[bool, bool, bool]:
 def clean_lines(pages: DataFrame, limit: float = LIMIT, keep_text: bool = True) -> DataFrame:
     """Line-first cleaning of `parsing_res_list`, one row per row of `pages`.
 
-    (page_id, n_words, n_punctuation, n_navigation, n_boilerplate, n_repeated_lines: words of
-    the lines failing each rule; lost_share: words in removed lines; repeated_share: exact;
-    rejected; text: the lines that are left, null unless `keep_text`).
+    (page_id, n_words; n_punctuation, n_navigation, n_boilerplate: words of the lines failing each
+    rule; n_repeated: words of the pieces failing the repetition rule; lost_share: n_repeated of
+    n_words; rejected; text: what is left, null unless `keep_text`).
     """
     contents = F.transform(F.filter("parsing_res_list", lambda b: b["block_content"].isNotNull()), lambda b: b["block_content"])
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.array_join(F.coalesce(contents, F.array().cast("array<string>")), "\n").alias("t"))
-    schema = "page_id long, n_words int, n_punctuation int, n_navigation int, n_boilerplate int, n_repeated_lines int, lost_share double, repeated_share double, rejected boolean, text string"
+    schema = "page_id long, n_words int, n_punctuation int, n_navigation int, n_boilerplate int, n_repeated int, lost_share double, rejected boolean, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Words()
@@ -126,21 +130,32 @@ def clean_lines(pages: DataFrame, limit: float = LIMIT, keep_text: bool = True)
                 rep = repeated(words, page_of)
                 per_line = np.bincount(line_of, minlength=len(flat))
                 rules = np.array([line_rules(x, w) for x, w in zip(flat, split)], bool).reshape(-1, 3)
-                bad_rep = np.bincount(line_of[rep], minlength=len(flat)) > 0
-                removed = rules.any(1) | bad_rep
+                fails = rules.any(1)
                 of = lambda mask: np.bincount(page_of_line, weights=per_line * mask, minlength=len(lines)).astype(np.int32)
                 total = of(np.ones(len(flat), bool))
-                some = np.maximum(total, 1)
-                lost = of(removed) / some
-                share = np.bincount(page_of[rep], minlength=len(lines)) / some
+                lost = np.bincount(page_of[rep], minlength=len(lines)).astype(np.int32)
+                share = lost / np.maximum(total, 1)
                 text = None
                 if keep_text:
-                    left, text = iter(removed), []
-                    for own in lines:
-                        text.append("\n".join(x for x, gone in zip(own, left) if not gone))
+                    cut = np.bincount(line_of[rep], minlength=len(flat)) > 0
+                    gone = iter(rep)
+                    left: list[list[str]] = [[] for _ in lines]
+                    for k, line in enumerate(flat):
+                        # Signs between words go with the word before them.
+                        went, words_left = False, []
+                        if cut[k]:
+                            for w in split[k]:
+                                went = bool(next(gone)) if number[w] else went
+                                words_left += [] if went else [w]
+                            line = " ".join(words_left)
+                        else:
+                            next(islice(gone, per_line[k] - 1, None), None) if per_line[k] else None
+                        if not fails[k] and (line or not cut[k]):
+                            left[page_of_line[k]].append(line)
+                    text = ["\n".join(x) for x in left]
                 yield pa.RecordBatch.from_pandas(
-                    pd.DataFrame({"page_id": part.column(0).to_pandas(), "n_words": total, "n_punctuation": of(rules[:, 0]), "n_navigation": of(rules[:, 1]), "n_boilerplate": of(rules[:, 2]), "n_repeated_lines": of(bad_rep), "lost_share": lost, "repeated_share": share, "rejected": lost >= limit, "text": text}),
-                    schema=pa.schema([("page_id", pa.int64()), *[(c, pa.int32()) for c in ("n_words", "n_punctuation", "n_navigation", "n_boilerplate", "n_repeated_lines")], ("lost_share", pa.float64()), ("repeated_share", pa.float64()), ("rejected", pa.bool_()), ("text", pa.string())]),
+                    pd.DataFrame({"page_id": part.column(0).to_pandas(), "n_words": total, "n_punctuation": of(rules[:, 0]), "n_navigation": of(rules[:, 1]), "n_boilerplate": of(rules[:, 2]), "n_repeated": lost, "lost_share": share, "rejected": (share >= limit) & (total > 0), "text": text}),
+                    schema=pa.schema([("page_id", pa.int64()), *[(c, pa.int32()) for c in ("n_words", "n_punctuation", "n_navigation", "n_boilerplate", "n_repeated")], ("lost_share", pa.float64()), ("rejected", pa.bool_()), ("text", pa.string())]),
                     preserve_index=False,
                 )
 
@@ -149,7 +164,7 @@ def clean_lines(pages: DataFrame, limit: float = LIMIT, keep_text: bool = True)
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = clean_lines(table(spark, sf_dir, "layout_pages"), keep_text=False)
-    return cleaned.where("rejected AND repeated_share >= 1.0 / 3 AND n_words > 0").select("page_id").distinct()
+    return cleaned.where("rejected AND page_id IS NOT NULL").select("page_id").distinct()
 
 
 def p2_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:

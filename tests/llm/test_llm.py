@@ -113,11 +113,41 @@ def test_line_cleaning_edges(spark):
     loop = "one two three four five six seven. " * 4
     rows = [(1, 1, None, [(1, 0, "text", loop, None)]), (2, 1, None, [(1, 0, "text", None, None)]), (3, 1, None, None), (4, 1, None, []), (None, 1, None, [(1, 0, "text", "All words differ here now.", None), None])]
     got = {r.page_id: r for r in P2.clean_lines(layout_pages(spark, rows)).collect()}
-    assert got[1].rejected and got[1].repeated_share > 0.7 and got[1].text == ""
+    # Seven words four times over: the first time stays, with the loop of it cut from the middle of the line.
+    assert got[1].rejected and got[1].n_words == 28 and got[1].n_repeated == 21 and got[1].text == "one two three four five six seven."
     assert not got[2].rejected and got[3].n_words == 0 and got[4].n_words == 0 and got[None].text == "All words differ here now."
     assert P2.clean_lines(layout_pages(spark, []).where("false")).count() == 0
 
 
+def test_lines_decide(spark):
+    """A page is rejected for what its lines lose; without the rule for repetition none is."""
+    r = random.Random(9)
+    rows, want = [], set()
+    for k in range(120):
+        words = [r.choice("abcdefghij") * r.randint(1, 2) for _ in range(r.randint(0, 60))]
+        lines, at = [], 0
+        while at < len(words):
+            n = r.randint(1, 9)
+            lines.append(" ".join(words[at : at + n]))
+            at += n
+        if r.random() < 0.2:
+            lines.append("home | next | top")
+            words += ["home", "next", "top"]
+        hit = [False] * len(words)
+        for i in range(len(words) - 4):
+            if any(words[j : j + 5] == words[i : i + 5] for j in range(i)):
+                hit[i : i + 5] = [True] * 5
+        if words and 3 * sum(hit) >= len(words):
+            want.add(k)
+        rows.append((k, 1, None, [(1, 0, "text", "\n".join(lines), None)]))
+    loops = [(500 + k, 1, None, [(1, 0, "text", "\n".join(["the record holds a line of it"] * n + ["a b c d"]), None)]) for k, n in enumerate((1, 2, 5))]
+    pages = layout_pages(spark, rows + loops)
+    got = {x.page_id: x for x in P2.clean_lines(pages).collect()}
+    assert {k for k, x in got.items() if x.rejected} == want | {501, 502}
+    assert got[502].text == "the record holds a line of it\na b c d" and all("home" not in x.text for x in got.values())
+    assert not any(x.rejected for x in P2.clean_lines(pages, limit=1.1).collect())
+
+
 # 3
 
 
