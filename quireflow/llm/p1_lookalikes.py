@@ -7,6 +7,9 @@ a letter whose script differs from the letter before it pays a fixed penalty, so
 keeps to one script unless the corpus says otherwise. The trigrams are counted over all
 tokens of the corpus that hold no look-alike of another script, by script.
 
+Katakana and Han signs that print alike are told by the same penalty: the path keeps to the script
+around them. Accents stay with their letters, so an accented letter has the looks of its base.
+
 What the form keeps apart: letter case, accents, punctuation, words, and raised, lowered or
 circled digits and letters, which compatibility normalization alone would merge.
 
@@ -26,15 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quireflow.operators.lineage import saved
 from quireflow.sources.tables import blocks, table
 
 # Letters that look like a Latin letter, by script, and the Latin letters.
 LOOKS = {
-    "cyrillic": ("аеѕіјорсухһԁԛԝАВЕЅІЈКМНОРСТУХԌԚԜ", "aesijopcyxhdqwABESIJKMHOPCTYXGQW"),
-    "greek": ("ονΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ", "ovABEZHIKMNOPTYXcj"),
-    "armenian": ("օոսցհ", "onugh"),
+    "cyrillic": ("аеѕіјорсухһԁԛԝүѵӏАВЕЅІЈКМНОРСТУХԌԚԜҮѴӀ", "aesijopcyxhdqwyvlABESIJKMHOPCTYXGQWYVI"),
+    "greek": ("αονρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳϹ", "aovpuABEZHIKMNOPTYXcjC"),
+    "armenian": ("օոսցհՕՍ", "onughOU"),
+    "cherokee": ("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏴ", "DRTiAJEWMHYGhZbRWSVSLCPKB"),
+    "lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
     "other": ("ɡɑ", "ga"),
 }
+#: Japanese signs that look like each other, katakana and Han.
+KANA_HAN = ("カロニハエタトー", "力口二八工夕卜一")
 #: Signs of CJK radicals without a compatibility mapping, and the characters they print as.
 RADICALS = ("⺁⺈⺋⺝⺠⻄⻅⻆⻉⻋⻒⻓⻔⻘⻙⻚⻛⻜⻝⻢⻣⻤⻥⻦⻧⻨⻩⻪⻬⻮⻰", "厂刀卩月民西见角贝车镸长门青韦页风飞食马骨鬼鱼鸟卤麦黄黾齐齿龙")
 #: Square unit signs with a raised exponent, which the mapping of the standard would lower.
@@ -61,21 +69,30 @@ def _tables() -> tuple[dict[str, str], dict[str, list[str]]]:
     for b, group in same.items():
         for x in [b, *group]:
             look[x] = [x, *[y for y in [b, *group] if y != x]]
+    for kana, han in zip(*KANA_HAN, strict=True):
+        look[kana], look[han] = [kana, han], [han, kana]
     return script, look
 
 
 SCRIPT, LOOK = _tables()
-FOREIGN = frozenset(x for x in LOOK if x not in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+FOREIGN = frozenset(SCRIPT)
+#: Foreign letters and those with an accent that are one character.
+TRIGGERS = re.compile("[" + "".join(FOREIGN) + "".join(sorted({c for x in FOREIGN for m in range(0x300, 0x370) if len(c := unicodedata.normalize("NFC", x + chr(m))) == 1})) + "]")
+#: A Han sign among katakana, or a kana sign among Han, of those that look alike.
+MIXED = re.compile("(?<=[ァ-ヺー])[{1}]|[{1}](?=[ァ-ヺー])|(?<=[㐀-鿿])[{0}](?![ァ-ヺー])|(?<![ァ-ヺー])[{0}](?=[㐀-鿿])".format(*KANA_HAN))
+_APART = frozenset(TRIGGERS.pattern[1:-1]) - FOREIGN
 RADICAL = str.maketrans({a: b for a, b in zip(*RADICALS, strict=True)})
 
 
 def script_of(c: str) -> str:
-    """latin, cyrillic, greek, armenian or other; a letter with accents counts as its base letter."""
+    """latin, cyrillic, greek, armenian, cherokee, lisu, kana, han or other; a letter with accents counts as its base letter."""
     if c in SCRIPT:
         return SCRIPT[c]
     o = ord(c)
     if o < 0x250 or 0x1E00 <= o < 0x1F00:
         return "latin"
+    if o >= 0x30A0:
+        return "kana" if o < 0x3100 else "han" if 0x3400 <= o < 0xA000 else "other"
     return "cyrillic" if 0x400 <= o < 0x530 else "greek" if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000 else "armenian" if 0x530 <= o < 0x590 else "other"
 
 
@@ -123,18 +140,24 @@ class Lattice:
         self.known: dict[str, str] = {}
 
     def resolve(self, token: str) -> str:
-        if not any(c in FOREIGN for c in token):
+        if token.isascii() or not (TRIGGERS.search(token) or MIXED.search(token)):
             return token
         got = self.known.get(token)
         if got is None:
             if len(self.known) > 100_000:
                 self.known.clear()
-            self.known[token] = got = self._viterbi(token)
+            # Accents stand by themselves in the lattice, so a letter with one has the looks of the letter.
+            apart = "".join(unicodedata.normalize("NFD", c) if c in _APART else c for c in token)
+            self.known[token] = got = unicodedata.normalize("NFC", self._viterbi(apart))
         return got
 
     def _viterbi(self, token: str) -> str:
         states: dict[tuple[str, str, str], tuple[float, str]] = {("^", "^", ""): (0.0, "")}
         for c in token:
+            if 0x300 <= ord(c) < 0x370:
+                # An accent belongs to the letter before it.
+                states = {k: (cost, path + c) for k, (cost, path) in states.items()}
+                continue
             after: dict[tuple[str, str, str], tuple[float, str]] = {}
             for option in LOOK.get(c, (c,)):
                 base, s = base_letter(option), script_of(option)
@@ -171,8 +194,8 @@ def form(text: str | None, lattice: Lattice) -> str | None:
 def trigram_counts(texts: DataFrame, column: str) -> DataFrame:
     """(script, gram, n) over all tokens of letters of one alphabetic script.
 
-    The alphabets are Latin, Cyrillic, Greek and Armenian without accents and case, so there
-    are at most 4 * 60^3 trigrams however large the corpus. Tokens are counted per batch
+    The alphabets are Latin, Cyrillic, Greek, Armenian, Cherokee and Lisu without accents and case, so
+    there are at most 6 * 90^3 trigrams however large the corpus. Tokens are counted per batch
     before anything is shuffled.
     """
 
@@ -183,7 +206,7 @@ def trigram_counts(texts: DataFrame, column: str) -> DataFrame:
         def grams(token: str) -> tuple[str, list[str]] | None:
             scripts = {script_of(c) for c in token}
             s = scripts.pop()
-            if scripts or s == "other" or all(c in FOREIGN for c in token):
+            if scripts or s in ("other", "kana", "han") or all(c in FOREIGN for c in token):
                 return None
             low = "^^" + "".join(map(base_letter, token))
             return s, [low[i : i + 3] for i in range(len(low) - 2)]
@@ -234,7 +257,8 @@ def _headings_and_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _headings_and_titles(spark, sf_dir)
-    both = unify(texts, "raw", fit(texts, "raw")).where("form <> ''").distinct()
+    # Forms are made once and saved; what follows reads them four times.
+    both = saved(unify(texts, "raw", fit(texts, "raw")).where("form <> ''").distinct())
     # Raw spellings meet before rows do: a run whose thousand equal titles are all spelled alike makes no pairs.
     spell = both.groupBy("run_id", "form", "raw").agg(F.max(F.col("entry_id").isNotNull()).alias("e"), F.max(F.col("page_id").isNotNull()).alias("b"))
     pairs = spell.where("e").select("run_id", "form", F.col("raw").alias("raw_e")).join(spell.where("b").select("run_id", "form", F.col("raw").alias("raw_b")), ["run_id", "form"]).where("raw_e <> raw_b")

@@ -51,6 +51,16 @@ def latin_lattice():
         ("caf" + chr(0xE9), "cafe", False),
         (chr(0x339F), "mm" + chr(0xB2), True),
         ("3 " + chr(0x2126), "3 " + chr(0x3A9), True),
+        ("ch" + chr(0x3B1) + "pter", "chapter", True),
+        (chr(0x13DF) + "hapter", "Chapter", True),
+        (chr(0xA4DA) + "ase", "Case", True),
+        ("pap" + chr(0x450) + "r", "pap" + chr(0xE8) + "r", True),
+        ("pap" + chr(0x450) + "r", "paper", False),
+        ("広い力ウンタ", "広いカウンタ", True),
+        ("能力の人ロ", "能力の人口", True),
+        ("能力", "能カ", True),
+        ("コピ一", "コピー", True),
+        ("一つの", "一つの", True),
     ],
 )
 def test_forms(a, b, same):
