@@ -39,7 +39,7 @@ PROFILE, SAMPLE_BLOCKS = 400, 400
 LEAST = {"alphabet": 20, "hangul": 10, "han": 6}
 
 _OUT = re.compile(
-    r"<!--.*?-->|(?<![A-Za-z0-9_])<[A-Za-z][^<>]{0,300}>|</[A-Za-z][^<>]{0,300}>|<[a-zB][a-zR]{0,9}(?:\s[^<>]{0,300}|\s?/)?>|<[^<>\s@]+@[^<>\s]+>|\\(?:cite|label|ref|eqref|includegraphics|url|href)\*?(?:\[[^\]]*\])?\{[^{}]*\}|\\[A-Za-z]+\*?|\{\{[^{}]*\}\}|\$(?=[^$\n]*[\\^_={}])[^$\n]{1,100}\$|&#?\w{1,10};|\]\([^()\s]*\)|!\[|https?://\S+|\[\[(?:[^\[\]|]*\|)?|\]\]|[*~`{}\[\]]{1,3}|(?<![A-Za-z0-9])_{1,3}|_{1,3}(?![A-Za-z0-9])|^[>#=|\s]+",
+    r"<!--.*?-->|(?<![A-Za-z0-9_])<[A-Za-z][^<>]*>|</[A-Za-z][^<>]*>|<[a-zB][a-zR]*(?:\s[^<>]*|\s?/)?>|<[^<>\s@]+@[^<>\s]+>|\\(?:cite|label|ref|eqref|includegraphics|url|href)\*?(?:\[[^\]]*\])?\{[^{}]*\}|\\[A-Za-z]+\*?|\{\{[^{}]*\}\}|\$(?=[^$\n]*[\\^_={}])[^$\n]+\$|&#?\w{1,10};|\]\([^()\s]*\)|!\[|https?://\S+|\[\[(?:[^\[\]|]*\|)?|\]\]|[*~`{}\[\]]{1,3}|(?<![A-Za-z0-9])_{1,3}|_{1,3}(?![A-Za-z0-9])|^[>#=|\s]+",
     re.S | re.M,
 )
 _OUTER = ".,;:!?()\"'«»“”‘’。、，…"

@@ -64,6 +64,7 @@ class PrefixBpe:
             if len(b) == 1 or self.left[r] != r:
                 by_last.setdefault(b[-1], set()).add(len(b))
         self.lengths = {k: sorted(v, reverse=True) for k, v in by_last.items()}
+        self.longest = max(map(len, self.rank))
         self.fits: dict[int, bool] = {}
 
     def _merge_below(self, word: bytes, below: int) -> list[int]:
@@ -108,10 +109,10 @@ class PrefixBpe:
             else:
                 return True
 
-    def extend(self, text: bytes, last: list[int]) -> list[int]:
-        """Fill `last` (last[0] is a mark) up to len(text); entries that are there are kept."""
+    def extend(self, text: bytes, last: list[int], stop: int | None = None) -> list[int]:
+        """Fill `last` (last[0] is a mark) up to len(text), or to `stop`; entries that are there are kept."""
         rank, lengths, follows = self.rank, self.lengths, self.follows
-        for i in range(len(last), len(text) + 1):
+        for i in range(len(last), (len(text) if stop is None else stop) + 1):
             for n in lengths[text[i - 1]]:
                 if n <= i:
                     t = rank.get(text[i - n : i])
@@ -134,9 +135,20 @@ class PrefixBpe:
         return self.backtrack(self.extend(text, [-1]))
 
     def edit(self, text: bytes, last: list[int], start: int, stop: int, new: bytes) -> tuple[bytes, list[int]]:
-        """`text` with [start, stop) replaced, and its `last`; only what follows `start` is computed anew."""
+        """`text` with [start, stop) replaced, and its `last`.
+
+        Computed anew is what follows `start` until as many entries in a row agree with the old ones as the longest
+        token has bytes: an entry depends on the bytes of its token and the entries at most that far before it, so all
+        that follow agree too and are taken over.
+        """
         text = text[:start] + new + text[stop:]
-        return text, self.extend(text, last[: start + 1])
+        out, shift, same = last[: start + 1], stop - start - len(new), 0
+        for i in range(start + 1, len(text) + 1):
+            if same == self.longest:
+                return text, out + last[i + shift :]
+            self.extend(text, out, i)
+            same = same + 1 if i > start + len(new) and out[i] == last[i + shift] else 0
+        return text, out
 
 
 class Encoder(dict):

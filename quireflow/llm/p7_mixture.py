@@ -12,9 +12,12 @@ an order drawn by a seed, the line is walked once for each use, and every source
 of it; running sums are taken within buckets of the order and over buckets, so no task sees a
 whole pattern.
 
+A text may be used in the name of each source as often as that source's `max_repeats`, and as often
+as the largest of them altogether. There are at most `MOST_SOURCES` sources with a target, so the
+membership patterns, whose number is bounded by two to that power, fit the driver.
+
 Sources without a target, and texts without a source or without tokens, are left out; targets
-without texts get nothing and the other shares are scaled up (`wanted_share`). A text may be used
-as often as the least `max_repeats` of its sources with a target; a null or negative target
+without texts get nothing and the other shares are scaled up (`wanted_share`); a null or negative target
 or repeat count leaves the source out. Repeated targets of a source count once, the largest.
 """
 
@@ -33,7 +36,7 @@ from quireflow.llm.p6_tokens import encoder, tokenizer_dir
 from quireflow.operators.lineage import saved
 from quireflow.sources.tables import table
 
-TOKENIZER, SEED, PER_BUCKET = "byte_bpe_50k", 42, 20_000
+TOKENIZER, SEED, PER_BUCKET, MOST_SOURCES = "byte_bpe_50k", 42, 20_000, 14
 
 
 class Flow:
@@ -78,13 +81,13 @@ class Flow:
 
 
 def route(capacity: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]], size: int | None = None) -> tuple[int, dict[str, int], dict[tuple[str, ...], dict[str, int]]]:
-    """(total, quota by source, tokens by pattern and source). There are at most 2^sources patterns."""
+    """(the largest total whose quotas can be filled, or `size`; quota by source; tokens by pattern and source). At most 2^MOST_SOURCES patterns."""
     patterns = sorted(p for p in capacity if capacity[p] > 0)
     sources = sorted({s for p in patterns for s in p if targets[s][0] > 0})
     if not sources:
         return 0, {}, {}
     share = {s: targets[s][0] / sum(targets[x][0] for x in sources) for s in sources}
-    uses = {p: min(targets[s][1] for s in p) for p in patterns}
+    uses = {p: max(targets[s][1] for s in p) for p in patterns}
 
     def solve(total: int) -> tuple[bool, dict]:
         quota = {s: int(share[s] * total) for s in sources}
@@ -98,7 +101,7 @@ def route(capacity: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
                 net.arc(0, 2 + k, capacity[p], again)
             for s in p:
                 if s in place:
-                    arcs[p, s] = net.arc(2 + k, place[s], capacity[p] * uses[p])
+                    arcs[p, s] = net.arc(2 + k, place[s], capacity[p] * targets[s][1])
         return net.run(0, 1) == sum(quota.values()), {key: a[3][1] for key, a in arcs.items()}
 
     high = sum(capacity[p] * uses[p] for p in patterns)
@@ -107,7 +110,7 @@ def route(capacity: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
     low = 0
     if solve(high)[0]:
         low = high
-    while high - low > max(1, low // 100_000):
+    while low < high:
         middle = (low + high + 1) // 2
         low, high = (middle, high) if solve(middle)[0] else (low, middle - 1)
     flows: dict[tuple[str, ...], dict[str, int]] = {}
@@ -145,6 +148,8 @@ def mixture(documents: DataFrame, targets: DataFrame, size: int | None = None, s
     """((doc_id, source, uses, tokens) of the texts used, {total, quota, targets}). `doc_id` is the first copy in that source."""
     spark = documents.sparkSession
     wanted = read_targets(targets)
+    if len(wanted) > MOST_SOURCES:
+        raise ValueError(f"{len(wanted)} sources have a target, at most {MOST_SOURCES} can be mixed at once")
     texts = saved(texts_of(documents, sorted(wanted), tokenizer))
     sums = texts.groupBy("pattern").agg(F.sum("tokens").alias("n"), F.count("*").alias("texts")).collect()
     capacity = {tuple(r.pattern.split("\x1f")): r.n for r in sums}
