@@ -233,7 +233,9 @@ def line_language(s: SparkSession, d: str) -> DataFrame:
     return docs(s, d).where("text IS NOT NULL").select("doc_id", T.line_language(F.col("text")).alias("language"))
 
 
-CLEAN = """trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(trim(title), '^#{1,6}\\s+', ''), '^[ *`]+|[ *`]+$', '', 'g'), '^[▪■●•◆▶☐☑✓✔]\\s*', '')), '^\\|?\\s*(연습문제|학습목표|단원개요)\\s*\\|?$', '\\1'), '\\s+\\|$', ''))"""
+#: A title without what stands around it; the SQL engine has no look-ahead, so bars are told by cases.
+BARE = f"regexp_replace(regexp_replace(title, '{T.LEAD}', ''), '{T.TAIL}', '')"
+CLEAN = f"""trim(CASE WHEN regexp_replace({BARE}, '^[|]|[|]$|[ ]', '', 'g') IN ({", ".join(f"'{x}'" for x in T.DECORATED)}) THEN regexp_replace({BARE}, '^[|]|[|]$|[ ]', '', 'g') WHEN regexp_matches({BARE}, '\\s[|]$') THEN left({BARE}, -1) ELSE {BARE} END)"""
 TITLES = "SELECT DISTINCT ON (entry_id) entry_id, run_id, doc_key, title, toc_page, printed_page, folio_style, folio_value, kind, ident, chapter, raw_rank, page FROM entries"
 
 
@@ -273,14 +275,14 @@ def folio_parse(s: SparkSession, d: str) -> DataFrame:
     return t.withColumn("f", T.folio(F.col("token"))).select("token", "f.style", "f.value")
 
 
-APP, CH1, CH2, LAB, SEC = ("(?i)^(?:부록|appendix)\\s*([A-Z])\\s+(.+)$", "(?i)^(?:chapter|[A-Z]{2,7})\\s*0*([0-9]+)\\s+(.+)$", "^제?\\s*([0-9]+)\\s*장\\s*(.*)", "(?i)^lab\\s*([0-9]+(?:\\.[0-9]+)+)\\s*(.*)$", "^((?:[0-9]+|[A-Z])(?:\\.[0-9]+)+)\\s*(.*)$")
+GROUPS = ", ".join(f"regexp_extract(t, '{T.LEADING}', {k}) AS g{k}" for k in range(1, 6))
+HEAD = f"SELECT entry_id, t, {GROUPS}, regexp_extract(t, '{T.LETTERED}') AS sec FROM (SELECT entry_id, {CLEAN} AS t FROM ({TITLES}) WHERE title IS NOT NULL)"
 
 
-@query(f"""SELECT entry_id, CASE WHEN regexp_matches(t, '{APP}') OR regexp_matches(t, '{CH1}') OR regexp_matches(t, '{CH2}') THEN 'chapter' WHEN regexp_matches(t, '{LAB}') THEN 'lab' WHEN regexp_matches(t, '{SEC}') THEN 'section' ELSE 'plain' END AS kind,
-  CASE WHEN regexp_matches(t, '{APP}') THEN upper(regexp_extract(t, '{APP}', 1)) WHEN regexp_matches(t, '{CH1}') THEN regexp_replace(regexp_extract(t, '{CH1}', 1), '^0+(.)', '\\1') WHEN regexp_matches(t, '{CH2}') THEN regexp_replace(regexp_extract(t, '{CH2}', 1), '^0+(.)', '\\1')
-  WHEN regexp_matches(t, '{LAB}') THEN regexp_extract(t, '{LAB}', 1) WHEN regexp_matches(t, '{SEC}') THEN regexp_extract(t, '{SEC}', 1) END AS ident,
-  CASE WHEN regexp_matches(t, '{APP}') THEN regexp_extract(t, '{APP}', 2) WHEN regexp_matches(t, '{CH1}') THEN regexp_extract(t, '{CH1}', 2) WHEN regexp_matches(t, '{CH2}') THEN regexp_extract(t, '{CH2}', 2)
-  WHEN regexp_matches(t, '{LAB}') THEN regexp_extract(t, '{LAB}', 2) WHEN regexp_matches(t, '{SEC}') THEN regexp_extract(t, '{SEC}', 2) ELSE t END AS lexical FROM (SELECT entry_id, {CLEAN} AS t FROM ({TITLES}) WHERE title IS NOT NULL)""")
+@query(f"""WITH h AS ({HEAD}), k AS (SELECT *, CASE WHEN lower(g1) IN ('부록', 'appendix') AND regexp_matches(g2, '^[A-Za-z]$') AND g3 <> '' AND g4 || g5 <> '' THEN 1 WHEN regexp_matches(g1, '^[A-Za-z]{{2,7}}$') AND regexp_matches(g2, '^[0-9]+$') AND g3 <> '' AND g4 || g5 <> '' THEN 2
+    WHEN g1 IN ('', '제') AND regexp_matches(g2, '^[0-9]+$') AND g4 <> '' THEN 3 WHEN lower(g1) = 'lab' AND regexp_matches(g2, '^[0-9]+[.]') THEN 4 WHEN g1 = '' AND regexp_matches(g2, '^[0-9]+[.]') THEN 5 WHEN sec <> '' THEN 6 ELSE 7 END AS rule FROM h)
+  SELECT entry_id, CASE WHEN rule <= 3 THEN 'chapter' WHEN rule = 4 THEN 'lab' WHEN rule <= 6 THEN 'section' ELSE 'plain' END AS kind, CASE rule WHEN 1 THEN upper(g2) WHEN 2 THEN regexp_replace(g2, '^0+(.)', '\\1') WHEN 3 THEN regexp_replace(g2, '^0+(.)', '\\1') WHEN 4 THEN g2 WHEN 5 THEN g2 WHEN 6 THEN sec END AS ident,
+  CASE rule WHEN 1 THEN g4 || g5 WHEN 2 THEN g4 || g5 WHEN 3 THEN ltrim(g5) WHEN 4 THEN g4 || g5 WHEN 5 THEN g4 || g5 WHEN 6 THEN ltrim(t[length(sec) + 1:]) ELSE t END AS lexical FROM k""")
 def heading_identity(s: SparkSession, d: str) -> DataFrame:
     """What the numbering of a title says it is."""
     return titles(s, d).where("title IS NOT NULL").select("entry_id", T.identity(T.clean_title(F.col("title"))).alias("i")).select("entry_id", "i.*")
