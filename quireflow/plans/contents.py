@@ -63,7 +63,7 @@ FOLIOS = f"""SELECT run_id, page, min(v) AS folio FROM (SELECT DISTINCT run_id,
 
 def folios(s: SparkSession, d: str) -> DataFrame:
     t = F.trim("content")
-    f = flat(s, d).where(t.rlike("^[0-9]{1,5}$") & F.col("label").isin("number", "page_number", "footer", "text")).select("run_id", "page", t.cast("int").alias("v")).distinct()
+    f = flat(s, d, t.rlike("^[0-9]{1,5}$") & F.col("label").isin("number", "page_number", "footer", "text"), "label content run_id page").select("run_id", "page", t.cast("int").alias("v")).distinct()
     return f.groupBy("run_id", "page").agg(F.min("v").alias("folio"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
@@ -80,7 +80,7 @@ def folio_join(s: SparkSession, d: str) -> DataFrame:
 def scored_match(s: SparkSession, d: str) -> DataFrame:
     """J06, B04 (exact branch): headings with an entry's key within a range of pages, scored."""
     k = titles(s, d).where("title IS NOT NULL").select("entry_id", "run_id", F.col("page").alias("wanted"), T.title_key(F.col("title")).alias("key")).where("key <> ''")
-    h = flat(s, d).where("label IN ('doc_title', 'paragraph_title', 'text') AND length(content) <= 180").select("run_id", "page", "page_id", "ord", "label", T.title_key(F.col("content")).alias("key"))
+    h = flat(s, d, "label IN ('doc_title', 'paragraph_title', 'text') AND length(content) <= 180", "label content run_id page").select("run_id", "page", "page_id", "ord", "label", T.title_key(F.col("content")).alias("key"))
     j = k.join(h, ["run_id", "key"]).where("page >= wanted - 2 AND page < wanted + 3")
     return j.select("entry_id", "page_id", "ord", (100 + 10 * (F.col("label") != "text").cast("int")).alias("score"))
 
@@ -123,7 +123,7 @@ BOXED = f"SELECT page_id, ord, block_id, label, content, box.x0 AS x0, box.y0 AS
 
 
 def boxed(s: SparkSession, d: str) -> DataFrame:
-    return flat(s, d).withColumn("box", norm_box(F.col("bbox"))).where("box IS NOT NULL").select("page_id", "ord", "block_id", "label", "content", "box.*")
+    return flat(s, d, "bbox IS NOT NULL", "block_id label content bbox").withColumn("box", norm_box(F.col("bbox"))).where("box IS NOT NULL").select("page_id", "ord", "block_id", "label", "content", "box.*")
 
 
 @query(f"""WITH b AS ({BOXED}) SELECT a.page_id, a.ord AS left_ord, min(c.ord) AS right_ord FROM b a JOIN b c ON a.page_id = c.page_id AND c.x0 >= a.x1 AND abs((c.y0 + c.y1) / 2 - (a.y0 + a.y1) / 2) <= 0.4 * least(a.y1 - a.y0, c.y1 - c.y0) GROUP BY ALL HAVING count(*) = 1""")
@@ -194,8 +194,9 @@ TEXTS = f"SELECT doc_key, run_id, page, md5(string_agg(coalesce(content, ''), ch
   SELECT r.doc_key, x.page, x.h IS NOT DISTINCT FROM y.h AS same FROM r JOIN t x ON x.run_id = r.a AND x.doc_key = r.doc_key LEFT JOIN t y ON y.run_id = r.b AND y.doc_key = r.doc_key AND y.page = x.page""")
 def run_comparison(s: SparkSession, d: str) -> DataFrame:
     """Pages of a book's first run whose text the last run repeats."""
-    p = table(s, d, "layout_pages").dropDuplicates(["page_id"]).where("size(parsing_res_list) > 0")
-    per = p.select("doc_key", "run_id", "page", "page_id", F.array_join(F.transform("parsing_res_list", lambda b: F.coalesce(b["block_content"], F.lit(""))), "\n").alias("t"))
+    p = table(s, d, "layout_pages").where("size(parsing_res_list) > 0")
+    text = F.array_join(F.transform("parsing_res_list.block_content", lambda c: F.coalesce(c, F.lit(""))), "\n")
+    per = p.select("doc_key", "run_id", "page", "page_id", text.alias("t")).dropDuplicates(["page_id"])
     t = per.groupBy("doc_key", "run_id", "page").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "t"))), lambda x: x["t"]), "\n")).alias("h"))
     r = t.groupBy("doc_key").agg(F.min("run_id").alias("a"), F.max("run_id").alias("b")).where("a <> b")
     x = t.join(r, "doc_key").where("run_id = a").select("doc_key", "page", F.col("h").alias("hx"))
@@ -266,7 +267,7 @@ NUMBER = "^([0-9]{1,5}|[ivxlcdmIVXLCDM]{1,12})$"
 
 
 def lines(s: SparkSession, d: str) -> DataFrame:
-    b = flat(s, d).where("label IN ('content', 'text') AND content IS NOT NULL")
+    b = flat(s, d, "label IN ('content', 'text') AND content IS NOT NULL", "label content")
     return b.select("page_id", "ord", F.posexplode(F.split("content", "\n")).alias("line", "raw")).select("page_id", "ord", (F.col("line") + 1).alias("line"), F.trim("raw").alias("t"))
 
 
@@ -290,7 +291,7 @@ def wrapped_lines(s: SparkSession, d: str) -> DataFrame:
 def running_headers(s: SparkSession, d: str) -> DataFrame:
     """Texts at the edge of three or more pages of a run."""
     y = F.least(F.get("bbox", F.lit(1)), F.get("bbox", F.lit(3)))
-    b = flat(s, d).where((F.col("height") > 0) & (F.size("bbox") == 4) & ((y < 0.1 * F.col("height")) | (y > 0.9 * F.col("height"))) & F.col("content").isNotNull())
+    b = flat(s, d, (F.col("height") > 0) & (F.size("bbox") == 4) & ((y < 0.1 * F.col("height")) | (y > 0.9 * F.col("height"))) & F.col("content").isNotNull(), "content bbox run_id page height")
     return b.groupBy("run_id", T.dense(F.col("content"), fold=True).alias("key")).agg(F.countDistinct("page").alias("pages")).where("pages >= 3")
 
 
@@ -350,7 +351,7 @@ def document_places(s: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT run_id, string_agg(CAST(page_id AS VARCHAR) || ':' || ord, ' ' ORDER BY page, page_id, ord) AS headings FROM ({BLOCKS}) WHERE label IN ('doc_title', 'paragraph_title') GROUP BY run_id")
 def heading_order(s: SparkSession, d: str) -> DataFrame:
     """Headings of a run in reading order."""
-    b = flat(s, d).where("label IN ('doc_title', 'paragraph_title')").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("page", "page_id", "ord"))).alias("h"))
+    b = flat(s, d, "label IN ('doc_title', 'paragraph_title')", "label run_id page").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("page", "page_id", "ord"))).alias("h"))
     return b.select("run_id", F.array_join(F.transform("h", lambda x: F.concat(x["page_id"].cast("string"), F.lit(":"), x["ord"].cast("string"))), " ").alias("headings"))
 
 
@@ -364,7 +365,7 @@ def sorted_warnings(s: SparkSession, d: str) -> DataFrame:
 def first_key(s: SparkSession, d: str) -> DataFrame:
     """The first of several fields that holds something."""
     t = F.when(F.trim("content") != "", F.trim("content"))
-    return flat(s, d).where("ord = 1").select("page_id", F.coalesce(t, "label").alias("text"), F.when(t.isNotNull(), "content").otherwise("label").alias("key"))
+    return flat(s, d, "ord = 1", "label content").select("page_id", F.coalesce(t, "label").alias("text"), F.when(t.isNotNull(), "content").otherwise("label").alias("key"))
 
 
 @query("SELECT doc_key FROM entries WHERE doc_key IS NOT NULL INTERSECT SELECT doc_key FROM documents WHERE doc_key IS NOT NULL")

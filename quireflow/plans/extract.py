@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,14 +32,25 @@ BOX = """CASE WHEN len(list_filter(bbox, lambda v: v IS NOT NULL)) >= 4 THEN {'x
   'x1': list_max(list_filter(bbox, lambda v, i: i % 2 = 1)), 'y1': list_max(list_filter(bbox, lambda v, i: i % 2 = 0))} END"""
 
 
-def pages(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "layout_pages").dropDuplicates(["page_id"])
+#: Names of the block fields in the queries.
+NAMES = {"block_label": "label", "block_content": "content", "block_bbox": "bbox"}
+PAGE_FIELDS = ("run_id", "page", "width", "height")
 
 
-def flat(s: SparkSession, d: str) -> DataFrame:
-    """Blocks with (page_id, run_id, page, width, height, ord, block_id, label, content, bbox, block_order)."""
-    b = blocks(pages(s, d), "block_id", "block_label", "block_content", "block_bbox", "block_order", keep=("page_id", "run_id", "page", "width", "height"))
-    return b.withColumnsRenamed({"block_label": "label", "block_content": "content", "block_bbox": "bbox"})
+def flat(s: SparkSession, d: str, where: Column | str | None = None, fields: str = "block_id label content bbox block_order run_id page width height") -> DataFrame:
+    """Blocks with page_id, ord and the named fields, of those that `where` keeps.
+
+    Pages delivered twice are equal, so blocks are filtered first and only what is left is made distinct by page and place:
+    filters and the choice of fields reach the files, and no more text is shuffled than the query needs.
+    """
+    wanted = fields.split()
+    inner = [k for k in ("block_id", "block_label", "block_content", "block_bbox", "block_order") if NAMES.get(k, k) in wanted]
+    b = blocks(table(s, d, "layout_pages"), *inner, keep=("page_id", *[f for f in PAGE_FIELDS if f in wanted])).withColumnsRenamed(NAMES)
+    return (b if where is None else b.where(where)).dropDuplicates(["page_id", "ord"])
+
+
+def sizes(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "layout_pages").select("page_id", "width", "height").dropDuplicates(["page_id"])
 
 
 def docs(s: SparkSession, d: str) -> DataFrame:
@@ -102,9 +113,9 @@ def dpi_resolution(s: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT page_id, string_agg(content, chr(10) ORDER BY ord) AS text FROM ({BLOCKS}) WHERE content IS NOT NULL AND trim(content, chr(32) || chr(9) || chr(10) || chr(13)) <> '' GROUP BY page_id")
 def page_text(s: SparkSession, d: str) -> DataFrame:
     """Contents of a page that are not blank, one below the other, in array order."""
-    keep = F.filter("parsing_res_list", lambda b: F.regexp_replace(b["block_content"], "[ \\t\\n\\r]+", "") != "")
-    p = pages(s, d).select("page_id", F.array_join(F.transform(keep, lambda b: b["block_content"]), "\n").alias("text"), F.size(keep).alias("n"))
-    return p.where("n > 0").drop("n")
+    keep = F.filter("parsing_res_list.block_content", lambda c: F.regexp_replace(c, "[ \\t\\n\\r]+", "") != "")
+    p = table(s, d, "layout_pages").select("page_id", F.array_join(keep, "\n").alias("text"), F.size(keep).alias("n"))
+    return p.where("n > 0").drop("n").dropDuplicates(["page_id"])
 
 
 @query("SELECT source, string_agg(CAST(page AS VARCHAR), chr(10) || chr(10) || '---PAGE---' || chr(10) || chr(10) ORDER BY page) AS joined, count(*) AS pages FROM (SELECT DISTINCT source, page FROM documents WHERE source IS NOT NULL AND page IS NOT NULL) GROUP BY source")
@@ -119,14 +130,14 @@ def page_separators(s: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT page_id, block_id, box.x0 AS x0, box.y0 AS y0, box.x1 AS x1, box.y1 AS y1 FROM (SELECT page_id, block_id, {BOX} AS box FROM ({BLOCKS}))")
 def norm_bbox(s: SparkSession, d: str) -> DataFrame:
     """Boxes in order, polygons as their bounds."""
-    return flat(s, d).select("page_id", "block_id", X.norm_box(F.col("bbox")).alias("box")).select("page_id", "block_id", "box.*")
+    return flat(s, d, fields="block_id bbox").select("page_id", "block_id", X.norm_box(F.col("bbox")).alias("box")).select("page_id", "block_id", "box.*")
 
 
 FOUND = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, text, box ORDER BY ord) AS n FROM (SELECT *, trim(regexp_replace(content, '[ \\t\\r\\n\\f\\v]+', ' ', 'g')) AS text, {BOX} AS box FROM ({BLOCKS})) WHERE box IS NOT NULL AND text <> '') WHERE n = 1"""
 
 
 def found(s: SparkSession, d: str) -> DataFrame:
-    return X.find_blocks(flat(s, d).withColumnsRenamed({"content": "block_content", "bbox": "block_bbox"}))
+    return X.find_blocks(flat(s, d, "content IS NOT NULL AND bbox IS NOT NULL").withColumnsRenamed({"content": "block_content", "bbox": "block_bbox"}))
 
 
 @query(f"SELECT page_id, block_id, text FROM ({FOUND})")
@@ -141,12 +152,12 @@ SCALE = f"SELECT p.page_id, coalesce(width, w) AS w, coalesce(height, h) AS h FR
 @query(f"SELECT page_id, w, h FROM ({SCALE})")
 def page_size(s: SparkSession, d: str) -> DataFrame:
     """Size of a page, else the farthest edges of its blocks."""
-    return X.page_scale(pages(s, d), found(s, d))
+    return X.page_scale(sizes(s, d), found(s, d))
 
 
 def placed(s: SparkSession, d: str) -> DataFrame:
     b = found(s, d)
-    return b.join(X.page_scale(pages(s, d), b), "page_id")
+    return b.join(X.page_scale(sizes(s, d), b), "page_id")
 
 
 @query(f"SELECT page_id, block_id, round(greatest(box.x0, 0), 3) AS x0, round(greatest(box.y0, 0), 3) AS y0, round(least(box.x1, w), 3) AS x1, round(least(box.y1, h), 3) AS y1 FROM ({FOUND}) JOIN ({SCALE}) USING (page_id) WHERE trim(replace(text, chr(65533), '')) <> '' AND least(least(box.x1, w) - greatest(box.x0, 0), least(box.y1, h) - greatest(box.y0, 0)) >= 1")
@@ -177,8 +188,8 @@ def result_counts(s: SparkSession, d: str) -> DataFrame:
 def block_snapshots(s: SparkSession, d: str) -> DataFrame:
     """Hash of what a page's blocks hold."""
     one = F.transform("parsing_res_list", lambda b: F.concat_ws("|", b["block_id"].cast("string"), F.coalesce(b["block_label"], F.lit("")), F.coalesce(b["block_content"], F.lit(""))))
-    p = pages(s, d).where("size(parsing_res_list) > 0")
-    return p.select("page_id", F.size("parsing_res_list").cast("long").alias("n_blocks"), F.sha2(F.array_join(one, "\n"), 256).alias("snapshot"))
+    p = table(s, d, "layout_pages").where("size(parsing_res_list) > 0")
+    return p.select("page_id", F.size("parsing_res_list").cast("long").alias("n_blocks"), F.sha2(F.array_join(one, "\n"), 256).alias("snapshot")).dropDuplicates(["page_id"])
 
 
 @query("SELECT DISTINCT ON (decision_id) decision_id, CASE WHEN len(selected) > 0 AND accepted THEN array_to_string(before, chr(10)) ELSE original END AS upstream FROM decisions")
@@ -191,7 +202,7 @@ def undo_repair(s: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT page_id, block_id, label, length(content) AS chars FROM ({BLOCKS}) WHERE page = 3")
 def inspect_blocks(s: SparkSession, d: str) -> DataFrame:
     """X11: blocks of one page number."""
-    return flat(s, d).where("page = 3").select("page_id", "block_id", "label", F.length("content").cast("long").alias("chars"))
+    return flat(s, d, "page = 3", "block_id label content page").select("page_id", "block_id", "label", F.length("content").cast("long").alias("chars"))
 
 
 TAGS = "(?i)</?(table|tr|td|th|p|div|br|span|b|strong|i|em|img)[\\s/>]"
@@ -200,7 +211,7 @@ TAGS = "(?i)</?(table|tr|td|th|p|div|br|span|b|strong|i|em|img)[\\s/>]"
 @query(f"SELECT page_id, block_id FROM ({BLOCKS}) WHERE regexp_matches(content, '{TAGS}')")
 def tagged_blocks(s: SparkSession, d: str) -> DataFrame:
     """Blocks with a known element."""
-    return flat(s, d).where(T.has_markup(F.col("content"))).select("page_id", "block_id")
+    return flat(s, d, T.has_markup(F.col("content")), "block_id content").select("page_id", "block_id")
 
 
 UNITS = """list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(content, '(?s)<!--.*?-->', '', 'g'), '(?i)</?(td|th|tr|p|div|br)(\\s[^<>]*|/)?/?>', chr(10), 'g'), '(?i)</?(table|tr|td|th|p|div|br|span|b|strong|i|em|img)(\\s[^<>]*|/)?/?>', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r\\n\\f\\v]+', ' ', 'g'))), lambda x: x <> '')"""
@@ -209,21 +220,21 @@ UNITS = """list_filter(list_transform(string_split(regexp_replace(regexp_replace
 @query(f"SELECT page_id, block_id, len({UNITS}) AS n_units, array_to_string({UNITS}, chr(10)) AS units FROM ({BLOCKS}) WHERE content IS NOT NULL")
 def html_units(s: SparkSession, d: str) -> DataFrame:
     """Lines of marked-up text by expressions (entities stay)."""
-    b = flat(s, d).where("content IS NOT NULL").withColumn("u", T.units_sql(F.col("content")))
+    b = flat(s, d, "content IS NOT NULL", "block_id content").withColumn("u", T.units_sql(F.col("content")))
     return b.select("page_id", "block_id", F.size("u").cast("long").alias("n_units"), F.array_join("u", "\n").alias("units"))
 
 
 @query()
 def html_units_exact(s: SparkSession, d: str) -> DataFrame:
     """Lines and plain text of marked-up text, exactly."""
-    b = flat(s, d).where("content IS NOT NULL").withColumn("u", T.units(F.col("content")))
+    b = flat(s, d, "content IS NOT NULL", "block_id content").withColumn("u", T.units(F.col("content")))
     return b.select("page_id", "block_id", F.size("u").alias("n_units"), F.array_join("u", " ").alias("plain"))
 
 
 @query()
 def flat_math(s: SparkSession, d: str) -> DataFrame:
     """Flat inline formulas as signs."""
-    b = flat(s, d).where(F.contains("content", F.lit("$")))
+    b = flat(s, d, F.contains("content", F.lit("$")), "block_id content")
     return b.select("page_id", "block_id", T.math_flattened(F.col("content")).alias("text"))
 
 
@@ -258,7 +269,7 @@ def exact_title_keys(s: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT page_id, block_id FROM (SELECT page_id, block_id, regexp_replace(lower({CLEAN}), '[ \\t\\r\\n\\f\\v]+', '', 'g') AS key FROM (SELECT *, content AS title FROM ({BLOCKS}))) WHERE key IN ('목차', '차례', 'contents', 'tableofcontents', 'contents(continued)', 'contentscontinued')")
 def contents_markers(s: SparkSession, d: str) -> DataFrame:
     """Blocks that announce printed contents."""
-    return flat(s, d).where(T.is_marker(F.col("content"))).select("page_id", "block_id")
+    return flat(s, d, T.is_marker(F.col("content")), "block_id content").select("page_id", "block_id")
 
 
 ROMAN = "^M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
@@ -320,7 +331,7 @@ HEADS = f"""SELECT page_id, page, run_id, ord, line, length(regexp_extract(raw,
 @query(f"SELECT page_id, ord, level, CAST(i + least(0, min(level - i) OVER (PARTITION BY run_id ORDER BY i)) AS BIGINT) AS clamped, title FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY page, page_id, ord, line) AS i FROM ({HEADS}) WHERE length(title) BETWEEN 2 AND 80)")
 def markdown_toc(s: SparkSession, d: str) -> DataFrame:
     """Markdown headings of a run, no level more than one below the one before."""
-    b = flat(s, d).where("content IS NOT NULL").select("*", F.posexplode(F.split("content", "\n")).alias("line", "raw")).withColumn("raw", F.trim("raw"))
+    b = flat(s, d, F.contains("content", F.lit("#")), "content run_id page").select("*", F.posexplode(F.split("content", "\n")).alias("line", "raw")).withColumn("raw", F.trim("raw"))
     pattern = "^(#{1,4})\\s+(.+)$"
     h = b.where(F.col("raw").rlike(pattern)).withColumn("level", F.length(F.regexp_extract("raw", pattern, 1)).cast("long"))
     h = h.withColumn("title", F.trim(F.regexp_replace(F.regexp_extract("raw", pattern, 2), "[*_`]", ""))).where("length(title) BETWEEN 2 AND 80")
@@ -333,7 +344,7 @@ def markdown_toc(s: SparkSession, d: str) -> DataFrame:
 def table_sources(s: SparkSession, d: str) -> DataFrame:
     """Blocks that are one table."""
     low = F.lower("content")
-    return flat(s, d).where(F.contains(low, F.lit("<table"))).select("page_id", "block_id", F.startswith(F.lower(F.trim("content")), F.lit("<table")).alias("is_table"), F.expr("(length(lower(content)) - length(replace(lower(content), '<table', ''))) div 6").alias("tables"))
+    return flat(s, d, F.contains(low, F.lit("<table")), "block_id content").select("page_id", "block_id", F.startswith(F.lower(F.trim("content")), F.lit("<table")).alias("is_table"), F.expr("(length(lower(content)) - length(replace(lower(content), '<table', ''))) div 6").alias("tables"))
 
 
 @query("""SELECT source, count(*) AS texts, sum(length(regexp_replace(text, '[ \\t\\r\\n\\f\\v]+', '', 'g'))) AS dense_chars, sum(len(regexp_extract_all(text, '[0-9]+([.,-][0-9]+)*'))) AS numbers,

@@ -76,7 +76,7 @@ def table_layouts(s: SparkSession, d: str) -> DataFrame:
 
         return v.map(one)
 
-    b = flat(s, d).where(F.contains(F.lower("content"), F.lit("<table")))
+    b = flat(s, d, F.contains(F.lower("content"), F.lit("<table")), "block_id content")
     return b.select("page_id", "block_id", F.explode(cells("content")).alias("c")).select("page_id", "block_id", "c.*")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,8 +29,11 @@ def query(sql: str | None = None):
 DECISIONS = "SELECT DISTINCT ON (decision_id) *, array_to_string(candidate, ' ') AS other FROM decisions"
 
 
-def decisions(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "decisions").dropDuplicates(["decision_id"]).withColumn("other", F.array_join("candidate", " "))
+def decisions(s: SparkSession, d: str, where: Column | str | None = None, *columns: str) -> DataFrame:
+    """Decisions that `where` keeps, each once, with `other`, the lines of the second reading as one text. Those delivered
+    twice are equal, so they are filtered and cut to the named columns first."""
+    t = table(s, d, "decisions").select("decision_id", *(columns or ("original", "candidate", "run_id", "page"))).withColumn("other", F.array_join("candidate", " "))
+    return (t if where is None else t.where(where)).dropDuplicates(["decision_id"])
 
 
 def delivered(s: SparkSession, d: str) -> DataFrame:
@@ -44,21 +47,21 @@ NUMS = "regexp_extract_all({}, '[0-9]+(?:[.,-][0-9]+)*')"
 @query(f"SELECT decision_id, len({NUMS.format('original')}) AS n, array_to_string({NUMS.format('original')}, ' ') AS tokens FROM ({DECISIONS}) WHERE original IS NOT NULL AND NOT contains(original, '@')")
 def critical_tokens(s: SparkSession, d: str) -> DataFrame:
     """Numbers in order with repeats, of texts without an at sign; `critical_tokens_whole` has all."""
-    t = decisions(s, d).where("original IS NOT NULL AND NOT contains(original, '@')").withColumn("t", T.critical_tokens(F.col("original")))
+    t = decisions(s, d, "original IS NOT NULL AND NOT contains(original, '@')").withColumn("t", T.critical_tokens(F.col("original")))
     return t.select("decision_id", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tokens"))
 
 
 @query()
 def critical_tokens_whole(s: SparkSession, d: str) -> DataFrame:
     """Numbers, and addresses where the text has an at sign, in order with repeats, of every original."""
-    t = decisions(s, d).where("original IS NOT NULL").select("decision_id", S.critical_of(F.col("original")).alias("t"))
+    t = decisions(s, d, "original IS NOT NULL").select("decision_id", S.critical_of(F.col("original")).alias("t"))
     return t.select("decision_id", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tokens"))
 
 
 @query(f"SELECT decision_id, CASE WHEN length(original) + length(other) > 0 THEN round(2 * least(length(original), length(other)) / (length(original) + length(other)), 6) ELSE 1 END AS bound, original = other AS same FROM ({DECISIONS}) WHERE original IS NOT NULL AND other IS NOT NULL")
 def similarity_bound(s: SparkSession, d: str) -> DataFrame:
     """Bound of the ratio by lengths, and equality."""
-    t = decisions(s, d).where("original IS NOT NULL AND other IS NOT NULL")
+    t = decisions(s, d, "original IS NOT NULL AND other IS NOT NULL")
     return t.select("decision_id", F.round(S.upper_bound(F.col("original"), F.col("other")), 6).alias("bound"), (F.col("original") == F.col("other")).alias("same"))
 
 
@@ -84,7 +87,7 @@ def aligned_lines(s: SparkSession, d: str) -> DataFrame:
 @query()
 def conserved_lines(s: SparkSession, d: str) -> DataFrame:
     """Whether alignment keeps every character of the text without markup, by run."""
-    t = decisions(s, d).where("original IS NOT NULL AND size(candidate) > 0 AND NOT exists(candidate, x -> x IS NULL)")
+    t = decisions(s, d, "original IS NOT NULL AND size(candidate) > 0 AND NOT exists(candidate, x -> x IS NULL)")
     t = t.withColumn("lines", S.align(F.col("original"), F.col("candidate")))
     same = T.bare(F.array_join("lines", "")) == T.bare(T.stripped(F.col("original")))
     return t.groupBy("run_id").agg(F.count("*").alias("blocks"), F.count_if(~same).alias("failures"), F.sum(F.size(F.filter("lines", lambda x: x == ""))).alias("empty_chunks"))
@@ -97,7 +100,7 @@ WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
   SELECT decision_id, len(a) AS n_words, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda z: z = x)))))::BIGINT AS common FROM t WHERE len(a) > 0 AND regexp_matches(original, '^[\\x20-\\x7e\\s]*$') AND regexp_matches(other, '^[\\x20-\\x7e\\s]*$')""")
 def word_coverage(s: SparkSession, d: str) -> DataFrame:
     """Words of the original that the second reading has, with repeats (ASCII texts; `word_coverage_whole` has all)."""
-    t = decisions(s, d).where(F.col("original").rlike("^[\\x20-\\x7e\\s]*$") & F.col("other").rlike("^[\\x20-\\x7e\\s]*$"))
+    t = decisions(s, d, F.col("original").rlike("^[\\x20-\\x7e\\s]*$") & F.col("other").rlike("^[\\x20-\\x7e\\s]*$"))
     a, b = S.words(F.col("original")), S.words(F.col("other"))
     return t.select("decision_id", F.size(a).cast("long").alias("n_words"), S.bag_common(a, b).cast("long").alias("common")).where("n_words > 0")
 
@@ -105,7 +108,7 @@ def word_coverage(s: SparkSession, d: str) -> DataFrame:
 @query()
 def word_coverage_whole(s: SparkSession, d: str) -> DataFrame:
     """Words of the original that the second reading has, with repeats, in any script."""
-    t = decisions(s, d).where("original IS NOT NULL AND other IS NOT NULL")
+    t = decisions(s, d, "original IS NOT NULL AND other IS NOT NULL")
     a, b = S.words(F.col("original")), S.words(F.col("other"))
     return t.select("decision_id", F.size(a).cast("long").alias("n_words"), S.bag_common(a, b).cast("long").alias("common")).where("n_words > 0")
 
@@ -113,14 +116,14 @@ def word_coverage_whole(s: SparkSession, d: str) -> DataFrame:
 @query()
 def repair_is_safe(s: SparkSession, d: str) -> DataFrame:
     """Whether each second reading could replace the original."""
-    return decisions(s, d).where("original IS NOT NULL").select("decision_id", S.repair_is_safe(F.col("original"), F.coalesce("other", F.lit(""))).alias("safe"))
+    return decisions(s, d, "original IS NOT NULL").select("decision_id", S.repair_is_safe(F.col("original"), F.coalesce("other", F.lit(""))).alias("safe"))
 
 
 @query(f"""WITH t AS (SELECT decision_id, regexp_replace(original, '\\s+', '', 'g') AS a, regexp_replace(other, '\\s+', '', 'g') AS b, original, other FROM ({DECISIONS}) WHERE regexp_matches(original, '^[a-zA-Z0-9., \\n-]+$') AND regexp_matches(other, '^[a-zA-Z0-9., \\n-]+$'))
   SELECT decision_id, b LIKE '%' || array_to_string(string_split(a, ''), '%') || '%' AND length(b) <= greatest(1.6 * length(a), length(a) + 32) AND list_sort(regexp_extract_all(original, '[0-9]+')) = list_sort(list_filter(regexp_extract_all(other, '[0-9]+'), lambda x: true)) AS preserved FROM t""")
 def preserves_content(s: SparkSession, d: str) -> DataFrame:
     """Whether the second reading keeps every character of the original in order (here: the same numbers, plain ASCII texts; `preserves_content_whole` has all)."""
-    t = decisions(s, d).where(F.col("original").rlike("^[a-zA-Z0-9., \\n-]+$") & F.col("other").rlike("^[a-zA-Z0-9., \\n-]+$"))
+    t = decisions(s, d, F.col("original").rlike("^[a-zA-Z0-9., \\n-]+$") & F.col("other").rlike("^[a-zA-Z0-9., \\n-]+$"))
     n = lambda c: F.array_sort(F.regexp_extract_all(F.col(c), F.lit("[0-9]+"), F.lit(0)))
     return t.select("decision_id", (S.preserves_content(F.col("original"), F.col("other")) & (n("original") == n("other"))).alias("preserved"))
 
@@ -128,7 +131,7 @@ def preserves_content(s: SparkSession, d: str) -> DataFrame:
 @query()
 def preserves_content_whole(s: SparkSession, d: str) -> DataFrame:
     """Whether the second reading keeps every character and number of the original, in any script, markup aside."""
-    t = decisions(s, d).where("original IS NOT NULL AND other IS NOT NULL")
+    t = decisions(s, d, "original IS NOT NULL AND other IS NOT NULL")
     return t.select("decision_id", S.content_kept(F.col("original"), F.col("other")).alias("preserved"))
 
 
@@ -136,7 +139,7 @@ def preserves_content_whole(s: SparkSession, d: str) -> DataFrame:
   SELECT decision_id, a <> '' AND b <> '' AND len(list_filter(candidate, lambda x: coalesce(trim(x), '') = '')) = 0 AND length(b) BETWEEN 0.75 * length(a) AND 1.25 * length(a) AS usable FROM t""")
 def length_ratio_usable(s: SparkSession, d: str) -> DataFrame:
     """The length part of the boundary guard."""
-    t = decisions(s, d).where("original IS NOT NULL AND candidate IS NOT NULL")
+    t = decisions(s, d, "original IS NOT NULL AND candidate IS NOT NULL")
     a, b = T.dense(F.col("original"), fold=True), T.dense(F.array_join("candidate", ""), fold=True)
     blank = F.exists("candidate", lambda x: F.coalesce(F.trim(x), F.lit("")) == "")
     return t.select("decision_id", ((a != "") & (b != "") & ~blank & F.length(b).between(0.75 * F.length(a), 1.25 * F.length(a))).alias("usable"))
@@ -170,7 +173,7 @@ def expected_text(s: SparkSession, d: str) -> DataFrame:
     only; texts that differ after them fail here and pass there.
     """
     e = table(s, d, "decisions").groupBy("page_id", "block_id").agg(F.min_by("original", "decision_id").alias("original"))
-    b = flat(s, d).select("page_id", "block_id", "content", F.lit(True).alias("there"))
+    b = flat(s, d, fields="block_id content").select("page_id", "block_id", "content", F.lit(True).alias("there"))
     j = e.join(b, ["page_id", "block_id"], "left")
     return j.select("page_id", "block_id", (F.col("there").isNotNull() & F.coalesce(T.bare("content") == T.bare("original"), F.lit(False))).alias("passed"))
 
@@ -181,7 +184,7 @@ BAND = "CASE WHEN other IS NULL OR other = '' THEN 'no recognizer output' WHEN r
 @query(f"SELECT {BAND} AS band, count(*) AS blocks FROM (SELECT *, 2 * least(length(original), length(other)) / (length(original) + length(other)) AS r FROM ({DECISIONS}) WHERE length(original) > 0) GROUP BY band")
 def agreement_bands(s: SparkSession, d: str) -> DataFrame:
     """Decisions by band of agreement (the length bound stands for the ratio here)."""
-    t = decisions(s, d).where("length(original) > 0").withColumn("r", S.upper_bound(F.col("original"), F.col("other")))
+    t = decisions(s, d, "length(original) > 0").withColumn("r", S.upper_bound(F.col("original"), F.col("other")))
     return t.groupBy(F.expr(BAND).alias("band")).agg(F.count("*").alias("blocks"))
 
 
@@ -201,14 +204,14 @@ def agreement_exact(s: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT run_id, round(coalesce(sum(r * length(original)) / sum(length(original)), 0), 4) AS weighted FROM (SELECT *, 2 * least(length(original), length(other)) / (length(original) + length(other)) AS r FROM ({DECISIONS}) WHERE length(original) > 0 AND other <> '') GROUP BY run_id")
 def weighted_agreement(s: SparkSession, d: str) -> DataFrame:
     """Bound by lengths of the mean agreement weighted by characters; `weighted_agreement_exact` has the agreement itself."""
-    t = decisions(s, d).where("length(original) > 0 AND other <> ''").withColumn("r", S.upper_bound(F.col("original"), F.col("other")))
+    t = decisions(s, d, "length(original) > 0 AND other <> ''").withColumn("r", S.upper_bound(F.col("original"), F.col("other")))
     return t.groupBy("run_id").agg(F.round(F.coalesce(F.sum(F.col("r") * F.length("original")) / F.sum(F.length("original")), F.lit(0.0)), 4).alias("weighted"))
 
 
 @query(f"SELECT run_id, page, round(min(r), 6) AS worst FROM (SELECT *, 2 * least(length(original), length(other)) / (length(original) + length(other)) AS r FROM ({DECISIONS}) WHERE length(original) > 0 AND other <> '') GROUP BY run_id, page ORDER BY min(r), run_id, page LIMIT 12")
 def worst_pages(s: SparkSession, d: str) -> DataFrame:
     """The twelve pages of least bound by lengths, a stand-in for agreement; `worst_pages_exact` has the agreement itself."""
-    t = decisions(s, d).where("length(original) > 0 AND other <> ''").withColumn("r", S.upper_bound(F.col("original"), F.col("other")))
+    t = decisions(s, d, "length(original) > 0 AND other <> ''").withColumn("r", S.upper_bound(F.col("original"), F.col("other")))
     return t.groupBy("run_id", "page").agg(F.min("r").alias("r")).orderBy("r", "run_id", "page").limit(12).select("run_id", "page", F.round("r", 6).alias("worst"))
 
 
@@ -235,7 +238,7 @@ ITEM = "(?m)^[ \\t]*([0-9]{1,3})[.)]\\s"
   SELECT r.run_id, k.item, coalesce(c.n, 0) AS seen, coalesce(array_to_string(c.pages, ','), '') AS pages FROM r CROSS JOIN (SELECT unnest(generate_series(1, 9))::INT AS item) k LEFT JOIN c ON c.run_id = r.run_id AND c.item = k.item WHERE coalesce(c.n, 0) < 2""")
 def sequence_audit(s: SparkSession, d: str) -> DataFrame:
     """Numbered items 1 to 9 seen fewer than twice in a run, with their pages."""
-    i = flat(s, d).where("content IS NOT NULL").select("run_id", "page", F.explode(F.regexp_extract_all("content", F.lit(ITEM), F.lit(1))).alias("item")).withColumn("item", F.col("item").cast("int"))
+    i = flat(s, d, F.col("content").rlike(ITEM), "content run_id page").select("run_id", "page", F.explode(F.regexp_extract_all("content", F.lit(ITEM), F.lit(1))).alias("item")).withColumn("item", F.col("item").cast("int"))
     c = i.groupBy("run_id", "item").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("page")).alias("p"))
     want = table(s, d, "layout_pages").select("run_id").distinct().select("run_id", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("item"))
     j = want.join(c, ["run_id", "item"], "left").withColumn("seen", F.coalesce("n", F.lit(0))).where("seen < 2")
@@ -262,7 +265,7 @@ def chars(df: DataFrame, key: str, text: str) -> DataFrame:
 @query(CHARS.format(k="run_id", t="content", f=f"({BLOCKS}) WHERE content IS NOT NULL"))
 def char_multiset(s: SparkSession, d: str) -> DataFrame:
     """Bag of characters of a run."""
-    return chars(flat(s, d), "run_id", "content")
+    return chars(flat(s, d, "content IS NOT NULL", "content run_id"), "run_id", "content")
 
 
 @query(f"""WITH a AS ({CHARS.format(k='decision_id', t='original', f=f'({DECISIONS}) WHERE original IS NOT NULL')}), b AS ({CHARS.format(k='decision_id', t='other', f=f'({DECISIONS}) WHERE other IS NOT NULL')})
@@ -325,7 +328,7 @@ def median_timings(s: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT run_id, sum(abs(length(original) - length(coalesce(other, ''))))::BIGINT AS length_difference, count(*) FILTER (WHERE original IS DISTINCT FROM other) AS changes FROM ({DECISIONS}) WHERE original IS NOT NULL GROUP BY run_id")
 def text_changes(s: SparkSession, d: str) -> DataFrame:
     """Changed texts and how far their lengths differ."""
-    t = decisions(s, d).where("original IS NOT NULL")
+    t = decisions(s, d, "original IS NOT NULL")
     return t.groupBy("run_id").agg(F.sum(F.abs(F.length("original") - F.length(F.coalesce("other", F.lit(""))))).alias("length_difference"), F.count_if(~F.col("original").eqNullSafe(F.col("other"))).alias("changes"))
 
 
@@ -348,6 +351,6 @@ def column_boundaries(s: SparkSession, d: str) -> DataFrame:
     """Median place between a box's right edge and the next one's left."""
     from quireflow.operators.extract import norm_box
 
-    b = flat(s, d).withColumn("box", norm_box(F.col("bbox"))).where("box IS NOT NULL")
+    b = flat(s, d, "size(bbox) >= 4", "bbox").withColumn("box", norm_box(F.col("bbox"))).where("box IS NOT NULL")
     n = F.lead("box.x0").over(Window.partitionBy("page_id").orderBy("ord"))
     return b.withColumn("next", n).where("next IS NOT NULL").groupBy("page_id", F.lit(1).alias("ord")).agg(F.round(F.median((F.col("box.x1") + F.col("next")) / 2), 3).alias("boundary"))

@@ -121,9 +121,9 @@ def repair_eligible(s: SparkSession, d: str) -> DataFrame:
 def repair_rects(s: SparkSession, d: str) -> DataFrame:
     """Boxes cut to the page, none with a side under four."""
     from quireflow.operators.extract import page_scale
-    from quireflow.plans.extract import found, pages
+    from quireflow.plans.extract import found, sizes
 
-    b = flat(s, d).withColumn("box", norm_box(F.col("bbox"))).where("box IS NOT NULL").join(page_scale(pages(s, d), found(s, d)), "page_id")
+    b = flat(s, d, "bbox IS NOT NULL", "block_id bbox").withColumn("box", norm_box(F.col("bbox"))).where("box IS NOT NULL").join(page_scale(sizes(s, d), found(s, d)), "page_id")
     b = b.select("page_id", "block_id", F.greatest("box.x0", F.lit(0.0)).alias("x0"), F.greatest("box.y0", F.lit(0.0)).alias("y0"), F.least("box.x1", "w").alias("x1"), F.least("box.y1", "h").alias("y1"))
     return b.where("x1 - x0 >= 4 AND y1 - y0 >= 4").select("page_id", "block_id", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"))
 

@@ -26,12 +26,13 @@ def latest(df: DataFrame, key: str, stamp: str = "loaded_at") -> DataFrame:
 def blocks(pages: DataFrame, *fields: str, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One row per block of `parsing_res_list` with its 1-based place in the page.
 
-    Null arrays and null elements give no row. Only the named block fields are read.
+    Null arrays give no row, nor do elements that are null or hold nothing in any of the named fields. Only these fields
+    are read from the files: each is taken out of the array before the array is opened.
     """
-    e: Column = F.posexplode("parsing_res_list").alias("_p", "_b")
-    return pages.select(*keep, e).where(F.col("_b").isNotNull()).select(
-        *keep, (F.col("_p") + 1).cast("int").alias("ord"), *[F.col(f"_b.{f}").alias(f) for f in fields]
-    )
+    apart = pages.select(*keep, *[F.col(f"parsing_res_list.{f}").alias(f"_f{k}") for k, f in enumerate(fields)])
+    e: Column = F.posexplode(F.arrays_zip(*[f"_f{k}" for k in range(len(fields))])).alias("_p", "_b")
+    some = " OR ".join(f"_b._f{k} IS NOT NULL" for k in range(len(fields)))
+    return apart.select(*keep, e).where(some).select(*keep, (F.col("_p") + 1).cast("int").alias("ord"), *[F.col(f"_b._f{k}").alias(f) for k, f in enumerate(fields)])
 
 
 def spread(df: DataFrame) -> DataFrame:
