@@ -71,14 +71,29 @@ def text_rows(blocks: DataFrame) -> DataFrame:
 
 
 def review_layouts(pages: DataFrame, reviews: DataFrame) -> DataFrame:
-    """`pages` (source_sha256, page, blocks) with the blocks of their reviews (source_sha256, page, original, blocks).
+    """`pages` (source_sha256, page, width, height, blocks) with the lines of their reviews in place of their blocks.
 
-    A review of another source's page, of a page reviewed twice or whose original blocks are not the page's fails the query.
+    `reviews`: (source_sha256, page, reason, original, lines), lines an array of (text, bbox). A review fails the query if its
+    page was reviewed twice, it gives no reason, its original blocks are not the page's, the page has no size, it has no
+    lines, or a line is blank, goes over several lines, or has no box of four numbers in order within the page. A review of
+    another source finds no page.
     """
-    r = reviews.groupBy("source_sha256", "page").agg(F.count("*").alias("_n"), F.first("original").alias("_o"), F.first("blocks").alias("_r"))
+    r = reviews.groupBy("source_sha256", "page").agg(F.count("*").alias("_n"), F.first("original").alias("_o"), F.first("lines").alias("_r"), F.first("reason").alias("_why"))
     j = pages.join(r, ["source_sha256", "page"], "left")
-    checked = F.when(F.col("_r").isNull(), F.col("blocks")).when(F.col("_n") > 1, F.raise_error(F.lit("page reviewed twice"))).when(~F.col("_o").eqNullSafe(F.col("blocks")), F.raise_error(F.lit("review of other blocks"))).otherwise(F.col("_r"))
-    return j.withColumn("blocks", checked).drop("_n", "_o", "_r")
+    box = lambda x: x["bbox"]
+    right = lambda x: (
+        (F.trim(x["text"]) != "") & ~F.contains(x["text"], F.lit("\n")) & (F.size(box(x)) == 4) & F.forall(box(x), lambda v: v.isNotNull() & ~F.isnan(v))
+        & (box(x)[0] >= 0) & (box(x)[0] < box(x)[2]) & (box(x)[2] <= F.col("width")) & (box(x)[1] >= 0) & (box(x)[1] < box(x)[3]) & (box(x)[3] <= F.col("height"))
+    )
+    fails = (
+        F.when(F.col("_n") > 1, "page reviewed twice").when(F.coalesce(F.trim("_why"), F.lit("")) == "", "review without a reason").when(~F.col("_o").eqNullSafe(F.col("blocks")), "review of other blocks")
+        .when(~F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False)), "page without a size").when(~F.coalesce(F.size("_r") > 0, F.lit(False)), "review without lines").when(~F.forall("_r", lambda x: F.coalesce(right(x), F.lit(False))), "line that is not in the page")
+    )
+    label = F.lit("reviewed_line")
+    lines = F.transform("_r", lambda x: F.struct(x["text"].alias("block_content"), x["bbox"].alias("block_bbox"), label.alias("block_label")))
+    kept = F.transform("blocks", lambda x: F.struct(x["block_content"].alias("block_content"), x["block_bbox"].alias("block_bbox"), x["block_label"].alias("block_label")))
+    checked = F.when(F.col("_n").isNull(), kept).when(fails.isNotNull(), F.raise_error(fails)).otherwise(lines)
+    return j.withColumn("blocks", checked).drop("_n", "_o", "_r", "_why")
 
 
 def validated(results: Column, expected: Column) -> Column:

@@ -43,3 +43,27 @@ def markers(events: DataFrame, kinds: list[str], group: str, at: str, kind: str)
     nxt = F.lead("start").over(w)
     stop = F.when(nxt < F.col("start"), F.raise_error(F.lit("stage markers out of order"))).otherwise(nxt)
     return first.withColumn("stop", stop).drop("_o")
+
+
+def exact_median(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """(key, name): the exact median of `value` for each key that has one, the null key too, however many rows it has.
+
+    An approximate quantile with a rank error of a ten-thousandth brackets the middle; only the values within the bracket,
+    about two in a thousand, meet in a task, and the count below it says which of them is the median.
+    """
+    v = df.where(F.col(value).isNotNull()).select(F.struct(F.col(key).alias("key")).alias("k"), F.col(value).cast("double").alias("v"))
+    near = v.groupBy("k").agg(F.percentile_approx("v", F.array(F.lit(0.499), F.lit(0.501)), 10_000).alias("q"), F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # Few rows are their own bracket.
+    near = near.select("k", "n", F.when(F.col("n") < 5000, F.col("lo")).otherwise(F.col("q")[0]).alias("lo"), F.when(F.col("n") < 5000, F.col("hi")).otherwise(F.col("q")[1]).alias("hi"))
+    inside = v.join(near, "k").groupBy("k").agg(F.first("n").alias("n"), F.count_if(F.col("v") < F.col("lo")).alias("below"), F.array_sort(F.collect_list(F.when(F.col("v").between(F.col("lo"), F.col("hi")), F.col("v")))).alias("m"))
+    at = lambda i: F.get("m", (i - F.col("below")).cast("int"))
+    return inside.select(F.col("k.key").alias(key), ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias(name))
+
+
+def by_key(key: str, *parts: DataFrame) -> DataFrame:
+    """Tables of one row a key side by side; the null key is a key, and a column that a table lacks is null."""
+    columns = [c for p in parts for c in p.columns if c != key]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p, allowMissingColumns=True)
+    return whole.groupBy(key).agg(*[F.max(c).alias(c) for c in columns])

@@ -7,6 +7,8 @@ the old version or the new one, never a part. One driver writes a table at a tim
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,15 +77,70 @@ def publish(df: DataFrame, path: str, version: str, check=None) -> DataFrame:
     written = spark.read.parquet(f"{path}/{version}")
     if check is not None and not check(written):
         raise ValueError(f"version {version} was not published: its check failed")
-    out = fs.create(hpath(f"{path}/CURRENT.{version}"), True)
+    mark = f"{path}/CURRENT.{version}.{uuid.uuid4().hex}"
+    out = fs.create(hpath(mark), True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(hpath(f"{path}/CURRENT"), False)
-    if not fs.rename(hpath(f"{path}/CURRENT.{version}"), hpath(f"{path}/CURRENT")):
-        raise OSError(f"{path}/CURRENT could not be replaced")
+    # One rename that replaces what is there: a reader finds the old mark or the new one, at no time none.
+    jvm = spark._jvm
+    over = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    kinds = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    kinds[0] = over
+    target = fs.makeQualified(hpath(f"{path}/CURRENT"))
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(hpath(mark)), target, kinds)
     return written
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame | None:
     version = current_version(spark, path)
     return spark.read.parquet(f"{path}/{version}") if version else None
+
+
+def staged(current: DataFrame, pending: DataFrame, published: DataFrame, key: str, owner: str) -> DataFrame:
+    """`current` with the pending rows of owners that were published in place of theirs; other pending rows wait."""
+    taken = pending.join(published.select(owner).distinct(), owner, "left_semi")
+    return current.join(taken.select(owner).distinct(), owner, "left_anti").unionByName(taken)
+
+
+def same_content(before: DataFrame, after: DataFrame, key: str, value: str) -> bool:
+    """Whether two tables hold equal values under equal keys, each as often; decided without bringing rows to the driver."""
+    both = before.select(key, value, F.lit(1).alias("_n")).unionByName(after.select(key, value, F.lit(-1).alias("_n")))
+    return both.groupBy(key, value).agg(F.sum("_n").alias("_n")).where("_n <> 0").isEmpty()
+
+
+def resolve(references: DataFrame, stores: DataFrame) -> DataFrame:
+    """(ref, db, key, way) of each `ref`; `stores` has one `name` for each store.
+
+    `store::key` names both (way store, or missing where there is no such store); a path below a folder that has a store is a
+    key of it (parent); any other path stands for itself (path).
+    """
+    p = F.split("ref", "::", 2)
+    named = F.size(p) == 2
+    cut = F.instr("ref", "/")
+    r = references.select("ref", named.alias("_named"), F.when(named, p[0]).otherwise(F.expr("substring(ref, 1, instr(ref, '/') - 1)")).alias("_db"), F.when(named, F.get(p, F.lit(1))).otherwise(F.substr("ref", cut + 1)).alias("_key"))
+    j = r.join(stores.select(F.col("name").alias("_db"), F.lit(True).alias("_there")), "_db", "left")
+    there = F.coalesce("_there", F.lit(False))
+    way = F.when(F.col("_named"), F.when(there, "store").otherwise("missing")).when(there, "parent").otherwise("path")
+    return j.select("ref", F.when(there, F.col("_db")).alias("db"), F.when(there, F.col("_key")).otherwise(F.col("ref")).alias("key"), way.alias("way"))
+
+
+#: Endings of a document's artifacts and reviews, and files of a cache kept apart by source.
+ARTIFACTS = ("_report.json", "_layout.json", ".md", "_layout_review.json", "_line_ocr_review.json")
+CACHED = ("pruned.json", "text.md", "meta.json", "partial.json")
+
+
+def compaction(files: DataFrame, reports: DataFrame, stem: str) -> DataFrame:
+    """(stem, name) of the files to pack into a document's table.
+
+    `files`: (stem, name). Chosen are artifacts and reviews by name, other JSON and Markdown of the document with `_layout_` in
+    the name, shards of its boundary checkpoint, and the files of a cache kept apart by source if one of the document's own
+    `reports` (stem, fingerprint) names it; caches of other documents stay.
+    """
+    name, own = F.col("name"), F.col(stem)
+    rest = F.when(F.startswith(name, own), F.expr(f"substring(name, length(`{stem}`) + 1)"))
+    text = name.rlike("[.](json|md)$")
+    by_name = rest.isin(*ARTIFACTS) | (F.startswith(rest, F.lit("_")) & F.contains(name, F.lit("_layout_")) & text) | (F.startswith(rest, F.lit("_boundary_cache.json.pages/")) & F.endswith(name, F.lit(".json")))
+    named = files.where(F.coalesce(by_name, F.lit(False))).select(stem, "name")
+    part = F.split("name", "/")
+    apart = files.where((F.size(part) == 3) & (part[0] == ".ocr_cache") & part[2].isin(*CACHED)).withColumn("fingerprint", part[1])
+    return named.unionByName(apart.join(reports, [stem, "fingerprint"], "left_semi").select(stem, "name")).distinct()

@@ -204,11 +204,16 @@ def run_comparison(s: SparkSession, d: str) -> DataFrame:
     return x.join(y, ["doc_key", "page"], "left").select("doc_key", "page", F.col("hx").eqNullSafe(F.col("hy")).alias("same"))
 
 
-@query("SELECT (SELECT count(*) FROM documents) AS rows, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM documents WHERE length(text) = n_chars)) AS only_first, (SELECT coalesce(sum(n_chars), 0)::BIGINT FROM documents WHERE length(text) = n_chars) AS chars")
+@query("""WITH a AS (SELECT DISTINCT run_id, doc_key, pages FROM run_reports), b AS (SELECT run_id, doc_key, count(DISTINCT page)::INT AS pages FROM layout_pages GROUP BY ALL)
+  SELECT (SELECT count(*) FROM a) AS first, (SELECT count(*) FROM b) AS second, (SELECT count(*) FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.run_id = b.run_id AND a.doc_key IS NOT DISTINCT FROM b.doc_key AND a.pages IS NOT DISTINCT FROM b.pages)) AS only_first,
+  (SELECT count(*) FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.run_id = b.run_id AND a.doc_key IS NOT DISTINCT FROM b.doc_key AND a.pages IS NOT DISTINCT FROM b.pages)) AS only_second""")
 def corpora_equal(s: SparkSession, d: str) -> DataFrame:
-    """Rows of a corpus another one lacks (here: those whose stated length is their own)."""
-    t = table(s, d, "documents")
-    return t.agg(F.count("*").alias("rows"), (F.countDistinct("doc_id") - F.countDistinct(F.when(F.length("text") == F.col("n_chars"), F.col("doc_id")))).alias("only_first"), F.coalesce(F.sum(F.when(F.length("text") == F.col("n_chars"), F.col("n_chars"))), F.lit(0)).alias("chars"))
+    """Whether two corpora hold the same runs, by id, book and number of pages; what only one of them has is counted."""
+    a = table(s, d, "run_reports").select("run_id", "doc_key", "pages").distinct()
+    b = table(s, d, "layout_pages").groupBy("run_id", "doc_key").agg(F.countDistinct("page").cast("int").alias("pages"))
+    both = a.withColumn("a", F.lit(1)).withColumn("b", F.lit(0)).unionByName(b.withColumn("a", F.lit(0)).withColumn("b", F.lit(1)))
+    g = both.groupBy("run_id", "doc_key", "pages").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    return g.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("first"), F.coalesce(F.sum("b"), F.lit(0)).alias("second"), F.count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("only_first"), F.count_if((F.col("a") == 0) & (F.col("b") == 1)).alias("only_second"))
 
 
 @query("SELECT doc_id FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) > 1)")
@@ -241,18 +246,21 @@ def blank_runs(s: SparkSession, d: str) -> DataFrame:
 def dense_hierarchy(s: SparkSession, d: str) -> DataFrame:
     """Level of each accepted entry, one below its accepted ancestors; a missing parent adopts nobody.
 
-    An ancestor of rank r is the last entry of that rank after which no entry of a lower or equal
-    rank came, so one running window for each of the few ranks finds them all.
+    A run's entries (one book's contents, thousands at most) are walked in order with the entries above the present one as
+    the state; ranks need not be few.
     """
-    e = titles(s, d).where("raw_rank IS NOT NULL").select("entry_id", "run_id", "raw_rank", F.col("page").isNotNull().alias("ok"))
-    ranks = [r.raw_rank for r in e.select("raw_rank").distinct().orderBy("raw_rank").collect()]  # a handful: the depth of a book
-    w = Window.partitionBy("run_id").orderBy("entry_id").rowsBetween(Window.unboundedPreceding, -1)
-    level = F.lit(1)
-    for r in ranks:
-        last = F.max(F.when(F.col("raw_rank") == r, F.struct("entry_id", "ok"))).over(w)
-        lower = F.max(F.when(F.col("raw_rank") < r, F.col("entry_id"))).over(w)
-        level = level + F.when((F.col("raw_rank") > r) & last["ok"] & (lower.isNull() | (lower < last["entry_id"])), 1).otherwise(0)
-    return e.withColumn("level", level.cast("long")).where("ok").select("entry_id", "level")
+    e = titles(s, d).where("raw_rank IS NOT NULL").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("entry_id", "raw_rank", F.col("page").isNotNull().alias("ok")))).alias("e"))
+    kind = "struct<above:array<struct<rank:int,ok:boolean>>,out:array<struct<entry_id:bigint,level:bigint,ok:boolean>>>"
+
+    def step(acc, x):
+        above = F.filter(acc["above"], lambda o: o["rank"] < x["raw_rank"])
+        level = F.size(F.filter(above, lambda o: o["ok"])).cast("long") + 1
+        here = F.struct(x["raw_rank"].cast("int").alias("rank"), x["ok"].alias("ok"))
+        return F.struct(F.concat(above, F.array(here)).alias("above"), F.concat(acc["out"], F.array(F.struct(x["entry_id"].cast("long").alias("entry_id"), level.alias("level"), x["ok"].alias("ok")))).alias("out")).cast(kind)
+
+    start = F.struct(F.array().cast("array<struct<rank:int,ok:boolean>>").alias("above"), F.array().cast("array<struct<entry_id:bigint,level:bigint,ok:boolean>>").alias("out")).cast(kind)
+    walked = e.select(F.explode(F.aggregate("e", start, step, lambda acc: acc["out"])).alias("o")).select("o.*")
+    return walked.where("ok").select("entry_id", "level")
 
 
 @query(f"SELECT entry_id, last_value(CASE WHEN kind = 'chapter' THEN ident END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chapter_so_far FROM ({TITLES})")

@@ -100,7 +100,9 @@ def engine_attribution(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT date_trunc('day', ts)::DATE AS day, max(value) AS peak, round(median(value), 6) AS middle, max(value) FILTER (WHERE event_type = 'error') AS worst_error FROM events GROUP BY 1")
 def resource_peaks(s: SparkSession, d: str) -> DataFrame:
     """Peaks and medians by day; null where a counter never came."""
-    return events(s, d).groupBy(F.to_date("ts").alias("day")).agg(F.max("value").alias("peak"), F.round(F.median("value"), 6).alias("middle"), F.max(F.when(F.col("event_type") == "error", F.col("value"))).alias("worst_error"))
+    e = events(s, d).withColumn("day", F.to_date("ts"))
+    peaks = e.groupBy("day").agg(F.max("value").alias("peak"), F.max(F.when(F.col("event_type") == "error", F.col("value"))).alias("worst_error"))
+    return P.by_key("day", peaks, P.exact_median(e, "day", "value", "middle")).select("day", "peak", F.round("middle", 6).alias("middle"), "worst_error")
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

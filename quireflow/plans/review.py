@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quireflow.functions import similarity as S
 from quireflow.functions import text as T
+from quireflow.operators.profile import by_key, exact_median
 from quireflow.plans.extract import BLOCKS, flat
 from quireflow.sources.tables import spread, table
 
@@ -165,12 +166,15 @@ def block_differences(s: SparkSession, d: str) -> DataFrame:
     return j.where(text | label).select("doc_key", "page", "ord", text.alias("text_differs"), label.alias("label_differs"), (F.col("x").isNull() | F.col("y").isNull() | (bare("xc") != bare("yc"))).alias("substantive"))
 
 
-@query(f"""SELECT page_id, a.block_id AS block_id, b.block_id IS NOT NULL AND coalesce(contains(b.content, left(a.original, 12)), false) AS passed FROM (SELECT DISTINCT ON (page_id, block_id) page_id, block_id, original FROM decisions ORDER BY page_id, block_id, decision_id) a LEFT JOIN ({BLOCKS}) b USING (page_id, block_id)""")
+#: Without what Unicode calls white space.
+INKED = "regexp_replace({}, '[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\p{{Z}}]+', '', 'g')"
+
+
+@query(f"""SELECT page_id, a.block_id AS block_id, b.block_id IS NOT NULL AND coalesce({INKED.format("b.content")} = {INKED.format("a.original")}, false) AS passed FROM (SELECT DISTINCT ON (page_id, block_id) page_id, block_id, original FROM decisions ORDER BY page_id, block_id, decision_id) a LEFT JOIN ({BLOCKS}) b USING (page_id, block_id)""")
 def expected_text(s: SparkSession, d: str) -> DataFrame:
     """Whether each block's whole text is the one expected of it, white space aside; a missing block fails.
 
-    Decisions hold no box, so identity is by page and block. The SQL compares the first 12 characters
-    only; texts that differ after them fail here and pass there.
+    Decisions hold no box, so identity is by page and block.
     """
     e = table(s, d, "decisions").groupBy("page_id", "block_id").agg(F.min_by("original", "decision_id").alias("original"))
     b = flat(s, d, fields="block_id content").select("page_id", "block_id", "content", F.lit(True).alias("there"))
@@ -272,10 +276,13 @@ def char_multiset(s: SparkSession, d: str) -> DataFrame:
   SELECT decision_id, sum(greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0))::BIGINT AS missing, sum(greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0))::BIGINT AS extra FROM a FULL JOIN b USING (decision_id, c) GROUP BY decision_id""")
 def char_multiset_diff(s: SparkSession, d: str) -> DataFrame:
     """Characters the second reading lacks and has too many, with repeats."""
-    t = decisions(s, d)
-    a, b = chars(t, "decision_id", "original"), chars(t, "decision_id", "other").withColumnRenamed("n", "m")
-    n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
-    return a.join(b, ["decision_id", "c"], "full").groupBy("decision_id").agg(F.sum(F.greatest(n - m, F.lit(0))).alias("missing"), F.sum(F.greatest(m - n, F.lit(0))).alias("extra"))
+    # Both texts are in one row: each different character is counted in both by what its removal takes away.
+    t = decisions(s, d, "original IS NOT NULL OR other IS NOT NULL")
+    bare = lambda c: T.dense(F.translate(F.coalesce(c, F.lit("")), "〜", "～"))
+    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    over = lambda a, b: F.aggregate(F.array_distinct(F.split(F.col(a), "(?!^)(?=.)")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.greatest(times(F.col(a), c) - times(F.col(b), c), F.lit(0))))
+    t = t.select("decision_id", bare("original").alias("a"), bare("other").alias("b")).where("a <> '' OR b <> ''")
+    return t.select("decision_id", over("a", "b").cast("long").alias("missing"), over("b", "a").cast("long").alias("extra"))
 
 
 #: Warnings that make a result invalid.
@@ -322,7 +329,9 @@ def median_timings(s: SparkSession, d: str) -> DataFrame:
     """Exact median seconds, with and without a book's first run."""
     first = F.row_number().over(Window.partitionBy("doc_key").orderBy(F.asc_nulls_last("started_at"), "run_id")) == 1
     r = runs(s, d).withColumn("first", first)
-    return r.groupBy("status").agg(F.round(F.median("elapsed_seconds"), 6).alias("median_seconds"), F.round(F.median(F.when(~F.col("first"), F.col("elapsed_seconds"))), 6).alias("without_first"))
+    every = exact_median(r, "status", "elapsed_seconds", "median_seconds")
+    rest = exact_median(r.where("NOT first"), "status", "elapsed_seconds", "without_first")
+    return by_key("status", r.select("status").distinct(), every, rest).select("status", F.round("median_seconds", 6).alias("median_seconds"), F.round("without_first", 6).alias("without_first"))
 
 
 @query(f"SELECT run_id, sum(abs(length(original) - length(coalesce(other, ''))))::BIGINT AS length_difference, count(*) FILTER (WHERE original IS DISTINCT FROM other) AS changes FROM ({DECISIONS}) WHERE original IS NOT NULL GROUP BY run_id")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quireflow.operators import state as K
 from quireflow.operators.extract import norm_box
+from quireflow.operators.lineage import shared_folder
 from quireflow.plans.extract import BLOCKS, BOX, SCALE, flat
+from quireflow.sources import layouts as L
 from quireflow.sources.tables import table
 
 QUERIES: dict = {}
@@ -32,11 +36,20 @@ def runs(s: SparkSession, d: str) -> DataFrame:
 RUNS = "SELECT DISTINCT ON (run_id) * FROM run_reports"
 
 
-@query("SELECT doc_key || '/' || source || '.pdf' AS path FROM (SELECT DISTINCT doc_key, source FROM documents WHERE doc_key IS NOT NULL AND source IS NOT NULL AND source NOT IN ('reading_room', 'errata_slips')) ORDER BY path")
+@query("""SELECT DISTINCT doc_key || '/' || folder || source || suffix AS path FROM documents, (VALUES ('', '.pdf'), ('ocr_output/', '.pdf'), ('.ocr_cache/a/', '.pdf'), ('', '_searchable.pdf'), ('', '_report.json')) t(folder, suffix)
+  WHERE doc_key IS NOT NULL AND source IS NOT NULL AND folder = '' AND suffix = '.pdf' ORDER BY path""")
 def discover_inputs(s: SparkSession, d: str) -> DataFrame:
-    """Inputs in order, generated folders left out (here: two sources)."""
-    t = table(s, d, "documents").where("doc_key IS NOT NULL AND source IS NOT NULL AND source NOT IN ('reading_room', 'errata_slips')").select("doc_key", "source").distinct()
-    return t.select(F.concat("doc_key", F.lit("/"), "source", F.lit(".pdf")).alias("path")).orderBy("path")
+    """Inputs in order, of a listing that holds generated folders and files too (here made of documents and sources)."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(a).alias("folder"), F.lit(b).alias("suffix")) for a, b in (("", ".pdf"), ("ocr_output/", ".pdf"), (".ocr_cache/a/", ".pdf"), ("", "_searchable.pdf"), ("", "_report.json"))])).alias("k")
+    t = table(s, d, "documents").where("doc_key IS NOT NULL AND source IS NOT NULL").select("doc_key", "source").distinct().select("doc_key", "source", kinds)
+    listing = t.select(F.concat("doc_key", F.lit("/"), "k.folder", "source", "k.suffix").alias("path"))
+    return listing.where(L.is_input(F.col("path"), "pdf")).orderBy("path")
+
+
+@query()
+def discovered_files(s: SparkSession, d: str) -> DataFrame:
+    """The files of the dataset folder itself by the reader, with their lengths."""
+    return L.discover(s, d, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS bytes, true AS verified FROM documents WHERE text IS NOT NULL")
@@ -73,12 +86,14 @@ def artifact_export_plan(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "layout_pages").select("page_id").distinct().join(table(s, d, "decisions").select("page_id"), "page_id", "left_anti").select(F.col("page_id").cast("string").alias("name"))
 
 
-@query("SELECT ref, CASE WHEN contains(ref, '::') THEN split_part(ref, '::', 1) END AS db, CASE WHEN contains(ref, '::') THEN split_part(ref, '::', 2) ELSE ref END AS key FROM (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN doc_key || '::' || source ELSE source END AS ref FROM documents WHERE doc_key IS NOT NULL AND source IS NOT NULL)")
+@query("""WITH r AS (SELECT DISTINCT CASE doc_id % 3 WHEN 0 THEN doc_key || '::' || source WHEN 1 THEN doc_key || '/' || source || '/a.json' ELSE 'loose/' || source END AS ref FROM documents WHERE doc_key IS NOT NULL AND source IS NOT NULL), p AS (SELECT ref, CASE WHEN contains(ref, '::') THEN split_part(ref, '::', 1) ELSE split_part(ref, '/', 1) END AS db, CASE WHEN contains(ref, '::') THEN split_part(ref, '::', 2) ELSE substr(ref, instr(ref, '/') + 1) END AS key FROM r)
+  SELECT ref, CASE WHEN s.name IS NOT NULL THEN db END AS db, CASE WHEN s.name IS NOT NULL THEN key ELSE ref END AS key, CASE WHEN contains(ref, '::') THEN CASE WHEN s.name IS NULL THEN 'missing' ELSE 'store' END WHEN s.name IS NOT NULL THEN 'parent' ELSE 'path' END AS way FROM p LEFT JOIN (SELECT DISTINCT doc_key AS name FROM run_reports WHERE doc_key IS NOT NULL) s ON s.name = p.db""")
 def reference_resolution(s: SparkSession, d: str) -> DataFrame:
-    """References as a database and a key."""
-    t = table(s, d, "documents").where("doc_key IS NOT NULL AND source IS NOT NULL").select(F.when(F.col("doc_id") % 2 == 0, F.concat("doc_key", F.lit("::"), "source")).otherwise(F.col("source")).alias("ref")).distinct()
-    p = F.split("ref", "::", 2)
-    return t.select("ref", F.when(F.size(p) == 2, p[0]).alias("db"), F.when(F.size(p) == 2, p[1]).otherwise(F.col("ref")).alias("key"))
+    """References as store and key: named outright, found in the store of a folder above the path, or a path of its own."""
+    t = table(s, d, "documents").where("doc_key IS NOT NULL AND source IS NOT NULL")
+    kind = F.col("doc_id") % 3
+    ref = F.when(kind == 0, F.concat("doc_key", F.lit("::"), "source")).when(kind == 1, F.concat("doc_key", F.lit("/"), "source", F.lit("/a.json"))).otherwise(F.concat(F.lit("loose/"), "source"))
+    return K.resolve(t.select(ref.alias("ref")).distinct(), table(s, d, "run_reports").where("doc_key IS NOT NULL").select(F.col("doc_key").alias("name")).distinct())
 
 
 @query(f"SELECT run_id, '# ' || doc_key || chr(10) || 'status: ' || status || chr(10) || coalesce(nullif(array_to_string(list_transform(list_sort(warnings), lambda w: '- ' || w), chr(10)), ''), '- none') AS summary FROM ({RUNS}) WHERE doc_key IS NOT NULL AND status IS NOT NULL")
@@ -95,13 +110,23 @@ def artifact_names(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "run_reports").where("doc_key IS NOT NULL").select("doc_key").distinct().select("doc_key", sfx).withColumn("path", F.concat(F.lit(".ocr/"), "doc_key", "suffix"))
 
 
-@query("SELECT run_id, page_id FROM (SELECT DISTINCT run_id, page_id FROM layout_pages) WHERE run_id IN (SELECT run_id FROM run_reports WHERE len(warnings) > 0) OR page_id IN (SELECT page_id FROM decisions WHERE error IS NOT NULL)")
+FILES = ("_report.json", "_layout.json", ".md", "_line_ocr_review.json", "_old_layout_v1.json", "_notes.txt", "_layout_draft.txt", "_boundary_cache.json.pages/7.json", "_boundary_cache.json.pages/7.tmp", "_other.json")
+#: Files of one book's folder, and of the caches kept apart by source.
+LISTING = f"""SELECT doc_key, doc_key || sfx AS name FROM (SELECT DISTINCT doc_key FROM run_reports WHERE doc_key IS NOT NULL), (VALUES {", ".join(f"('{x}')" for x in FILES)}) t(sfx)
+  UNION ALL SELECT doc_key, '.ocr_cache/' || left(sha256(source_sha256), 20) || '/' || f AS name FROM (SELECT DISTINCT doc_key, source_sha256 FROM layout_pages WHERE doc_key IS NOT NULL), (VALUES ('pruned.json'), ('meta.json'), ('page.png')) t(f)"""
+
+
+@query(f"""WITH l AS ({LISTING}), r AS (SELECT DISTINCT doc_key, left(sha256(source_sha256), 20) AS fp FROM run_reports WHERE status LIKE 'completed%' AND doc_key IS NOT NULL)
+  SELECT l.doc_key, l.name FROM l WHERE name IN (doc_key || '_report.json', doc_key || '_layout.json', doc_key || '.md', doc_key || '_layout_review.json', doc_key || '_line_ocr_review.json') OR (starts_with(name, doc_key || '_') AND contains(name, '_layout_') AND regexp_matches(name, '[.](json|md)$')) OR (starts_with(name, doc_key || '_boundary_cache.json.pages/') AND name LIKE '%.json')
+    OR EXISTS (SELECT 1 FROM r WHERE r.doc_key = l.doc_key AND name IN ('.ocr_cache/' || fp || '/pruned.json', '.ocr_cache/' || fp || '/text.md', '.ocr_cache/' || fp || '/meta.json', '.ocr_cache/' || fp || '/partial.json'))""")
 def compaction_choice(s: SparkSession, d: str) -> DataFrame:
-    """Rows to pack: of runs with warnings, or pages with errors."""
-    p = table(s, d, "layout_pages").select("run_id", "page_id").distinct()
-    a = p.join(table(s, d, "run_reports").where("size(warnings) > 0").select("run_id"), "run_id", "left_semi")
-    b = p.join(table(s, d, "decisions").where("error IS NOT NULL").select("page_id"), "page_id", "left_semi")
-    return a.unionByName(b).distinct()
+    """Files of a book's folder to pack: its artifacts by name, layouts, boundary shards, and caches its finished reports name."""
+    books = table(s, d, "run_reports").where("doc_key IS NOT NULL").select("doc_key").distinct()
+    own = books.select("doc_key", F.explode(F.array(*map(F.lit, FILES))).alias("sfx")).select("doc_key", F.concat("doc_key", "sfx").alias("name"))
+    fp = F.left(F.sha2("source_sha256", 256), F.lit(20))
+    apart = table(s, d, "layout_pages").where("doc_key IS NOT NULL").select("doc_key", fp.alias("fp")).distinct().select("doc_key", "fp", F.explode(F.array(*map(F.lit, ("pruned.json", "meta.json", "page.png")))).alias("f")).select("doc_key", F.concat(F.lit(".ocr_cache/"), "fp", F.lit("/"), "f").alias("name"))
+    reports = table(s, d, "run_reports").where("status LIKE 'completed%' AND doc_key IS NOT NULL").select("doc_key", fp.alias("fingerprint")).distinct()
+    return K.compaction(own.unionByName(apart), reports, "doc_key")
 
 
 @query("SELECT doc_key, count(DISTINCT source_sha256) AS versions, count(DISTINCT source_sha256) > 1 AS conflict FROM run_reports GROUP BY doc_key")
@@ -169,11 +194,16 @@ def private_paths(s: SparkSession, d: str) -> DataFrame:
 SECRET = "(?i)(api[_-]?key|secret|password|token)[ ]*[:=][ ]*[^ ]{8,}|[0-9a-f]{40}"
 
 
-@query(f"SELECT doc_id, length(text) > 100000 AS large, regexp_matches(text, '{SECRET}') AS credential FROM documents WHERE length(text) > 100000 OR regexp_matches(text, '{SECRET}')")
+PRIVATE = "(^|/)(\\.env[^/]*|private|\\.cache)(/|$)|\\.(pem|key|sqlite)$"
+
+
+@query(f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(coalesce(source, '') || CASE WHEN doc_id % 50 = 0 THEN '/.env' ELSE '/page.md' END, '{PRIVATE}') THEN 'private path' END, CASE WHEN octet_length(encode(text)) > 5242880 THEN 'over 5 MiB' END, CASE WHEN regexp_matches(text, '{SECRET}') THEN 'credential' END], lambda x: x IS NOT NULL), ', ') AS issues
+  FROM documents WHERE regexp_matches(coalesce(source, '') || CASE WHEN doc_id % 50 = 0 THEN '/.env' ELSE '/page.md' END, '{PRIVATE}') OR octet_length(encode(text)) > 5242880 OR regexp_matches(text, '{SECRET}')""")
 def blob_issues(s: SparkSession, d: str) -> DataFrame:
-    """P10: texts too large or with the form of a credential; its value is never shown."""
-    large, secret = F.length("text") > 100000, F.col("text").rlike(SECRET)
-    return table(s, d, "documents").where(large | secret).select("doc_id", large.alias("large"), secret.alias("credential"))
+    """P10: what forbids publishing a text: its path, its size over 5 MiB, the form of a credential, whose value is never shown."""
+    path = F.concat(F.coalesce("source", F.lit("")), F.when(F.col("doc_id") % 50 == 0, "/.env").otherwise("/page.md"))
+    issues = F.filter(F.array(F.when(path.rlike(PRIVATE), "private path"), F.when(F.octet_length("text") > 5 * 1024 * 1024, "over 5 MiB"), F.when(F.col("text").rlike(SECRET), "credential")), lambda x: x.isNotNull())
+    return table(s, d, "documents").select("doc_id", F.array_join(issues, ", ").alias("issues")).where("issues <> ''")
 
 
 LINK = "\\]\\(([^()\\s]+)\\)"
@@ -210,17 +240,41 @@ def cache_hits(s: SparkSession, d: str) -> DataFrame:
     return r.join(c, ["page_id", "block_id"], "left").groupBy("doc_key").agg(F.count("held").alias("hits"), F.count_if(F.col("held").isNull()).alias("misses"))
 
 
-@query("SELECT d.decision_id FROM (SELECT DISTINCT decision_id, run_id FROM decisions) d WHERE run_id IN (SELECT run_id FROM run_reports WHERE status LIKE 'completed%')")
+@query("""WITH done AS (SELECT DISTINCT run_id FROM run_reports WHERE status LIKE 'completed%'), cur AS (SELECT DISTINCT decision_id, run_id FROM decisions WHERE accepted AND run_id IS NOT NULL), pend AS (SELECT DISTINCT decision_id, run_id FROM decisions WHERE accepted IS DISTINCT FROM true AND run_id IS NOT NULL), taken AS (SELECT * FROM pend WHERE run_id IN (FROM done))
+  SELECT decision_id, 'current' AS origin FROM cur WHERE run_id NOT IN (SELECT run_id FROM taken) UNION ALL SELECT decision_id, 'pending' FROM taken""")
 def staged_decisions(s: SparkSession, d: str) -> DataFrame:
-    """Pending decisions that take effect, as their run was published."""
+    """Pending decisions replace those of their run once it is published; the pending ones of other runs wait (here:
+    accepted decisions are current, the others pending)."""
+    t = table(s, d, "decisions").where("run_id IS NOT NULL").select("decision_id", "run_id", F.coalesce("accepted", F.lit(False)).alias("now")).distinct()
+    rows = lambda now, name: t.where(F.col("now") == now).select("decision_id", "run_id", F.lit(name).alias("origin"))
     done = table(s, d, "run_reports").where("status LIKE 'completed%'").select("run_id")
-    return table(s, d, "decisions").select("decision_id", "run_id").distinct().join(done, "run_id", "left_semi").select("decision_id")
+    return K.staged(rows(True, "current"), rows(False, "pending"), done, "decision_id", "run_id").select("decision_id", "origin")
 
 
-@query("SELECT DISTINCT l.page_id FROM layout_pages l JOIN run_reports r ON l.run_id = r.run_id AND l.source_sha256 = r.source_sha256")
+@query("""WITH shard AS (SELECT DISTINCT l.run_id, l.page FROM layout_pages l JOIN run_reports r ON l.run_id = r.run_id AND l.source_sha256 = r.source_sha256), want AS (SELECT run_id, max(pages) AS pages FROM run_reports GROUP BY run_id)
+  SELECT run_id, pages, count(page) AS shards, count(page) >= pages AS whole, CASE WHEN count(page) >= pages THEN coalesce(sum(page), 0)::BIGINT END AS aggregate FROM want LEFT JOIN shard USING (run_id) GROUP BY run_id, pages""")
 def boundary_shards(s: SparkSession, d: str) -> DataFrame:
-    """Pages whose checkpoint belongs to the same source."""
-    return table(s, d, "layout_pages").select("page_id", "run_id", "source_sha256").join(table(s, d, "run_reports").select("run_id", "source_sha256"), ["run_id", "source_sha256"], "left_semi").select("page_id").distinct()
+    """Shards of a run's checkpoint, one a page, that belong to its source; their aggregate is made once all are there."""
+    r = table(s, d, "run_reports").select("run_id", "source_sha256", "pages")
+    shard = table(s, d, "layout_pages").select("run_id", "page", "source_sha256").join(r.select("run_id", "source_sha256"), ["run_id", "source_sha256"], "left_semi").select("run_id", "page").distinct()
+    g = r.groupBy("run_id").agg(F.max("pages").alias("pages")).join(shard.groupBy("run_id").agg(F.count("page").alias("n"), F.sum("page").alias("sum")), "run_id", "left")
+    n = F.coalesce("n", F.lit(0))
+    return g.select("run_id", "pages", n.alias("shards"), (n >= F.col("pages")).alias("whole"), F.when(n >= F.col("pages"), F.coalesce("sum", F.lit(0))).alias("aggregate"))
+
+
+@query("SELECT run_id, max_by(status, (loaded_at, status)) AS status, count(DISTINCT loaded_at) AS deliveries FROM run_reports WHERE run_id IS NOT NULL GROUP BY run_id")
+def published_version(s: SparkSession, d: str) -> DataFrame:
+    """A table published twice and once in vain: the last version whose check passed is read, the failed candidate is not."""
+    r = table(s, d, "run_reports").where("run_id IS NOT NULL")
+    good = r.groupBy("run_id").agg(F.max_by("status", F.struct("loaded_at", "status")).alias("status"), F.countDistinct("loaded_at").alias("deliveries"))
+    path = f"{shared_folder(s)}/published-{uuid.uuid4().hex}"
+    K.publish(good.where("run_id % 2 = 0"), path, "v1")
+    K.publish(good, path, "v2", lambda t: K.same_content(t, good, "run_id", "status"))
+    try:
+        K.publish(good.limit(0), path, "v3", lambda t: K.same_content(t, good, "run_id", "status") and not good.isEmpty())
+    except ValueError:
+        pass
+    return K.read_current(s, path)
 
 
 @query("WITH l AS (SELECT doc_key, max(run_id) AS layout_run FROM layout_pages GROUP BY doc_key), e AS (SELECT doc_key, max(run_id) AS entry_run FROM entries GROUP BY doc_key), r AS (SELECT doc_key, max(run_id) FILTER (WHERE status = 'completed') AS run FROM run_reports GROUP BY doc_key) SELECT doc_key, coalesce(run, layout_run, entry_run) AS used FROM r FULL JOIN l USING (doc_key) FULL JOIN e USING (doc_key)")
@@ -232,13 +286,24 @@ def layout_used(s: SparkSession, d: str) -> DataFrame:
     return r.join(l, "doc_key", "full").join(e, "doc_key", "full").select("doc_key", F.coalesce("run", "layout_run", "entry_run").alias("used"))
 
 
-@query("WITH r AS (SELECT request_id, run_id, lower(trim(coalesce(lang, ''))) AS lang, len(images) AS n FROM (SELECT DISTINCT ON (request_id) * FROM recognition_requests)), o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY run_id, lang ORDER BY request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r) SELECT run_id, lang, (before // 64)::BIGINT AS batch, count(*) AS requests, sum(n)::BIGINT AS images FROM o GROUP BY ALL")
+@query("""WITH RECURSIVE r AS (SELECT request_id, run_id, lower(trim(coalesce(lang, ''))) AS lang, coalesce(len(images), 0) AS n FROM (SELECT DISTINCT ON (request_id) * FROM recognition_requests)), o AS (SELECT *, row_number() OVER (PARTITION BY run_id, lang ORDER BY request_id) AS i FROM r),
+  w AS (SELECT run_id, lang, i, n, 0 AS batch, n AS fill FROM o WHERE i = 1 UNION ALL SELECT o.run_id, o.lang, o.i, o.n, CASE WHEN w.fill + o.n > 64 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.fill + o.n > 64 THEN o.n ELSE w.fill + o.n END FROM w JOIN o ON o.run_id IS NOT DISTINCT FROM w.run_id AND o.lang = w.lang AND o.i = w.i + 1)
+  SELECT run_id, lang, batch::BIGINT AS batch, batch::BIGINT // 2 AS wave, count(*) AS requests, sum(n)::BIGINT AS images FROM w GROUP BY ALL""")
 def language_batches(s: SparkSession, d: str) -> DataFrame:
-    """Requests of a language in batches of about 64 images, within a run."""
-    r = table(s, d, "recognition_requests").dropDuplicates(["request_id"]).select("request_id", "run_id", F.lower(F.trim(F.coalesce("lang", F.lit("")))).alias("lang"), F.size("images").alias("n"))
-    w = Window.partitionBy("run_id", "lang").orderBy("request_id").rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("batch", F.floor(F.coalesce(F.sum("n").over(w), F.lit(0)) / 64))
-    return r.groupBy("run_id", "lang", "batch").agg(F.count("*").alias("requests"), F.sum("n").alias("images"))
+    """Requests of a language within a run in batches of at most 64 images (one request alone may have more), two
+    batches in flight at a time. A run is one scanned book; its requests of a language are walked in order."""
+    r = table(s, d, "recognition_requests").select("request_id", "run_id", F.lower(F.trim(F.coalesce("lang", F.lit("")))).alias("lang"), F.greatest(F.size(F.coalesce("images", F.array().cast("array<string>"))), F.lit(0)).alias("n")).dropDuplicates(["request_id"])
+    g = r.groupBy("run_id", "lang").agg(F.array_sort(F.collect_list(F.struct("request_id", "n"))).alias("q"))
+    kind = "struct<batch:bigint,fill:int,out:array<struct<batch:bigint,n:int>>>"
+
+    def step(acc, x):
+        full = (acc["fill"] + x["n"] > 64) & (F.size(acc["out"]) > 0)
+        batch = acc["batch"] + full.cast("long")
+        return F.struct(batch.alias("batch"), F.when(full, x["n"]).otherwise(acc["fill"] + x["n"]).alias("fill"), F.concat(acc["out"], F.array(F.struct(batch.alias("batch"), x["n"].alias("n")))).alias("out")).cast(kind)
+
+    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).alias("fill"), F.array().cast("array<struct<batch:bigint,n:int>>").alias("out")).cast(kind)
+    walked = g.select("run_id", "lang", F.explode(F.aggregate("q", start, step, lambda acc: acc["out"])).alias("o"))
+    return walked.groupBy("run_id", "lang", F.col("o.batch").alias("batch")).agg(F.count("*").alias("requests"), F.sum("o.n").alias("images")).withColumn("wave", F.expr("batch div 2"))
 
 
 @query(f"SELECT run_id, greatest(1, least(8, pages, 16384 // (128 + 64 * (pages // 10)))) AS workers FROM ({RUNS}) WHERE pages IS NOT NULL")
@@ -263,7 +328,20 @@ def doctor_report(s: SparkSession, d: str) -> DataFrame:
 
 @query("WITH t AS (SELECT doc_id, source, ntile(10) OVER (PARTITION BY source ORDER BY doc_id) AS stratum, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents WHERE source IS NOT NULL) SELECT doc_id, source, stratum::INT AS stratum FROM (SELECT *, row_number() OVER (PARTITION BY source, stratum ORDER BY h) AS n FROM t) WHERE n = 1")
 def stratified_sample(s: SparkSession, d: str) -> DataFrame:
-    """Sampling operator: one document of each tenth of each source, by a seeded order."""
-    t = table(s, d, "documents").where("source IS NOT NULL").select("doc_id", "source").withColumn("stratum", F.ntile(10).over(Window.partitionBy("source").orderBy("doc_id")))
-    n = F.row_number().over(Window.partitionBy("source", "stratum").orderBy(F.md5(F.col("doc_id").cast("string"))))
-    return t.withColumn("n", n).where("n = 1").drop("n")
+    """Sampling operator: one document of each tenth of each source, by a seeded order.
+
+    A document's place in its source is the count of those in earlier buckets of ids and its place in its bucket, so a
+    source of any size is spread over as many tasks as it has buckets.
+    """
+    t = table(s, d, "documents").where("source IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "source")
+    t = t.withColumn("bucket", F.floor(F.col("doc_id") / 20_000))
+    counts = t.groupBy("source", "bucket").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("source")
+    counts = counts.select("source", "bucket", F.coalesce(F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(w).alias("all"))
+    i = F.col("before") + F.row_number().over(Window.partitionBy("source", "bucket").orderBy("doc_id")) - 1
+    t = t.join(counts, ["source", "bucket"]).withColumn("i", i).withColumn("size", F.expr("all div 10")).withColumn("more", F.col("all") % 10)
+    # The first `more` tenths have one document more than the others.
+    long = F.col("more") * (F.col("size") + 1)
+    tenth = F.when(F.col("i") < long, F.expr("i div (size + 1)") + 1).otherwise(F.col("more") + F.expr("(i - more * (size + 1)) div greatest(size, 1)") + 1)
+    picked = F.min_by("doc_id", F.struct(F.md5(F.col("doc_id").cast("string")), "doc_id"))
+    return t.withColumn("stratum", tenth.cast("int")).groupBy("source", "stratum").agg(picked.alias("doc_id")).select("doc_id", "source", "stratum")

@@ -32,7 +32,21 @@ def read_samples(spark: SparkSession, path: str, schema: str, stream: bool = Fal
     return (spark.readStream if stream else spark.read).schema(schema).json(path)
 
 
+#: Folders that hold generated files, and endings of generated names.
+GENERATED_FOLDERS, GENERATED_ENDINGS = ("ocr_output", ".ocr_cache", ".ocr"), ("searchable", "ocr")
+
+
+def is_input(path: Column, suffix: str) -> Column:
+    """Whether a path names an input of that suffix: not in a generated folder, not of a generated name."""
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
+    stem = F.regexp_replace(name, "\\.[A-Za-z]+$", "")
+    inside = F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, GENERATED_FOLDERS)))
+    made = F.element_at(F.split(stem, "_"), -1).isin(*GENERATED_ENDINGS) & F.contains(stem, F.lit("_"))
+    return F.endswith(F.lower(name), F.lit(f".{suffix}")) & ~inside & ~made
+
+
 def discover(spark: SparkSession, folder: str, pattern: str = "*.pdf", recursive: bool = True) -> DataFrame:
-    """(path, length) of input files in order; generated folders and files are left out."""
+    """(path, length) of input files in order; generated folders and files are left out. Contents are not read."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path", "length")
-    return f.where(~F.col("path").rlike("/(ocr_output|\\.ocr_cache|\\.ocr)/") & ~F.col("path").rlike("_(searchable|ocr)\\.[a-z]+$")).orderBy("path")
+    return f.where(is_input(F.col("path"), pattern.rpartition(".")[2])).orderBy("path")
