@@ -192,6 +192,19 @@ def block_snapshots(s: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", F.size("parsing_res_list").cast("long").alias("n_blocks"), F.sha2(F.array_join(one, "\n"), 256).alias("snapshot")).dropDuplicates(["page_id"])
 
 
+@query(f"""SELECT page_id, CASE WHEN page_id % 7 = 0 AND width > 0 AND height > 0 THEN 1 ELSE len(parsing_res_list) END AS n_blocks, CASE WHEN page_id % 7 = 0 AND width > 0 AND height > 0 THEN 'Page ' || page_id ELSE parsing_res_list[1].block_content END AS first_text,
+  CASE WHEN page_id % 7 = 0 AND width > 0 AND height > 0 THEN 'reviewed_line' ELSE parsing_res_list[1].block_label END AS first_label FROM ({PAGES}) WHERE parsing_res_list IS NOT NULL""")
+def reviewed_layouts(s: SparkSession, d: str) -> DataFrame:
+    """Pages with the lines of their reviews in place of their blocks (here every seventh page that has a size was
+    reviewed as one line)."""
+    one = F.transform("parsing_res_list", lambda b: F.struct(b["block_content"].alias("block_content"), b["block_bbox"].alias("block_bbox"), b["block_label"].alias("block_label")))
+    p = table(s, d, "layout_pages").where("page_id IS NOT NULL AND parsing_res_list IS NOT NULL").select(F.col("page_id").cast("string").alias("source_sha256"), "page_id", "page", "width", "height", one.alias("blocks")).dropDuplicates(["page_id"])
+    box = F.array(F.lit(0.0), F.lit(0.0), F.col("width") / 2, F.col("height") / 2)
+    reviews = p.where("page_id % 7 = 0 AND width > 0 AND height > 0").select("source_sha256", "page", F.lit("cut off").alias("reason"), F.col("blocks").alias("original"), F.array(F.struct(F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("text"), box.alias("bbox"))).alias("lines"))
+    r = X.review_layouts(p, reviews)
+    return r.select("page_id", F.size("blocks").cast("long").alias("n_blocks"), F.get("blocks", F.lit(0))["block_content"].alias("first_text"), F.get("blocks", F.lit(0))["block_label"].alias("first_label"))
+
+
 @query("SELECT DISTINCT ON (decision_id) decision_id, CASE WHEN len(selected) > 0 AND accepted THEN array_to_string(before, chr(10)) ELSE original END AS upstream FROM decisions")
 def undo_repair(s: SparkSession, d: str) -> DataFrame:
     """The text before an accepted change, else the original."""

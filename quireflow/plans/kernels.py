@@ -1,4 +1,4 @@
-"""Queries: geometry, raster kernels and text layout. Rasters are arrays of the embeddings table here, 8 by 8."""
+"""Queries: geometry, raster kernels and text layout. Rasters are the whole arrays of the embeddings table here, 8 by 8."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 from quireflow.functions import layout as L
 from quireflow.functions import raster as R
 from quireflow.functions import tables as B
+from quireflow.functions.fonts import repaired_map
+from quireflow.operators.extract import norm_box
 from quireflow.plans.extract import flat
 from quireflow.sources.tables import table
 
@@ -104,6 +106,49 @@ def ink_coverage(s: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.col("n")[0].cast("long").alias("ink"), F.col("n")[1].cast("long").alias("outside"))
 
 
+@query("""WITH p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, v > 0 AS k FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS v FROM embeddings) WHERE i < 64),
+  e AS (SELECT a.vec_id, a.x, a.y, bool_or(a.k <> b.k) AS ink FROM p a JOIN p b ON a.vec_id = b.vec_id AND ((b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)) GROUP BY ALL), n AS (SELECT vec_id, count(*) FILTER (WHERE ink) AS ink, count(*) FILTER (WHERE ink AND (x > 4 OR y > 4)) AS outside FROM e GROUP BY vec_id)
+  SELECT vec_id, ink, round(outside / ink, 3) AS fraction FROM n WHERE ink > 20 AND round(outside / ink, 3) > 0.12 ORDER BY fraction DESC, ink DESC, vec_id LIMIT 40""")
+def coverage_audit(s: SparkSession, d: str) -> DataFrame:
+    """The forty pages with the largest share of ink outside their blocks, of those with enough ink (over 20 pixels
+    of a raster of this size) and a share over 0.12."""
+    n = ink_coverage(s, d).withColumn("fraction", F.round(F.col("outside") / F.col("ink"), 3))
+    return n.where("ink > 20 AND fraction > 0.12").orderBy(F.desc("fraction"), F.desc("ink"), "vec_id").limit(40).select("vec_id", "ink", "fraction")
+
+
+@query()
+def table_cell_boxes(s: SparkSession, d: str) -> DataFrame:
+    """Cells of regular tables laid over the boxes of their printed lines (here an even grid over the block)."""
+    cell = StructType([StructField("place", IntegerType()), StructField("box", ArrayType(DoubleType())), StructField("text", StringType())])
+
+    @F.pandas_udf(ArrayType(cell))
+    def laid(t: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        def one(text, a, b, c, e):
+            rows, _ = B.parse_table(text)
+            wide = max((sum(n for _, n in r) for r in rows), default=0)
+            if not wide:
+                return []
+            w, h = (c - a) / wide, (e - b) / len(rows)
+            lines = [(a + j * w + 0.05 * w, b + i * h, a + (j + 1) * w - 0.05 * w, b + (i + 1) * h) for i in range(len(rows)) for j in range(wide)]
+            return [{"place": k, "box": [float(v) for v in box], "text": u} for k, (box, u) in enumerate(B.layout_table(text, (a, b, c, e), lines) or [])]
+
+        return pd.Series([one(*r) for r in zip(t, x0, y0, x1, y1)], dtype=object)
+
+    b = flat(s, d, F.contains(F.lower("content"), F.lit("<table")), "block_id content bbox").withColumn("box", norm_box(F.col("bbox"))).where("box IS NOT NULL")
+    return b.select("page_id", "block_id", F.explode(laid("content", "box.x0", "box.y0", "box.x1", "box.y1")).alias("c")).select("page_id", "block_id", "c.*")
+
+
+@query("""WITH e AS (SELECT DISTINCT entry_id, 128512 + entry_id % 200 AS cp FROM entries), u AS (SELECT *, list_transform([0, 1, 2], lambda k: '<' || format('{:04x}{:04x}', 55296 + ((cp + k - 65536) // 1024), 56320 + ((cp + k - 65536) % 1024)) || '>') AS t FROM e)
+  SELECT entry_id, array_to_string(['1 beginbfchar', '<0041> ' || t[1], 'endbfchar', '1 beginbfrange', '<0010> <0012> [' || t[1] || ' ' || t[2] || ' ' || t[3] || ']', 'endbfrange', '1 begincodespacerange', '<0000> <FFFF> <12345>', 'endcodespacerange'], chr(10)) AS map FROM u""")
+def font_maps(s: SparkSession, d: str) -> DataFrame:
+    """Character maps with destinations beyond the basic plane as UTF-16 (here a map made for each entry)."""
+    cp = F.lower(F.hex(F.lit(128512) + F.col("entry_id") % 200))
+    lines = ["1 beginbfchar", F.concat(F.lit("<0041> <"), cp, F.lit(">")), "endbfchar", "1 beginbfrange", F.concat(F.lit("<0010> <0012> <"), cp, F.lit(">")), "endbfrange", "1 begincodespacerange", "<0000> <FFFF> <12345>", "endcodespacerange"]
+    e = table(s, d, "entries").select("entry_id").distinct().where("entry_id IS NOT NULL")
+    data = F.encode(F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines]), "UTF-8")
+    return e.select("entry_id", F.decode(repaired_map(data), "UTF-8").alias("map"))
+
+
 @query("SELECT decision_id, i, round(greatest(r[1] - 1, 0), 3) AS x0, round(greatest(r[2] - 0.7, 0), 3) AS y0, round(r[3] + 1, 3) AS x1, round(r[4] + 0.7, 3) AS y1 FROM (SELECT decision_id, generate_subscripts(rects, 1) - 1 AS i, unnest(rects) AS r FROM (SELECT DISTINCT ON (decision_id) decision_id, rects FROM decisions))")
 def crop_rects(s: SparkSession, d: str) -> DataFrame:
     """lines' boxes with their margin, cut to the page."""

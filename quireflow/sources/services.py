@@ -8,7 +8,9 @@ lines after 429 and 503 only; three attempts, 2, 4 and 8 seconds apart.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor, wait
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame
 #: Answers that are asked for again, attempts, payloads of one request.
 RETRY = {"document": frozenset((429, 500, 502, 503, 504)), "line": frozenset((429, 503))}
 ATTEMPTS, MOST_PAYLOADS = 3, 256
+#: Requests in flight at a time, and bytes they may take; a payload takes about four times its own size on its way.
+IN_FLIGHT, BUDGET, TRANSPORT = 2, 256 * 1024 * 1024, 4
 Client = Callable[[list], tuple[int, list]]
 
 
@@ -38,6 +42,41 @@ def call(client: Client, payloads: list, kind: str, attempts: int = ATTEMPTS, sl
     raise RuntimeError("no attempts were allowed")
 
 
+class Permanent(RuntimeError):
+    """An answer that asking again would not change."""
+
+
+def in_order(payloads: Iterable[bytes], ask: Callable[[bytes], object], in_flight: int = IN_FLIGHT, budget: int = BUDGET) -> Iterator[object]:
+    """Answers in the order of the payloads, a bounded number of them asked for ahead.
+
+    A payload waits until it fits the budget beside those under way; one that is larger than the budget goes alone. After a
+    failure the requests under way are let finish, the failed one is asked for once more, and from then on one at a time;
+    a `Permanent` failure is raised at its turn.
+    """
+    ahead: deque[tuple[bytes, Future]] = deque()
+    slots = in_flight
+
+    def settle() -> object:
+        nonlocal slots
+        payload, answer = ahead.popleft()
+        error = answer.exception()
+        if error is None:
+            return answer.result()
+        if isinstance(error, Permanent):
+            raise error
+        slots = 1
+        wait([f for _, f in ahead])
+        return ask(payload)
+
+    with ThreadPoolExecutor(in_flight) as pool:
+        for payload in payloads:
+            while ahead and (len(ahead) >= slots or TRANSPORT * (len(payload) + sum(len(p) for p, _ in ahead)) > budget):
+                yield settle()
+            ahead.append((payload, pool.submit(ask, payload)))
+        while ahead:
+            yield settle()
+
+
 def recognise(requests: DataFrame, payload: str, key: str, client: Client, kind: str = "line", size: int = MOST_PAYLOADS) -> DataFrame:
     """(key, answer) of each request, in batches of up to `size` within a partition; equal keys are asked for once."""
     source = requests.select(key, payload).dropDuplicates([key])

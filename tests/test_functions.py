@@ -147,12 +147,22 @@ def test_boxes(spark):
 
 
 def test_reviews_fail_loudly(spark):
-    pages = spark.createDataFrame([("s", 1, ["a"]), ("s", 2, ["b"])], "source_sha256 string, page int, blocks array<string>")
-    good = spark.createDataFrame([("s", 2, ["b"], ["B"])], "source_sha256 string, page int, original array<string>, blocks array<string>")
-    assert sorted((r.page, r.blocks) for r in X.review_layouts(pages, good).collect()) == [(1, ["a"]), (2, ["B"])]
-    bad = spark.createDataFrame([("s", 2, ["x"], ["B"])], good.schema)
-    with pytest.raises(Exception, match="review of other blocks"):
-        X.review_layouts(pages, bad).collect()
+    block = "array<struct<block_content:string,block_bbox:array<double>,block_label:string>>"
+    pages = spark.createDataFrame([("s", 1, 10.0, 20.0, [("a", [0.0, 0.0, 1.0, 1.0], "text")]), ("s", 2, 10.0, 20.0, [("b", None, "text")]), ("t", 2, 10.0, 20.0, None)], f"source_sha256 string, page int, width double, height double, blocks {block}")
+    kind = f"source_sha256 string, page int, reason string, original {block}, lines array<struct<text:string,bbox:array<double>>>"
+    right = ("s", 2, "cut off", [("b", None, "text")], [("B", [0.0, 0.0, 10.0, 20.0])])
+    got = {(r.source_sha256, r.page): r.blocks and [tuple(b) for b in r.blocks] for r in X.review_layouts(pages, spark.createDataFrame([right], kind)).collect()}
+    assert got == {("s", 1): [("a", [0.0, 0.0, 1.0, 1.0], "text")], ("s", 2): [("B", [0.0, 0.0, 10.0, 20.0], "reviewed_line")], ("t", 2): None}
+    wrong = {
+        "review of other blocks": [right[:3] + ([("x", None, "text")],) + right[4:]], "page reviewed twice": [right, right], "review without a reason": [right[:2] + (" ",) + right[3:]], "review without lines": [right[:4] + ([],)],
+        "line that is not in the page": [right[:4] + ([("B", [0.0, 0.0, 11.0, 20.0])],)],
+    }
+    for why, rows in wrong.items():
+        with pytest.raises(Exception, match=why):
+            X.review_layouts(pages, spark.createDataFrame(rows, kind)).collect()
+    for line in (("", [0.0, 0.0, 1.0, 1.0]), ("a\nb", [0.0, 0.0, 1.0, 1.0]), ("a", [1.0, 0.0, 1.0, 1.0]), ("a", [0.0, 0.0, float("nan"), 1.0]), ("a", None)):
+        with pytest.raises(Exception, match="line that is not in the page"):
+            X.review_layouts(pages, spark.createDataFrame([right[:4] + ([line],)], kind)).collect()
 
 
 def test_character_maps():
@@ -163,3 +173,43 @@ def test_character_maps():
     assert utf16_map(data) == want and utf16_map(want) == want and utf16_map(b"") == b""
     with pytest.raises(ValueError):
         utf16_map(b"1 beginbfchar\n<0003> <ffffff>\nendbfchar")
+
+
+def test_numbering_rules_agree(spark):
+    """The rules over columns and over strings give the same, and the word forms mean what they should."""
+    cases = {"Appendix A Title": ("chapter", "A"), "appendix b": ("plain", None), "부록 C 제목": ("chapter", "C"), "Chapter 03 x": ("chapter", "3"), "Kapitel 4 Der": ("chapter", "4"), "Abcdefgh 4 x": ("plain", None), "제 12 장 끝": ("chapter", "12"), "3장": ("chapter", "3"), "Lab 3.1.4 x": ("lab", "3.1.4"), "lab 3": ("plain", None), "A.1.2 Bar": ("section", "A.1.2"), "a.1 bar": ("plain", None), "1.2": ("section", "1.2"), "Chapter 3": ("plain", None), "": ("plain", None)}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r.t: (r.i.kind, r.i.ident) for r in df.select("t", T.identity(F.col("t")).alias("i")).collect()}
+    assert got == cases == {t: T.numbering(t) for t in cases}
+
+
+def test_agreement_by_brute_force():
+    """The ratio against a plain search for the longest common blocks, on short random texts."""
+    import random
+
+    from quireflow.functions import similarity as S
+
+    def matched(a, b):
+        best = max(((i, j, k) for i in range(len(a)) for j in range(len(b)) for k in [next((n for n in range(min(len(a) - i, len(b) - j)) if a[i + n] != b[j + n]), min(len(a) - i, len(b) - j))]), key=lambda x: (x[2], -x[0], -x[1]), default=(0, 0, 0))
+        i, j, k = best
+        return k + matched(a[:i], b[:j]) + matched(a[i + k :], b[j + k :]) if k else 0
+
+    r = random.Random(2)
+    for _ in range(200):
+        a, b = ("".join(r.choices("abcd", k=r.randint(0, 9))) for _ in "ab")
+        want = 2 * matched(a, b) / (len(a) + len(b)) if a or b else 1.0
+        assert abs(S.ratio(a, b) - want) < 1e-12
+        for threshold in (0.3, 0.7, 0.94):
+            assert S.is_below(a, b, threshold) == (want < threshold)
+
+
+def test_agreement_audit_by_hand(spark, tmp_path):
+    """Bands, weighted means and worst pages by the true ratio."""
+    from quireflow.plans import review as R
+
+    rows = [(1, 7, 1, "abcd", ["abcd"]), (2, 7, 2, "abcdefghij", ["abcdefghix"]), (3, 7, 3, "wxyz", ["abcd"]), (4, 8, 1, "abc", []), (5, 8, 2, "", ["x"]), (1, 7, 1, "abcd", ["abcd"]), (6, 8, 3, "hello", None)]
+    spark.createDataFrame(rows, "decision_id long, run_id long, page int, original string, candidate array<string>").write.parquet(f"{tmp_path}/decisions.parquet")
+    bands = {r.band: (r.blocks, r.weighted) for r in R.agreement_exact(spark, str(tmp_path)).collect()}
+    assert bands == {"0.99+": (1, 1.0), "0.90+": (1, 0.9), "under 0.90": (1, 0.0), "no recognizer output": (2, 0.0)}
+    assert [(r.run_id, r.weighted) for r in R.weighted_agreement_exact(spark, str(tmp_path)).collect()] == [(7, round((4 + 9 + 0) / 18, 4))]
+    assert sorted((r.place, r.page, r.worst) for r in R.worst_pages_exact(spark, str(tmp_path)).collect()) == [(1, 3, 0.0), (2, 2, 0.9), (3, 1, 1.0)]

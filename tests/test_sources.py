@@ -40,3 +40,42 @@ def test_recognise(spark):
     df = spark.createDataFrame([(k % 7, f"img{k % 7}") for k in range(20)], "id long, image string")
     got = services.recognise(df, "image", "id", lambda p: (200, [x.upper() for x in p]), size=3).collect()
     assert {r.id: r.answer for r in got} == {k: f"IMG{k}" for k in range(7)}
+
+
+def test_answers_in_order():
+    import threading
+    import time
+
+    import pytest
+
+    from quireflow.sources import services as V
+
+    lock, under, most, asked = threading.Lock(), 0, 0, []
+
+    def ask(payload):
+        nonlocal under, most
+        with lock:
+            under, asked_before = under + 1, asked.count(payload)
+            most = max(most, under)
+            asked.append(payload)
+        time.sleep(0.02 if payload[:1] == b"a" else 0.001)
+        with lock:
+            under -= 1
+        if payload == b"b1" and not asked_before:
+            raise ConnectionError("once")
+        return payload.decode()
+
+    items = [b"a0", b"a1", b"b0", b"a2", b"b2"]
+    assert list(V.in_order(items, ask)) == [x.decode() for x in items] and most == 2
+    most = 0
+    assert list(V.in_order(items, ask, budget=9)) == [x.decode() for x in items] and most == 1
+    asked.clear()
+    # One failure: asked for once more, and one at a time from then on.
+    assert list(V.in_order([b"b1", *items], ask)) == ["b1", *[x.decode() for x in items]] and asked.count(b"b1") == 2
+
+    def refuse(payload):
+        raise V.Permanent("401")
+
+    with pytest.raises(V.Permanent):
+        list(V.in_order(items, refuse))
+    assert list(V.in_order([], ask)) == []
