@@ -189,6 +189,72 @@ def test_corrections(spark):
     assert not any(got[k].misread or got[k].hyphens for k in range(120))
 
 
+def second_readings():
+    """(original, candidate) of 3 000 lines: one e in forty of the originals is printed as c, and two rare words are real."""
+    r = random.Random(11)
+    words = "the binding record describes every margin while readers compare columns behind eighteen pages".split()
+    rows, wrong = [], set()
+    for k in range(1000):
+        lines = [[r.choice(words) for _ in range(8)] for _ in range(3)]
+        if k in (11, 21):
+            lines[0][0] = "rcader"
+        clean = [" ".join(x) for x in lines]
+        noisy = ["".join("c" if c == "e" and r.random() < 0.025 else c for c in x) for x in clean]
+        wrong |= {(k, i + 1) for i in range(3) if noisy[i] != clean[i]}
+        rows.append((k, "\n".join(noisy), clean if k % 5 else clean[1:]))
+    return rows, wrong
+
+
+def test_channel_from_two_readings(spark):
+    rows, wrong = second_readings()
+    df = spark.createDataFrame(rows, "decision_id long, original string, candidate array<string>")
+    texts = df.selectExpr("decision_id AS k", "original AS t", "candidate AS o")
+    counts = P3.word_counts(texts)
+    both = P3.two_readings(texts, "o")
+    seen = P3.observed(both, counts)
+    assert dict(seen["c"])["e"] == pytest.approx(0.025, rel=0.2) and dict(seen["0"])["o"] < 0.03
+    own = {r.word: (r.n, r.own) for r in P3.weighed(counts, both).collect()}
+    # A rare word that the second reading confirms keeps its weight; one that it never confirms loses it.
+    assert own["rcader"][1] > 0.5 * own["rcader"][0] and all(w < 0.2 * n for x, (n, w) in own.items() if x in ("rccord", "cvery", "whilc") and n > 3)
+    got = {(r.decision_id, n) for r in P3.correct(df, other="candidate").collect() for n in r.misread}
+    assert len(got & wrong) / len(wrong) > 0.99 and len(got - wrong) / len(got) < 0.01
+
+
+def test_readings_against_brute_force():
+    channel = {"c": [("e", 0.1)], "rn": [("m", 0.2)], "0": [("o", 0.3)], "i": [("l", 0.05), ("t", 0.01)]}
+
+    def every(word):
+        out = {("", 1.0, ())}
+        for n in range(1, len(word) + 1):
+            more = set()
+            for k in range(n):
+                for head, p, places in [x for x in every.kept[k]]:
+                    piece = word[k:n]
+                    if n == k + 1:
+                        more.add((head + piece, p, places))
+                    for meant, q in channel.get(piece, ()):
+                        more.add((head + meant, p * q, (*places, k)))
+            every.kept.append(more)
+        return every.kept[-1] if word else out
+
+    for word in ("ccrn0", "icirn", "abc", "c0c0c0", "rnrn"):
+        for least in (1e-9, 1e-3, 0.05):
+            every.kept = [{("", 1.0, ())}]
+            want = {}
+            for w, p, places in every(word):
+                if (p >= least or not places) and (not places or not P3._ODD.search(w)) and (w != word or not places):
+                    want[w] = max(want.get(w, 0), p)
+            got = {w: np.exp(p) for w, p, _ in P3.readings(word, channel, least)}
+            assert set(got) == set(want) and all(got[w] == pytest.approx(want[w]) for w in got)
+
+
+def test_apostrophes(spark):
+    assert P3.pieces("l'histoire d’un livre'") == ["l'", "\0histoire", "d’", "\0un", "livre'"] and P3.pieces("a b") == ["a", "b"]
+    rows = noisy_corpus() + [(900, "the d'binding rccord's margin")]
+    got = {r.decision_id: r for r in P3.correct(spark.createDataFrame(rows, "decision_id long, original string")).collect()}
+    assert got[900].misread == [1] and got[900].paragraph == "the d'binding record's margin"
+
+
 def test_corrections_of_nothing(spark):
     assert P3.correct(spark.createDataFrame([], "decision_id long, original string")).count() == 0
 
