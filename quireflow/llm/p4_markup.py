@@ -14,6 +14,9 @@ comparisons, printed numbering and the like) and some stay. Blocks that hold sig
 read as context but teach nothing, but for those labelled code, which are plain by definition.
 The model then reads every page whole.
 
+An exact check follows: a block without any sign that a notation needs (`_LEAST`) is none. The check alone would name
+numbers, paths and program text; it adds no block.
+
 Null and empty contents are plain, and so are blocks labelled code. Repeated rows of a page give
 equal results, counted once.
 """
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quireflow.sources.tables import table
 
-SAMPLE_PAGES = 3000
+SAMPLE_PAGES, DENSE = 3000, 0.1
 CLASSES = ("plain", "html", "markdown", "wiki", "latex")
 WORDS, HASHED, PATHS, LABELS, HIDDEN = 24, 128, 20, 4, 20
 INPUT = HASHED + PATHS + LABELS
@@ -96,7 +99,8 @@ _PLACES = _Places()
 
 
 def _beside(c: str) -> str:
-    return " " if not c or c.isspace() else "a" if c.isalnum() else "{" if c == "{" else "."
+    """Kind of a sign's neighbour: blank, kana or Han (written without blanks, so emphasis stands inside words), letter or digit, other."""
+    return " " if not c or c.isspace() else "c" if "぀" <= c <= "鿿" else "a" if c.isalnum() else "{" if c == "{" else "."
 
 
 def _path_place(name: str) -> int:
@@ -348,9 +352,9 @@ def _as_html(words: list[str], r: random.Random) -> str:
 
 def _as_markdown(words: list[str], r: random.Random) -> str:
     text, mid = " ".join(words), r.randint(1, max(1, len(words) - 1))
-    kind = r.randrange(12)
+    kind = r.choice((0, 1, 2, 3, 4, 5, 5, 6, 7, 8, 9, 9, 10, 11))
     if kind < 5:
-        mark = r.choice(("**", "*", "***", "__", "~~", "`", "**", "*", "__"))
+        mark = r.choice(("**", "*", "***", "__", "~~", "`", "***", "~~"))
         return _inside(words, r, lambda w: f"{mark}{w}{mark}")
     if kind == 5:
         return f"{'#' * r.randint(1, 6)} {' '.join(words[:mid])}\n{r.choice(('', chr(10)))}{' '.join(words[mid:])}"
@@ -363,6 +367,8 @@ def _as_markdown(words: list[str], r: random.Random) -> str:
         rows = ["| " + " | ".join(c) + " |" for c in _cells(words, r)]
         return "\n".join([rows[0], "|" + "|".join(r.choice(("---", ":---", ":--:", " --- ", "---:")) for _ in rows[0].split(" | ")) + "|", *rows[1:]])
     if kind == 9:
+        if r.random() < 0.5:
+            return f"{text}\n```{r.choice(('', 'c'))}\n{words[0]} = {words[-1].strip('.')}({r.randint(1, 99)})\n```"
         return r.choice(("```{}\n{}\n```", "~~~{}\n{}\n~~~")).format(r.choice(("", "c", "python")), text)
     if kind == 10:
         return r.choice(("![{}](img/{}_12.png)\n", "![{}]({}.jpg) ")).format(" ".join(words[:mid]), words[0]) + text
@@ -416,16 +422,17 @@ def _as_latex(words: list[str], r: random.Random) -> str:
     return text + r.choice(("~\\cite{{{}}}", " \\ref{{{}}}", "\\label{{{}}}", "~\\ref{{fig:{}}}", "\\footnote{{{}}}")).format(words[0] + str(r.randint(1, 99)))
 
 
-def _as_plain(words: list[str], r: random.Random) -> str:
-    """The words with signs that are no markup, or a printed number or numbering alone."""
+def _as_plain(words: list[str], r: random.Random, names: list[str]) -> str:
+    """The words with signs that are no markup, of which some hold names; or a printed number or numbering alone."""
     a, b, w = r.randint(1, 99), r.randint(1, 99), words[0]
     if r.random() < 0.25:
         return r.choice((f"~ {a} ~", f"- {a} -", f"{a} |", f"[{a}]", f"| {a}", f"~ ix ~", f"{' '.join(words[:5])} | {a}", f"{a}. {' '.join(words[:6])}\n{a + 1}. {' '.join(words[:4])}", f"({a}) {' '.join(words)}", f"- {a} -\n{' '.join(words)}", f"* {a} *", f"[{a}] {' '.join(words)}"))
+    w, v = (r.choice(names) if names and r.random() < 0.8 else x.strip(".,;:") or "x" for x in (w, words[-1]))
     upper = w[:1].upper() + w[1:]
     piece = r.choice((
-        f"list<{upper}>", f"vector<{upper}>.", f"map<{upper}, {upper}>", f"{w} < {a} and {w} > {b}", f"{a} < {b}", f"<{w}.desk@mail.example>", f"${a} and ${b}.", f"${a}.{b}", f"US${a}", f"C:\\{w}\\{words[-1].strip('.')}", f"C:\\{w}\\new", f"/usr/{w}/x_{a}", f"{w}_{w}_{a}", f"{w}_{a};",
-        "C# and F#", "C#", "R&D", f"A&B {w}", f"item #{a}.", f"#{a}", f"[{a}]", f"[{a}];", f"{w}[{a}]", f"|{w}| + |x|", "|x| + |y|", "|a| - |b|", f"{{{w}, {words[-1].strip('.')}}}", f"{{{w}, x}}", f"{{{w}}}", f"{a} * {b} * {w}", f"{a} << {b % 9}", f"~{a} {w}", f"{a} = {b}", f"{w} = {a};", f"{w}'s '{w}'", f"{w}*", f"* {w}", f"{w} ^ {a}", f"{a}%_", f"{a} & {b}", f"{a}% & {w}", f"${a}", f"Mail <{w}.desk@mail.example>", f"costs ${a} and ${b}", f"|{a}|",
-        f"x={a}&y={b}", f"--{w} {a}", f"<{a}>", f"{w} -> {words[-1]}", f"`{w}", f"{a}^", f"_{w}", f"{w} ~ {a}", f"{a} + {b} = {a + b}", f"{w}/{a}", f"${w.upper()}", f"https://a.example/{w}-{a}", "<= 5", ">= 7", "!= 0",
+        f"list<{upper}>", f"vector<{upper}>.", f"map<{upper}, {upper}>", f"{w} < {a} and {w} > {b}", f"{a} < {b}", f"{a} > {b} < {a + b}", f"x < {a} and y > {b}", f"<{w}.desk@mail.example>", f"${a} and ${b}.", f"${a}.{b}", f"US${a}", f"C:\\{w}\\{v}", f"C:\\{w}\\{v}", f"C:\\{w}\\new", f"/usr/{w}/x_{a}", f"{w}_{v}_{a}", f"{w}_{a};",
+        "C# and F#", "C# and F#", "C#", "R&D", f"A&B {w}", f"item #{a}.", f"#{a}", f"[{a}]", f"[{a}];", f"{w}[{a}]", f"|{w}| + |x|", "|x| + |y|", "|a| - |b|", f"{{{w}, {v}}}", f"{{{w}, {v}}}", f"{{{w}, x}}", f"{{{w}}}", f"{a} * {b} * {w}", f"{a} << {b % 9}", f"{a} << {b % 9}", f"~{a} {w}", f"{a} = {b}", f"{w} = {a};", f"{w}'s '{w}'", f"{w}*", f"* {w}", f"{w} ^ {a}", f"{a}%_", f"{a} & {b}", f"{a}% & {w}", f"${a}", f"Mail <{w}.desk@mail.example>", f"costs ${a} and ${b}", f"|{a}|",
+        f"x={a}&y={b}", f"--{w} {a}", f"<{a}>", f"{w} -> {v}", f"`{w}", f"{a}^", f"_{w}", f"{w} ~ {a}", f"{a} + {b} = {a + b}", f"{w}/{a}", f"${w.upper()}", f"https://a.example/{w}-{a}", "<= 5", ">= 7", "!= 0",
     ))
     piece += r.choice(("", "", ".", ";", ","))
     return r.choice((_between(words, r, piece), f"{piece} {' '.join(words)}", f"{' '.join(words)} {piece}"))
@@ -440,6 +447,8 @@ def rendered(pages: list[tuple[list, list]], seed: int = 7) -> tuple[list[tuple[
     """(pages, targets): of the blocks without a sign of a notation a part is written in one, another gets signs that are none."""
     r = random.Random(seed)
     writers = ((1, _as_html), (2, _as_markdown), (3, _as_wiki), (4, _as_latex))
+    # Names are words of these pages, in Latin letters, whatever the language of the block they come to stand in.
+    names = sorted({w for contents, _ in pages[:200] for t in contents for w in (t or "").lower().split() if w.isascii() and w.isalpha() and len(w) > 3})
     out, targets = [], []
     for contents, labels in pages:
         own, want = [], []
@@ -451,12 +460,15 @@ def rendered(pages: list[tuple[list, list]], seed: int = 7) -> tuple[list[tuple[
             if text and (_SIGNS.search(text) or "&" in text):
                 own.append(text)
                 want.append(0 if label == "code" else -1)
-            elif not words or label == "code" or r.random() < (0.1 if dense else 0.4):
+            elif not words or label == "code" or r.random() < (0.15 if dense else 0.4):
                 own.append(text)
                 want.append(0)
             else:
-                kind, write = r.choice(writers) if r.random() < 0.65 else (0, _as_plain)
-                text = write(words, r)
+                if r.random() < (0.55 if dense else 0.65):
+                    kind, write = r.choice((*writers, *writers[1:2]) if dense else writers)
+                    text = write(words, r)
+                else:
+                    kind, text = 0, _as_plain(words, r, names)
                 own.append(_BLANK.sub("", text) if dense and kind else text)
                 want.append(kind)
         out.append((own, labels))
@@ -464,6 +476,12 @@ def rendered(pages: list[tuple[list, list]], seed: int = 7) -> tuple[list[tuple[
     return out, targets
 
 
+#: What every notation has at least; a block without any of it holds none, whatever its class.
+_LEAST = re.compile(
+    rf"</?(?:{TAGS})\b|<!|&(?:#\w+|[A-Za-z]\w+);|\\[A-Za-z]+\*?\s*[{{\[]|\\(?:{'|'.join(sorted(COMMANDS))})(?![A-Za-z])|\\[\[(]|\$[^$\n]*[\\^_={{}}][^$\n]*\$|\$\$|\[\[|\{{\{{|\{{\||'{{2}}|={{2}}|\]\(|\]:\s|\*\S|\S\*|__|~~|`|^\s*#{{1,6}}\s|^\s*>\s|^ *[-*+] .*\n *[-*+] |\|\s*:?-{{2}}",
+    re.I | re.M,
+)
+
 # Rewriting.
 
 _CELL, _ROW = re.compile(r"</t[dh]\s*>", re.I), re.compile(r"</tr\s*>", re.I)
@@ -530,7 +548,7 @@ def _contents(pages: DataFrame) -> DataFrame:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Labeller:
-    """A labeller fitted on `sample` rendered pages of at most as many pages; those of the smallest hash of their id.
+    """A labeller fitted on `sample` rendered pages (and a fifth more at most) of at most as many pages; those of the smallest hash of their id.
 
     The share of hashes to take follows from the number of pages, so tasks keep a few pages each
     and the driver gets about `sample` of them, however many tasks there are. Where there are fewer
@@ -542,7 +560,13 @@ def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Labeller:
     some = _contents(pages.where(F.xxhash64("page_id") <= few)).select(F.xxhash64("page_id").alias("h"), "contents", "labels").dropDuplicates(["h"])
     data = [(r.contents, r.labels) for r in some.orderBy("h").limit(sample).collect()]
     rounds = [rendered(data, seed) for seed in range(-(-sample // max(len(data), 1)))] if data else []
-    return Labeller().fit([x for r in rounds for x in r[0]][:sample], [x for r in rounds for x in r[1]][:sample])
+    pages, targets = [x for r in rounds for x in r[0]][:sample], [x for r in rounds for x in r[1]][:sample]
+    # Text without blanks is rare but has forms of its own; its pages are rendered twice more, as far as `DENSE` goes.
+    dense = [p for p in data if any(t and _DENSE.search(t) for t in p[0])][: int(DENSE * sample)]
+    for seed in (101, 102) if dense else ():
+        more = rendered(dense, seed)
+        pages, targets = pages + more[0], targets + more[1]
+    return Labeller().fit(pages, targets)
 
 
 def label_blocks(pages: DataFrame, model: Labeller, rewrite: bool = False) -> DataFrame:
@@ -560,7 +584,7 @@ def label_blocks(pages: DataFrame, model: Labeller, rewrite: bool = False) -> Da
                 prob = own.probabilities(*vectors(list(zip(contents, labels))))
                 best = prob.argmax(1)
                 flat = [(p, i, x, t) for p, own_ids, xs, ts in zip(page, ids, labels, contents) for i, x, t in zip(own_ids, xs, ts)]
-                keep = [k for k in np.flatnonzero(best) if flat[k][2] != "code" and flat[k][3]]
+                keep = [k for k in np.flatnonzero(best) if flat[k][2] != "code" and flat[k][3] and _LEAST.search(flat[k][3])]
                 kinds = [CLASSES[best[k]] for k in keep]
                 yield pa.record_batch(
                     [
