@@ -183,6 +183,12 @@ def test_numbering_rules_agree(spark):
     assert got == cases == {t: T.numbering(t) for t in cases}
 
 
+def test_numbering_of_any_depth(spark):
+    deep = "1" + ".1" * 50_000
+    i = spark.createDataFrame([(f"{deep} x",), (f"A{deep[1:]} x",)], "t string").select(T.identity(F.col("t")).alias("i")).collect()
+    assert [(r.i.kind, r.i.ident, r.i.lexical) for r in i] == [("section", deep, "x"), ("section", f"A{deep[1:]}", "x")]
+
+
 def test_agreement_by_brute_force():
     """The ratio against a plain search for the longest common blocks, on short random texts."""
     import random

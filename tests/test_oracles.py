@@ -44,3 +44,30 @@ def test_query(spark, duck, name):
         at = rel.columns
         assert sorted(at) == cols
         assert rows == sorted((tuple(plain(r[at.index(c)]) for c in cols) for r in rel.limit(10**9).fetchall()), key=repr)
+
+
+#: Titles with white space of many kinds, and (kind, ident, lexical) of each.
+ODD_TITLES = {
+    "제2장\u202f남은 화면": ("chapter", "2", "남은 화면"),
+    "3장\u2005\u3000색인\xa0폴더\u2009": ("chapter", "3", "색인\xa0폴더"),
+    "제4장\t끝": ("chapter", "4", "\t끝"),
+    "A.1\xa0나무": ("section", "A.1", "나무"),
+    "\xa0제5장 잎\u202f": ("chapter", "5", "잎"),
+    "Chapter\x0b6 Wood": ("plain", None, "Chapter\x0b6 Wood"),
+    "Wood *\u2028": ("plain", None, "Wood *\u2028"),
+    "Wood\t|": ("plain", None, "Wood\t"),
+    "| 연습 문제 |": ("plain", None, "연습문제"),
+    "내 연습문제|": ("plain", None, "내 연습문제|"),
+    "\u3000": ("plain", None, ""),
+}
+
+
+def test_heading_identity_of_odd_titles(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(ODD_TITLES)), "entry_id long, title string").selectExpr(
+        "*", *[f"CAST(NULL AS STRING) AS {c}" for c in "run_id doc_key toc_page printed_page folio_style folio_value kind ident chapter raw_rank page".split()]
+    ).write.parquet(f"{tmp_path}/entries.parquet")
+    want = [(k, *v) for k, v in enumerate(ODD_TITLES.values())]
+    con = duckdb.connect()
+    con.sql(f"create view entries as select * from '{tmp_path}/entries.parquet/*.parquet'")
+    assert sorted(con.sql(SQL["heading_identity"]).fetchall()) == want
+    assert sorted(map(tuple, QUERIES["heading_identity"](spark, str(tmp_path)).collect())) == want
